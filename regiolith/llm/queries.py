@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from regiolith.llm import byte_bpe
 from regiolith.llm import license_scan as licenses
 from regiolith.llm.common import prepare, table
 
@@ -14,6 +15,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_license_scan": op1_license_scan}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.round_trip(table(prepare(spark), sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op5_byte_bpe)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
