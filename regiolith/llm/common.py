@@ -178,8 +178,3 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
         at += n * d.itemsize
     return out
 
-
-def by_key(keys: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal small keys together, and the n_keys + 1 offsets of the groups in it."""
-    order = np.argsort(keys, kind="stable")
-    return order, np.searchsorted(keys[order], np.arange(n_keys + 1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import byte_bpe
+from regiolith.llm import byte_bpe, suffix_array, suffix_tree
 from regiolith.llm import license_scan as licenses
 from regiolith.llm.common import prepare, table
 
@@ -15,11 +15,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(prepare(spark), sf_dir, "documents"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.repeated_words(table(prepare(spark), sf_dir, "documents"))
+
+
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_bytes(table(prepare(spark), sf_dir, "documents")).drop("runs")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.round_trip(table(prepare(spark), sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op5_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op4_suffix_array, op5_byte_bpe)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
