@@ -23,8 +23,10 @@ other columns have no influence.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from pyspark.sql import DataFrame
 
 from regiolith.llm.common import prepare
 
-MAX_STATES = 400_000
-MAX_MATCHES = 500_000
+MAX_STATES = 900_000
+MAX_MATCHES = 600_000
 
 _SPACE = r"\t\n\v\f\r \x85\xa0"
 _LETTER = r"A-Za-z\xaa\xb5\xbaÀ-ÖØ-öø-ÿĀ-ɏ"
@@ -101,13 +103,25 @@ class BytePairs:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._own: dict[int, bool] = {}
         self._sides: dict[int, tuple[list[int], list[int]]] = {}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.longest = max(map(len, ranks))
+        self._child: dict[int, int] = {}
+        self._ends, self._more = [-1], [True]
+        for t, rank in ranks.items():
+            node = 0
+            for b in t:
+                self._more[node] = True
+                below = self._child.setdefault(node << 8 | b, len(self._ends))
+                if below == len(self._ends):
+                    self._ends.append(-1)
+                    self._more.append(False)
+                node = below
+            self._ends[node] = rank
+        self._length = {i: len(t) for i, t in self.token.items()}
+        self._decimal = {i: b"%d" % i for i in self.token}
         top = max(ranks.values()) + 1
         self._vocabulary = [self.token.get(i, b"") for i in range(top)]
         utf8 = Utf8()
         self._after = np.array([utf8.run(0, t) for t in self._vocabulary], np.int64)
-        self._kind = np.uint16 if top <= 1 << 16 else np.uint32
+        self._kind, self._code = (np.uint16, "H") if top <= 1 << 16 else (np.uint32, "I")
         self._regex = None
         self._matches: dict[str, tuple[bytes, bytes]] = {}
         self._reset()
@@ -121,10 +135,10 @@ class BytePairs:
 
     def _reset(self) -> None:
         self._names: dict[tuple[int, bytes], int] = {}
-        self._state: list[tuple[int, bytes, list[int]]] = []
+        self._state: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
         self._final: dict[int, list[int]] = {}
         self._arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._intern(-1, b"", [])
+        self._intern(-1, b"", (), ())
 
     def merge(self, data: bytes, below: int = 1 << 60) -> list[int]:
         """The encoding by repeated merging of the pair of lowest rank, of ranks under below; only for short strings."""
@@ -174,46 +188,52 @@ class BytePairs:
             self._pairs[before, token] = stands
         return stands
 
-    def _intern(self, before: int, data: bytes, last: list[int]) -> int:
+    def _intern(self, before: int, data: bytes, last: tuple[int, ...], live: tuple[int, ...]) -> int:
+        """The state of these bytes; last: the last token of each prefix; live: where unfinished tokens start, with their nodes."""
         key = (before, data)
-        if key not in self._names:
-            self._names[key] = len(self._state)
-            self._state.append((before, data, last))
-        return self._names[key]
+        name = self._names.get(key)
+        if name is None:
+            name = self._names[key] = len(self._state)
+            self._state.append((before, data, last, live))
+        return name
 
-    def _path(self, last: list[int], end: int) -> list[int]:
+    def _path(self, last: tuple[int, ...], end: int) -> list[int]:
         out = []
         while end:
-            out.append(last[end - 1])
-            end -= len(self.token[last[end - 1]])
+            token = last[end - 1]
+            out.append(token)
+            end -= self._length[token]
         return out[::-1]
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, data, last = self._state[state]
-        data, n = data + bytes([byte]), len(data) + 1
-        first = max(0, n - self.longest)
-        for j in range(first, n):
-            token = self.ranks.get(data[j:])
-            if token is not None and self._stands(-1, token) and self._stands(last[j - 1] if j else before, token):
-                last = [*last, token]
-                break
-        live = {i for i in range(first, n) if data[i:] in self.prefixes} | {n}
-        while len(live) > 1:  # to the last prefix that all of them go through
-            i = max(live)
-            live.remove(i)
-            live.add(i - len(self.token[last[i - 1]]))
-        (cut,) = live
-        out = tuple(self._path(last, cut))
+        before, data, last, live = self._state[state]
+        n, on, token, length = len(data), [], -1, self._length
+        for start in (*live, n << 32):
+            below, at = self._child.get((start & 0xFFFFFFFF) << 8 | byte), start >> 32
+            if below is not None:
+                if self._more[below]:
+                    on.append(at << 32 | below)
+                if token < 0 <= (t := self._ends[below]) and self._stands(-1, t) and self._stands(last[at - 1] if at else before, t):
+                    token = t
+        data, last = data + bytes((byte,)), (*last, token)
+        meet = {start >> 32 for start in on}
+        meet.add(n + 1)
+        while len(meet) > 1:  # to the last prefix that all of them go through
+            i = max(meet)
+            meet.remove(i)
+            meet.add(i - length[last[i - 1]])
+        (cut,) = meet
+        out: tuple[int, ...] = ()
         if cut:
-            before, data, last = out[-1], data[cut:], last[cut:]
-        arc = (self._intern(before, data, last), out)
-        self._arcs[state << 8 | byte] = arc
+            out = tuple(self._path(last, cut))
+            before, data, last, on = out[-1], data[cut:], last[cut:], [start - (cut << 32) for start in on]
+        arc = self._arcs[state << 8 | byte] = (self._intern(before, data, last, tuple(on)), out)
         return arc
 
     def _end(self, state: int) -> list[int]:
         if state not in self._final:
-            _, data, last = self._state[state]
-            self._final[state] = self._path(last, len(data))
+            last = self._state[state][2]
+            self._final[state] = self._path(last, len(last))
         return self._final[state]
 
     def transduce(self, data: bytes) -> list[int]:
@@ -246,7 +266,7 @@ class BytePairs:
         ids = self.transduce(match.encode())
         if len(self._matches) >= MAX_MATCHES:
             self._matches.clear()
-        found = self._matches[match] = (b" ".join(b"%d" % i for i in ids), np.array(ids, self._kind).tobytes())
+        found = self._matches[match] = (b" ".join(map(self._decimal.__getitem__, ids)), array(self._code, ids).tobytes())
         return found
 
     def encode_both(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -292,6 +312,7 @@ def load(path: str, pattern: str) -> BytePairs:
     """The tokenizer of a rank file, kept for later tasks of the same worker."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = BytePairs.load(path, pattern)
+        gc.freeze()
     return _loaded[path, pattern]
 
 
@@ -329,6 +350,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
+        gc.disable()  # the tables hold no cycles, and walking them takes long
         for b in batches:
             n, first, second, whole = [], [], [], []
             for text in b["text"]:
