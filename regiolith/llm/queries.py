@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import byte_bpe, suffix_array, suffix_tree
+from regiolith.llm import byte_bpe, quality, suffix_array, suffix_tree
 from regiolith.llm import license_scan as licenses
 from regiolith.llm.common import prepare, table
 
@@ -19,6 +19,10 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.repeated_words(table(prepare(spark), sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(prepare(spark), sf_dir, "documents")).drop("perplexity", "band_low", "band_high")
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.repeated_bytes(table(prepare(spark), sf_dir, "documents")).drop("runs")
 
@@ -28,6 +32,6 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op4_suffix_array, op5_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
