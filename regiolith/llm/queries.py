@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import byte_bpe, quality, suffix_array, suffix_tree
+from regiolith.llm import byte_bpe, minhash, quality, suffix_array, suffix_tree
 from regiolith.llm import license_scan as licenses
 from regiolith.llm.common import prepare, table
 
@@ -32,6 +32,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe)}
+def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op9_odd_sketches)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}

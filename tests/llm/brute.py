@@ -36,3 +36,30 @@ def repeated_bytes(rows, length=100):
         runs = sum(1 for i in range(len(gone)) if gone[i] and (not i or not gone[i - 1]))
         out[d] = (len(b), sum(gone), runs, sha(bytes(x for x, g in zip(b, gone) if not g)))
     return out
+
+
+def near_duplicates(rows, percent=75):
+    """doc_id -> (n_shingles, component_id, kept), by an index of shingles."""
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().translate(lower).split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    index = {}
+    for d, s in sets.items():
+        for x in s:
+            index.setdefault(x, []).append(d)
+    for d, s in sets.items():
+        shared = Counter(o for x in s for o in index[x] if o < d)
+        for o, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[o]) - n):
+                a, b = sorted((root(d), root(o)))
+                parent[b] = a
+    return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
