@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import byte_bpe, minhash, quality, suffix_array, suffix_tree, toxicity
+from regiolith.llm import byte_bpe, html_extract, minhash, quality, suffix_array, suffix_tree, toxicity
 from regiolith.llm import license_scan as licenses
 from regiolith.llm.common import prepare, table
 
@@ -36,10 +36,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(prepare(spark), sf_dir, "pages"))
+
+
 def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op7_toxicity, op9_odd_sketches)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op7_toxicity, op8_html_extract, op9_odd_sketches)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
