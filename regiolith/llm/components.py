@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import cut
+from regiolith.llm.common import cut, merged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,11 +20,10 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("next"), F.col("component").alias("was"))
-        step = cut(step)
+        near = merged(both, labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        step = merged(labels, near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("next"), F.col("component").alias("was"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        new = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("component"), "was"))
-        if new.filter("component <> was").isEmpty():
-            return new.select("node", "component")
+        new = cut(merged(step, jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("component"), "was"))
         labels = new.select("node", "component")
+        if new.filter("component <> was").isEmpty():
+            return labels

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, mix, prefix_sums, prepare, random_words, slices, span_hash, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, merged, mix, prefix_sums, prepare, random_words, slices, span_hash, word_hashes, word_spans
 from regiolith.llm.components import components
 from regiolith.llm.repeats import LAST_ID
 
@@ -152,7 +152,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return merged(merged(pairs, y, "b"), x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def bits_apart(left: str, right: str) -> Column:
@@ -164,34 +164,34 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | Non
     classes = sig.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("node").alias("node")).select("node")
     rows = sig.filter("n_shingles > 0").select("node", "set_a", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("set_a").alias("p"), F.max("set_a").alias("q")).filter("p < q").select("key")
-    members = cut(rows.join(shared, "key").select("key", "node").join(classes, "node", "left_semi").distinct())
+    members = cut(merged(merged(rows, shared, "key").select("key", "node"), classes, "node", "left_semi").distinct())
     if members.isEmpty():
         return None
     wanted = members.select("node").distinct()
-    sets = cut(full_sets(nodes(docs).join(wanted, "node", "left_semi")))
-    sketches = cut(sig.join(wanted, "node", "left_semi").select("node", *SKETCH_COLS))
+    sets = cut(full_sets(merged(nodes(docs), wanted, "node", "left_semi")))
+    sketches = cut(merged(sig, wanted, "node", "left_semi").select("node", *SKETCH_COLS))
     label, found, tried, turn, last = None, None, None, 0, False
     while True:
         if label is None:
             labelled = members.withColumn("component", F.col("node"))
         else:
-            labelled = members.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            labelled = merged(members, label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         hub = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node"), F.col("component").alias("component")))
         several = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), hub.alias("hub")).filter("p < q")
         if last:
-            rest = cut(labelled.join(several.select("key"), "key").join(sketches, "node"))
+            rest = cut(merged(merged(labelled, several.select("key"), "key"), sketches, "node"))
             left, right = rest.alias("l"), rest.alias("r")
             near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & (bits_apart("l", "r") <= MOST_BITS)
-            meet = left.join(right, near).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+            meet = merged(left, right, near).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         else:
-            meet = labelled.join(several, "key").filter("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            meet = merged(labelled, several, "key").filter("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
             left, right = sketches.alias("l"), sketches.alias("r")
-            meet = meet.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node")).filter(bits_apart("l", "r") <= MOST_BITS).select("a", "b")
+            meet = merged(merged(meet, left, F.col("a") == F.col("l.node")), right, F.col("b") == F.col("r.node")).filter(bits_apart("l", "r") <= MOST_BITS).select("a", "b")
         if tried is not None:
-            meet = meet.join(tried, ["a", "b"], "left_anti")
+            meet = merged(meet, tried, ["a", "b"], "left_anti")
         meet = cut(meet)
         new = cut(confirm(meet, sets, percent))
-        tried = meet if tried is None else tried.union(meet)
+        tried = meet if tried is None else cut(tried.union(meet))
         none = new.isEmpty()
         if not none:
             found = new if found is None else found.union(new)
