@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import byte_bpe, html_extract, minhash, quality, suffix_array, suffix_tree, toxicity
+from regiolith.llm import backoff, byte_bpe, html_extract, minhash, quality, suffix_array, suffix_tree, toxicity
 from regiolith.llm import license_scan as licenses
 from regiolith.llm.common import prepare, table
 
@@ -44,6 +44,10 @@ def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op7_toxicity, op8_html_extract, op9_odd_sketches)}
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op7_toxicity, op8_html_extract, op9_odd_sketches, op10_backoff_automaton)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}

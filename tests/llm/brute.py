@@ -63,3 +63,17 @@ def near_duplicates(rows, percent=75):
                 a, b = sorted((root(d), root(o)))
                 parent[b] = a
     return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
+
+
+def base_scores(rows):
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score)."""
+    import math
+    import zlib
+
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    tokens = {d: [*(t or "").encode().translate(lower).split(), None] for d, t in rows}
+    c = Counter(w for d, ws in tokens.items() if not held(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    shift = math.log10(n + 0.5 * (v + 1))
+    return {d: (held(d), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10(c[w] + 0.5) - shift for w in ws)) for d, ws in tokens.items()}
