@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import backoff, byte_bpe, html_extract, minhash, quality, suffix_array, suffix_tree, toxicity
+from regiolith.llm import backoff, byte_bpe, decontaminate, html_extract, minhash, quality, suffix_array, suffix_tree, toxicity
 from regiolith.llm import license_scan as licenses
 from regiolith.llm.common import prepare, table
 
@@ -32,6 +32,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document for each benchmark item that it holds: doc_id, item_id, word, distance, similarity."""
+    return decontaminate.matches(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +53,6 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op7_toxicity, op8_html_extract, op9_odd_sketches, op10_backoff_automaton)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op6_decontaminate, op7_toxicity, op8_html_extract, op9_odd_sketches, op10_backoff_automaton)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle()}
