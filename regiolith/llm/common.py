@@ -36,9 +36,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder, deleted by Spark's cleaner when nothing refers to it."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df from a reliable checkpoint in the shared folder, deleted by Spark's cleaner when nothing refers to it.
+
+    A checkpoint keeps the optimizer's size estimate of its plan.  In a loop of
+    joins that is a product of products, numbers of millions of digits that fill
+    the driver; so the rows are taken up again as a table of unknown size.
+    """
+    spark = prepare(df.sparkSession)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
