@@ -322,37 +322,26 @@ def defaults() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_ids(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids array<int> of every row of docs (doc_id, text)."""
-    path, pattern = path or defaults()[0], pattern or defaults()[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
-        for b in batches:
-            ids = [bpe.encode_both(t or "")[1].astype(np.int32) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return prepared(docs).mapInArrow(run, "doc_id long, ids array<int>")
-
-
 def prepared(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encodes every text and decodes its ids again.
 
     docs: doc_id, text.  Returns a row per input row: doc_id, n_tokens,
-    ids_sha256, decoded_sha256, whole (the decoded bytes are whole UTF-8).
+    ids_sha256, decoded_sha256, whole (the decoded bytes are whole UTF-8), and
+    ids array<int> if asked for.
     """
     path, pattern = path or defaults()[0], pattern or defaults()[1]
+    kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "whole": "boolean"} | ({"ids": "array<int>"} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         gc.disable()  # the tables hold no cycles, and walking them takes long
         for b in batches:
-            n, first, second, whole = [], [], [], []
+            n, first, second, whole, held = [], [], [], [], []
             for text in b["text"]:
                 decimals, ids = bpe.encode_both(text.as_py() or "")
                 data, good = bpe.decode_bytes(ids)
@@ -360,6 +349,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 first.append(hashlib.sha256(decimals).hexdigest())
                 second.append(hashlib.sha256(data).hexdigest())
                 whole.append(good)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(first), pa.array(second), pa.array(whole)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "whole"])
-
-    return prepared(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, whole boolean")
+                if with_ids:
+                    held.append(ids)
+            cols = [b["doc_id"], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(whole, pa.bool_())]
+            if with_ids:
+                values = np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(values)))
+            yield pa.RecordBatch.from_arrays(cols, list(kinds))
+
+    return prepared(docs).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))

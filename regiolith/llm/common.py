@@ -6,6 +6,7 @@ works on a whole slice of documents at once.  A null text counts as empty.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -47,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files and checkpoints of tables that are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A sort-merge join whatever the sizes: in loops, tables broadcast one after the other would pile up on the driver."""
     return left.join(right.hint("merge"), on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import cut, merged
+from regiolith.llm.common import cut, merged, tidy
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,5 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("further"))
         new = cut(merged(step, jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("component"), "was"))
         labels = new.select("node", "component")
+        del near, step, jump
+        tidy(links.sparkSession)
         if new.filter("component <> was").isEmpty():
             return labels

@@ -11,12 +11,14 @@ with equal sets form a class, of which one represents the others.
   deviations below 0.75.
 * Links are confirmed on the full sets.
 
-Pairs within a band's bucket are never listed as a whole.  In a round, each
-bucket with two components or more compares its members with one hub, linearly;
-found links merge components.  When a round finds no more, the members of
-different components that are still in a bucket together are compared with each
-other, sketches inside the join's condition.  So a group of any number of near
-copies takes a link per member, and no link between components is left out.
+Pairs within a band's bucket are never listed.  In a round, each bucket with two
+components or more compares its members with one hub, linearly; found links
+merge components.  When a round finds no more, or after ROUNDS, what is left is
+compared in full: a semi-join keeps the members that some member of another
+component may match by its sketch, and blocks of BLOCK members of a bucket meet
+in tasks that count shared shingles by an index and return one link at most for
+a member and another component.  So a group of any number of near copies takes
+a link per member, and no link between components is left out.
 
 Rows: a null text, and a text without words, has an empty set and no links; with
 fewer than five words the whole sequence is one shingle.  Rows that share a
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, merged, mix, prefix_sums, prepare, random_words, slices, span_hash, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, merged, mix, prefix_sums, prepare, random_words, slices, span_hash, tidy, word_hashes, word_spans
 from regiolith.llm.components import components
 from regiolith.llm.repeats import LAST_ID
 
@@ -45,7 +47,9 @@ SKETCH = 512
 #: Bits that may differ: 89 are expected at similarity 0.75, with a deviation of about 10.
 MOST_BITS = 139
 #: Rounds with hubs at most; what they leave is compared in full.
-ROUNDS = 4
+ROUNDS = 2
+#: Members of a bucket that meet in a task, and rows for a task.
+BLOCK, PART_ROWS = 2000, 5000
 
 _XOR = random_words(BANDS * ROWS, 2).astype(np.uint32)
 _TIMES = (random_words(BANDS * ROWS, 3) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -130,23 +134,27 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, grams binary")
 
 
+def unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def alike(both: np.ndarray | int, left: np.ndarray | int, right: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    return (both > 0) & (100 * both >= percent * (left + right - both))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
 
-    def wide(blob: bytes) -> np.ndarray:
-        out = np.zeros((len(blob) // 5, 8), np.uint8)
-        out[:, 3:] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-        return out.view(np.uint64).ravel()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, was, left = [], None, None
             for a, x, y in zip(b["a"].to_pylist(), b["x"], b["y"]):
                 if a != was:
-                    was, left = a, wide(x.as_buffer().to_pybytes())
-                right = wide(y.as_buffer().to_pybytes())
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
+                    was, left = a, unpack(x.as_buffer().to_pybytes())
+                right = unpack(y.as_buffer().to_pybytes())
+                keep.append(bool(alike(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), percent)))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], ["a", "b"])
 
@@ -155,6 +163,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return merged(merged(pairs, y, "b"), x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def confirm_blocks(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components that share a bucket in active (key, node, component)."""
+    n_parts = max(int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")), active.count() // PART_ROWS)
+    size = active.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = merged(merged(active, size, "key"), sets, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = [F.col("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    rows = rows.select(*cell, "node", "component", "grams").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
+
+    def meet(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        lens = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), lens)
+        _, name = np.unique(np.concatenate(sets), return_inverse=True)
+        by_name = owner[np.argsort(name, kind="stable")]
+        start = np.append(0, np.cumsum(np.bincount(name)))
+        kinds, kind, count = np.unique(component, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return
+        at = np.append(0, np.cumsum(lens))
+        for a in np.flatnonzero(kind != count.argmax()).tolist():  # the largest component meets all others anyway
+            names = name[at[a] : at[a + 1]]
+            n = start[names + 1] - start[names]
+            near = by_name[np.repeat(start[names], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            both = np.bincount(near, minlength=len(sets))
+            found = np.flatnonzero(alike(both, lens[a], lens, percent) & (kind != kind[a]))
+            _, first = np.unique(kind[found], return_index=True)
+            for b in found[first].tolist():
+                yield min(node[a], node[b]), max(node[a], node[b])
+
+    def run(group: pa.Table) -> pa.Table:
+        out: set[tuple[int, int]] = set()
+        group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+        key, i, j, node, component = (group[c].to_numpy() for c in ("key", "i", "j", "node", "component"))
+        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        for a, b in zip(edge, np.append(edge[1:], len(key))):
+            out.update(meet(node[a:b], component[a:b], [unpack(x.as_buffer().to_pybytes()) for x in group["grams"][a:b]]))
+        pairs = sorted(out)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return rows.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+
+
 def bits_apart(left: str, right: str) -> Column:
     return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in SKETCH_COLS])
 
@@ -170,36 +220,39 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | Non
     wanted = members.select("node").distinct()
     sets = cut(full_sets(merged(nodes(docs), wanted, "node", "left_semi")))
     sketches = cut(merged(sig, wanted, "node", "left_semi").select("node", *SKETCH_COLS))
-    label, found, tried, turn, last = None, None, None, 0, False
-    while True:
+    label, found, tried = None, None, None
+    for turn in range(ROUNDS + 1):
         if label is None:
             labelled = members.withColumn("component", F.col("node"))
         else:
             labelled = merged(members, label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node"), F.col("component").alias("component")))
+        order = F.xxhash64(F.lit(turn), F.pmod("key", F.lit(2)), "node")  # two hubs for a group that shares many buckets
+        hub = F.min(F.struct(order.alias("h"), F.col("node").alias("node"), F.col("component").alias("component")))
         several = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), hub.alias("hub")).filter("p < q")
-        if last:
-            rest = cut(merged(merged(labelled, several.select("key"), "key"), sketches, "node"))
-            left, right = rest.alias("l"), rest.alias("r")
-            near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & (bits_apart("l", "r") <= MOST_BITS)
-            meet = merged(left, right, near).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-        else:
-            meet = merged(labelled, several, "key").filter("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-            left, right = sketches.alias("l"), sketches.alias("r")
-            meet = merged(merged(meet, left, F.col("a") == F.col("l.node")), right, F.col("b") == F.col("r.node")).filter(bits_apart("l", "r") <= MOST_BITS).select("a", "b")
+        if turn == ROUNDS:
+            break
+        meet = merged(labelled, several, "key").filter("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        left, right = sketches.alias("l"), sketches.alias("r")
+        meet = merged(merged(meet, left, F.col("a") == F.col("l.node")), right, F.col("b") == F.col("r.node")).filter(bits_apart("l", "r") <= MOST_BITS).select("a", "b")
         if tried is not None:
             meet = merged(meet, tried, ["a", "b"], "left_anti")
         meet = cut(meet)
+        tidy(docs.sparkSession)
         new = cut(confirm(meet, sets, percent))
         tried = meet if tried is None else cut(tried.union(meet))
-        none = new.isEmpty()
-        if not none:
-            found = new if found is None else found.union(new)
-            label = components(found)
-        if last:
-            return label
-        turn += 1
-        last = none or turn == ROUNDS
+        if new.isEmpty():
+            break
+        found = new if found is None else found.union(new)
+        label = components(found)
+    rest = cut(merged(merged(labelled, several.select("key"), "key"), sketches, "node"))
+    left, right = rest.alias("l"), rest.alias("r")
+    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (bits_apart("l", "r") <= MOST_BITS)
+    active = cut(merged(left, right, near, "left_semi").select("key", "node", "component"))
+    tidy(docs.sparkSession)
+    new = cut(confirm_blocks(active, sets, percent))
+    if new.isEmpty():
+        return label
+    return components(new if found is None else found.union(new))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -217,3 +270,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         component = F.coalesce("first", "node")
     null = lambda c: F.when(c != LAST_ID, c)
     return out.select(null(F.col("node")).alias("doc_id"), "n_shingles", null(component).alias("component_id"), (F.col("node") == component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs, all columns, with one document of each component; rows that share a doc_id stay or go together."""
+    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct()
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    return docs.join(gone, node == F.col("_gone"), "left_anti")

@@ -103,8 +103,9 @@ def repeated_words(docs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
-    """docs, all columns, each text without the words of its repeated windows."""
+    """docs, all columns, each text without the words of its repeated windows; n_chars, if there, follows the text."""
     found = dedup_texts(docs, w).filter("n_removed > 0").select(F.col("content").alias("_content"), F.col("kept").alias("_kept"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    cols = [F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_content"), "left").select(*cols)
+    joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("_key") == F.col("_content"), "left")
+    length = F.when(F.col("_kept").isNotNull(), F.char_length("_kept"))
+    new = {"text": F.coalesce("_kept", "text"), "n_chars": F.coalesce(length.cast("long"), "n_chars") if "n_chars" in docs.columns else None}
+    return joined.select(*[new[c].cast(t).alias(c) if c in new else F.col(f"`{c}`") for c, t in docs.dtypes])
