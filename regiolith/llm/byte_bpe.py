@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 
 from regiolith.llm.common import prepare
 
-MAX_STATES = 900_000
-MAX_MATCHES = 600_000
+MAX_STATES = 700_000
+MAX_MATCHES = 500_000
 
 _SPACE = r"\t\n\v\f\r \x85\xa0"
 _LETTER = r"A-Za-z\xaa\xb5\xbaÀ-ÖØ-öø-ÿĀ-ɏ"
@@ -97,10 +97,10 @@ class Utf8:
 class BytePairs:
     """The encoder and decoder of a rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_matches: int = MAX_MATCHES) -> None:
+        self.ranks, self.pattern, self.max_states, self.max_matches = ranks, pattern, max_states, max_matches
         self.token = {i: t for t, i in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
         self._sides: dict[int, tuple[list[int], list[int]]] = {}
         self._child: dict[int, int] = {}
@@ -127,17 +127,17 @@ class BytePairs:
         self._reset()
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> BytePairs:
+    def load(cls, path: str, pattern: str, *limits: int) -> BytePairs:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern, *limits)
 
     # ------------------------------------------------------------ the transducer
 
     def _reset(self) -> None:
-        self._names: dict[tuple[int, bytes], int] = {}
-        self._state: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
-        self._final: dict[int, list[int]] = {}
-        self._arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._names: dict[bytes, int] = {}
+        self._state: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = []
+        self._arcs: dict[int, int] = {}  # the next state, or the complement of a place in _emits
+        self._emits: list[tuple[int, tuple[int, ...]]] = []
         self._intern(-1, b"", (), ())
 
     def merge(self, data: bytes, below: int = 1 << 60) -> list[int]:
@@ -169,7 +169,7 @@ class BytePairs:
             if token not in self._own:
                 self._own[token] = self.merge(self.token[token]) == [token]
             return self._own[token]
-        stands = self._pairs.get((before, token))
+        stands = self._pairs.get(before << 32 | token)
         if stands is None:
             left, right, i, j, stands = self._edges(before)[0], self._edges(token)[1], 0, 0, True
             while True:
@@ -185,16 +185,16 @@ class BytePairs:
                     i += 1
                 else:
                     j += 1
-            self._pairs[before, token] = stands
+            self._pairs[before << 32 | token] = stands
         return stands
 
     def _intern(self, before: int, data: bytes, last: tuple[int, ...], live: tuple[int, ...]) -> int:
-        """The state of these bytes; last: the last token of each prefix; live: where unfinished tokens start, with their nodes."""
-        key = (before, data)
+        """The state of these bytes; last: the last token of each prefix; live: where each unfinished token starts, and its node."""
+        key = (before + 1).to_bytes(4, "little") + data
         name = self._names.get(key)
         if name is None:
             name = self._names[key] = len(self._state)
-            self._state.append((before, data, last, live))
+            self._state.append((key, last, live))
         return name
 
     def _path(self, last: tuple[int, ...], end: int) -> list[int]:
@@ -205,49 +205,48 @@ class BytePairs:
             end -= self._length[token]
         return out[::-1]
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, data, last, live = self._state[state]
+    def _arc(self, state: int, byte: int) -> int:
+        key, last, live = self._state[state]
+        before, data = int.from_bytes(key[:4], "little") - 1, key[4:]
         n, on, token, length = len(data), [], -1, self._length
-        for start in (*live, n << 32):
-            below, at = self._child.get((start & 0xFFFFFFFF) << 8 | byte), start >> 32
+        pairs = iter((*live, n, 0))
+        for at, node in zip(pairs, pairs):
+            below = self._child.get(node << 8 | byte)
             if below is not None:
                 if self._more[below]:
-                    on.append(at << 32 | below)
+                    on += at, below
                 if token < 0 <= (t := self._ends[below]) and self._stands(-1, t) and self._stands(last[at - 1] if at else before, t):
                     token = t
         data, last = data + bytes((byte,)), (*last, token)
-        meet = {start >> 32 for start in on}
-        meet.add(n + 1)
+        meet = {*on[::2], n + 1}
         while len(meet) > 1:  # to the last prefix that all of them go through
             i = max(meet)
             meet.remove(i)
             meet.add(i - length[last[i - 1]])
         (cut,) = meet
-        out: tuple[int, ...] = ()
-        if cut:
-            out = tuple(self._path(last, cut))
-            before, data, last, on = out[-1], data[cut:], last[cut:], [start - (cut << 32) for start in on]
-        arc = self._arcs[state << 8 | byte] = (self._intern(before, data, last, tuple(on)), out)
+        key = state << 8 | byte
+        if not cut:
+            self._arcs[key] = arc = self._intern(before, data, last, tuple(on))
+            return arc
+        out = tuple(self._path(last, cut))
+        on[::2] = [at - cut for at in on[::2]]
+        self._emits.append((self._intern(out[-1], data[cut:], last[cut:], tuple(on)), out))
+        self._arcs[key] = arc = -len(self._emits)
         return arc
 
-    def _end(self, state: int) -> list[int]:
-        if state not in self._final:
-            last = self._state[state][2]
-            self._final[state] = self._path(last, len(last))
-        return self._final[state]
-
     def transduce(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern, in one pass from left to right."""
-        if len(self._state) > MAX_STATES:
+        if len(self._state) > self.max_states:
             self._reset()
             self._pairs.clear()
-        arcs, state, ids = self._arcs, 0, []
+        arcs, emits, state, ids = self._arcs, self._emits, 0, []
         for b in data:
-            arc = arcs.get(state << 8 | b) or self._arc(state, b)
-            state = arc[0]
-            if arc[1]:
-                ids += arc[1]
-        ids += self._end(state)
+            state = arcs.get(state << 8 | b) or self._arc(state, b)  # no arc leads back to state 0
+            if state < 0:
+                state, out = emits[~state]
+                ids += out
+        last = self._state[state][1]
+        ids += self._path(last, len(last))
         return ids
 
     # ------------------------------------------------------------ whole texts
@@ -264,7 +263,7 @@ class BytePairs:
 
     def _look(self, match: str) -> tuple[bytes, bytes]:
         ids = self.transduce(match.encode())
-        if len(self._matches) >= MAX_MATCHES:
+        if len(self._matches) >= self.max_matches:
             self._matches.clear()
         found = self._matches[match] = (b" ".join(map(self._decimal.__getitem__, ids)), array(self._code, ids).tobytes())
         return found
@@ -305,15 +304,15 @@ class BytePairs:
             yield machine.feed(self._vocabulary[i])
 
 
-_loaded: dict[tuple[str, str], BytePairs] = {}
+_loaded: dict[tuple, BytePairs] = {}
 
 
-def load(path: str, pattern: str) -> BytePairs:
-    """The tokenizer of a rank file, kept for later tasks of the same worker."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = BytePairs.load(path, pattern)
+def load(*key) -> BytePairs:
+    """The tokenizer of (rank file, pattern, limits of the tables), kept for later tasks of the same worker."""
+    if key not in _loaded:
+        _loaded[key] = BytePairs.load(*key)
         gc.freeze()
-    return _loaded[path, pattern]
+    return _loaded[key]
 
 
 def defaults() -> tuple[str, str]:
@@ -327,18 +326,20 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False, limits: tuple[int, int] = (MAX_STATES, MAX_MATCHES), keep: bool = True) -> DataFrame:
     """Encodes every text and decodes its ids again.
 
     docs: doc_id, text.  Returns a row per input row: doc_id, n_tokens,
     ids_sha256, decoded_sha256, whole (the decoded bytes are whole UTF-8), and
-    ids array<int> if asked for.
+    ids array<int> if asked for.  limits: states and whole matches that a worker
+    keeps, of about 1 KB together; fewer take more time.  keep: workers hold on to
+    them for later tasks.
     """
     path, pattern = path or defaults()[0], pattern or defaults()[1]
     kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "whole": "boolean"} | ({"ids": "array<int>"} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, *limits)
         gc.disable()  # the tables hold no cycles, and walking them takes long
         for b in batches:
             n, first, second, whole, held = [], [], [], [], []
@@ -356,5 +357,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 values = np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(values)))
             yield pa.RecordBatch.from_arrays(cols, list(kinds))
+        if not keep:
+            _loaded.clear()
 
     return prepared(docs).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
