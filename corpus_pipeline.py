@@ -39,9 +39,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every document left."""
-    return byte_bpe.round_trip(docs, with_ids=True).drop("whole")
+    return byte_bpe.round_trip(docs, with_ids=True, limits=TABLES, keep=False).drop("whole")
 
 
+#: States and matches that an encoding task holds: fewer than by itself, as executors still hold what earlier stages took.
+TABLES = (300_000, 250_000)
+
 STAGES = [
     ("quality rules", quality_rules),
     ("near-dedup", near_dedup),
