@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, cut, flat, prepare, row_key, slices, word_hashes, word_spans
+from regiolith.llm.common import LOWER, cut, flat, lean, prepare, row_key, slices, word_hashes, word_spans
 
 WORD_SHARE = 1e-6
 #: By the order of an n-gram: the least share of each of its words.
@@ -86,7 +86,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         s, e, _ = word_spans(data, offsets)
         return [np.unique(word_hashes(data, s, e).view(np.int64), return_counts=True)]
 
-    return train.select("text").mapInArrow(lambda it: counted(it, keys, "word"), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(lean(lambda it: counted(it, keys, "word")), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_ids(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ def gram_counts(train: DataFrame, words: np.ndarray, share: np.ndarray) -> DataF
 
         return counted(batches, keys, "gram")
 
-    return train.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Automaton:
@@ -281,8 +281,8 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(row[lo + doc[new]]), pa.array(n, pa.int64())], ["word", "row", "times"])
 
     keyed = docs.withColumn("row", row_key("doc_id", "text"))
-    scored = keyed.select("doc_id", "held_out", "row", "text").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, common long, n_rare long, part double, score double")
-    rare = keyed.select("row", "text").mapInArrow(rare_words, "word long, row long, times long")
+    scored = keyed.select("doc_id", "held_out", "row", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, row long, n_tokens long, common long, n_rare long, part double, score double")
+    rare = keyed.select("row", "text").mapInArrow(lean(rare_words), "word long, row long, times long")
     least = F.col("n") < WORD_SHARE * total
     met = rare.join(counts.filter(least), "word", "left")
     sums = met.groupBy("row").agg(

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from regiolith.llm.common import prepare
+from regiolith.llm.common import lean, prepare
 
 MAX_STATES = 700_000
 MAX_MATCHES = 500_000
@@ -360,4 +360,4 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         if not keep:
             _loaded.clear()
 
-    return prepared(docs).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    return prepared(docs).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in kinds.items()))

@@ -6,9 +6,11 @@ works on a whole slice of documents at once.  A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,19 @@ def parts_for(df: DataFrame, each_bytes: int = 2 << 20) -> int:
 # ---------------------------------------------------------------- Arrow and NumPy
 
 
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """function over a partition's batches; at its end the worker, which stays for later tasks, gives free memory back to the machine."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets into them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, flat, gram_hash, mix, prepare, random_words, row_key, slices, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, flat, gram_hash, lean, mix, prepare, random_words, row_key, slices, word_hashes, word_spans
 
 MAX_EDITS = 0.2
 WALKS, TABLES, SAMPLES = 24, 32, 3
@@ -204,7 +204,7 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
         if held:
             yield from send()
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, item_id long, word long, distance long, size long")
+    return docs.select("row", "doc_id", "text").mapInArrow(lean(run), "row long, doc_id long, item_id long, word long, distance long, size long")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from regiolith.llm.common import prepare
+from regiolith.llm.common import lean, prepare
 from regiolith.llm.html_blocks import Block, blocks
 
 TRAIN_PAGES = 600
@@ -273,4 +273,4 @@ def main_text(pages: DataFrame, field: Field | None = None) -> DataFrame:
             texts = [extract(own, h or "") for h in b["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id AS long) AS page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.selectExpr("cast(page_id AS long) AS page_id", "url", "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

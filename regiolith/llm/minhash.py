@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, merged, mix, prefix_sums, prepare, random_words, slices, span_hash, tidy, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, lean, merged, mix, prefix_sums, prepare, random_words, slices, span_hash, tidy, word_hashes, word_spans
 from regiolith.llm.components import components
 from regiolith.llm.repeats import LAST_ID
 
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(n, pa.int64()), pa.array(a), pa.array(c), bands, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH_COLS)))], ["node", "n_shingles", "set_a", "set_b", "bands", *SKETCH_COLS])
 
     schema = "node long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH_COLS)
-    return nodes(docs).mapInArrow(run, schema)
+    return nodes(docs).mapInArrow(lean(run), schema)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 out += [x.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(out, pa.binary())], ["node", "grams"])
 
-    return docs.mapInArrow(run, "node long, grams binary")
+    return docs.mapInArrow(lean(run), "node long, grams binary")
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -160,7 +160,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return merged(merged(pairs, y, "b"), x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return merged(merged(pairs, y, "b"), x, "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def confirm_blocks(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import U64, byte_symbols, flat, gram_hash, pack, parts_for, prepare, slices, unpack, word_hashes, word_spans
+from regiolith.llm.common import U64, byte_symbols, flat, gram_hash, lean, pack, parts_for, prepare, slices, unpack, word_hashes, word_spans
 
 #: Anchors and surroundings that a task gathers before it sends them on, in bytes.
 HELD_BYTES = 48 << 20
@@ -150,7 +150,7 @@ def repeated_anchors(texts: DataFrame, w: Windows, n_parts: int) -> DataFrame:
         content, place = (np.concatenate(x) for x in zip(*known))
         return pa.table({"content": pa.array(content, pa.int64()), "place": pa.array(place.astype(np.int32), pa.int32())})
 
-    sent = texts.mapInArrow(find, "part long, known boolean, blob binary")
+    sent = texts.mapInArrow(lean(find), "part long, known boolean, blob binary")
     met = sent.groupBy("part").applyInArrow(meet, "content long, place int")
     return met.groupBy("content").agg(F.collect_list("place").alias("places"))
 
@@ -240,7 +240,7 @@ def covered_spans(texts: DataFrame, repeated: DataFrame, w: Windows, n_parts: in
         content, s, e = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
         return pa.table({"content": content, "span": (s << 32) | e})
 
-    sent = texts.join(repeated, "content").mapInArrow(gather, schema)
+    sent = texts.join(repeated, "content").mapInArrow(lean(gather), schema)
     met = sent.groupBy("part").applyInArrow(meet, "content long, span long")
     return met.groupBy("content").agg(F.collect_list("span").alias("spans"))
 
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, w: Windows, finish: Callable[[bytes, np.ndar
             cols = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([b["content"], b["first_id"], b["last_id"], *cols], names)
 
-    return texts.join(spans, "content", "left").mapInArrow(run, f"content long, first_id long, last_id long, {schema}")
+    return texts.join(spans, "content", "left").mapInArrow(lean(run), f"content long, first_id long, last_id long, {schema}")
 
 
 def contents(docs: DataFrame) -> DataFrame:

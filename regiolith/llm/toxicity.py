@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiolith.llm.boosting import Boosted, isotonic
-from regiolith.llm.common import prepare
+from regiolith.llm.common import lean, prepare
 
 FIT_ROWS = 6000
 MAX_WORDS = 400_000
@@ -167,6 +167,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = np.interp(trees.raw(x) if trees else np.zeros(len(x)), knots, shares)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.clip(s, 0, 1))], ["doc_id", "score"])
 
-    scored = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
