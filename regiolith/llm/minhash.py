@@ -277,3 +277,19 @@ def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct()
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     return docs.join(gone, node == F.col("_gone"), "left_anti")
+
+
+def oracle() -> str:
+    """near_duplicates() over documents in DuckDB, by a join on every shingle."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WORDS - 2}, 2))) AS i FROM w WHERE len(w) > 0),
+x AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {WORDS - 1}], ' ') AS k FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 75 * (m.n + o.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id, coalesce(m.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id"""

@@ -109,3 +109,17 @@ def without_repeats(docs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
     length = F.when(F.col("_kept").isNotNull(), F.char_length("_kept"))
     new = {"text": F.coalesce("_kept", "text"), "n_chars": F.coalesce(length.cast("long"), "n_chars") if "n_chars" in docs.columns else None}
     return joined.select(*[new[c].cast(t).alias(c) if c in new else F.col(f"`{c}`") for c, t in docs.dtypes])
+
+
+def oracle() -> str:
+    """repeated_words() over documents in DuckDB, by counting every window's words."""
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM w WHERE len(w) >= {LENGTH}),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + {LENGTH - 1}], ' ') AS k FROM s),
+r AS (SELECT doc_id, i FROM x WHERE k IN (SELECT k FROM x GROUP BY k HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM r, (SELECT unnest(range(0, {LENGTH})) AS j)),
+g AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(len(g.ps), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN g.ps IS NULL THEN w.w ELSE list_filter(w.w, lambda x, i: NOT list_contains(g.ps, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id"""
