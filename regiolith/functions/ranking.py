@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regiolith.session import settled
+
 
 def argmax(value: Column, index: Column) -> Column:
     """Aggregate: the index of the largest value, the lowest index of equals."""
@@ -28,6 +30,18 @@ def first_of_each(df: DataFrame, key: list[str], position: str) -> DataFrame:
     return df.groupBy(*key).agg(first).select(*key, *[F.col(f"first.{c}").alias(c) for c in (position, *rest)])
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in a total order, without one task for all: ranges are numbered by themselves and shifted by the sizes of those before.
+
+    The ranges are checkpointed, so that sizes and numbers are of the same ones.
+    """
+    own = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("n"))  # a row a range
+    before = sizes.withColumn("_before", F.sum("n").over(Window.orderBy("_part")) - F.col("n")).drop("n")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return own.join(F.broadcast(before), "_part").withColumn(name, within + F.col("_before")).drop("_part", "_before")
+
+
 def fold(number: Column, k: int) -> Column:
     """Round-robin fold from 1 of a row number from 1."""
     return (number - 1) % k + 1

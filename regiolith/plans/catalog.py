@@ -161,7 +161,7 @@ def threshold_sweep(spark, d):
 
 @query("WITH f AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) % 5 + 1 AS fold, quality, toxic FROM labels) SELECT fold, count(*) AS n, round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM f GROUP BY fold")
 def fold_eval(spark, d):
-    rows = src.table(spark, d, "labels").withColumn("fold", ranking.fold(F.row_number().over(Window.orderBy("doc_id")), 5))
+    rows = ranking.numbered(src.table(spark, d, "labels"), ["doc_id"], "i").withColumn("fold", ranking.fold(F.col("i"), 5))
     return rows.groupBy("fold").agg(F.count("*").alias("n"), r(F.avg((F.col("quality") == 1 - F.col("toxic")).cast("double"))).alias("accuracy"))
 
 

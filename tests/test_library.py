@@ -104,3 +104,9 @@ def test_regions(spark):
     assert {(r["seg"], r["t"]) for r in region.vote(px, region.REGION, "t", "w").collect()} == {(1, 1), (2, 3)}
     cells = region.cell_histogram(px.withColumn("y", F.lit(0)).withColumn("x", F.col("t")), ["photo"], F.col("y"), F.col("x"), "seg")
     assert {(r["cx"], r["block"]) for r in cells.collect()} == {(1, 2), (2, 2), (3, 1)}
+
+
+def test_numbers_go_on_across_ranges(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 101).alias("v")).repartition(7)
+    got = [r["i"] for r in ranking.numbered(df, ["v"], "i").orderBy("v").collect()]
+    assert got == list(range(1, 101))
