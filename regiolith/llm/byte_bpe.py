@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 
 from regiolith.llm.common import lean, prepare
 
-MAX_STATES = 700_000
-MAX_MATCHES = 500_000
+MAX_STATES = 900_000
+MAX_MATCHES = 600_000
 
 _SPACE = r"\t\n\v\f\r \x85\xa0"
 _LETTER = r"A-Za-z\xaa\xb5\xbaÀ-ÖØ-öø-ÿĀ-ɏ"
@@ -357,7 +357,11 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 values = np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(values)))
             yield pa.RecordBatch.from_arrays(cols, list(kinds))
-        if not keep:
+        if keep:
+            gc.freeze()
+        else:
+            bpe = None
             _loaded.clear()
+        gc.enable()
 
     return prepared(docs).mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in kinds.items()))

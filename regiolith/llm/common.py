@@ -85,6 +85,7 @@ def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 
     def run(batches: Iterator) -> Iterator:
         yield from function(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
