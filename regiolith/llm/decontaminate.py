@@ -4,17 +4,19 @@ Texts are compared as lower-cased words joined by single spaces.  A document
 holds an item when some substring of it is within MAX_EDITS edits a character
 of the item.
 
-1. Windows.  An item-sized window is taken wherever it can line up with an item:
-   SEED consecutive words of the item (all, of a shorter one) stand in the
-   document, and the window starts as far before them as the item does.  Seeds
-   are looked up by hash over every word of every document.
+1. Windows.  A window is taken wherever enough q-grams of an item stand moved by
+   about the same distance: in two neighbouring strips of distances.  Items under
+   60 bytes need the m - q + 1 - k * q grams that k edits leave at least, in strips
+   wider than k, which loses no copy.  Longer ones need SHARE of m 5-byte grams, in
+   strips as wide as the distance that random edits make; of these only
+   edits at even distances of five bytes leave too few.
 2. Embedding.  Windows and items are embedded by CGK random walks: at step j the
    walk emits the current byte and moves on by a random bit of (j, byte).  Edits
    that the walks get over leave the rest of the embeddings equal, so a small
    edit distance becomes a small Hamming distance.
 3. Bit-sampling LSH.  Each of WALKS walks has TABLES tables, keyed by SAMPLES
-   positions of the embedding; a window's candidates are all items that share
-   its key in AGREE tables or more.
+   positions of the embedding; a window's candidates are the item whose q-grams
+   it holds and all items that share its key in AGREE tables or more.
 4. Every candidate is verified by bit-parallel edit distance (exact), with free
    ends in the text around the window.
 
@@ -29,6 +31,7 @@ and kept by without_leaks().  Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,21 +39,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, flat, gram_hash, lean, mix, prepare, random_words, row_key, slices, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, flat, lean, mix, prepare, random_words, row_key, slices, word_spans
 
 MAX_EDITS = 0.2
 WALKS, TABLES, SAMPLES = 24, 32, 3
 #: Tables in which a candidate shares the window's key, at least: by chance one item in 200 does, at a tenth of the characters edited 94 % do.
 AGREE = 4
 BLOCK_BYTES = 4 << 20
-SEED, SEED_BYTES = 3, 12
 HELD_WINDOWS = 8_000
+#: Buckets of q-grams (those that share one count for each other, which adds windows only), strips counted and q-grams met at once.
+BUCKET_BITS, STRIPS, MET = 20, 4 << 20, 2 << 20
+#: The width of q-grams by an item's least size.
+WIDTHS = ((60, 5), (30, 3), (4, 2), (1, 1))
+SHARE = 0.16
 
 
 def normal(data: bytes) -> bytes:
     return b" ".join(data.translate(LOWER.tobytes()).split())
 
 
+def normal_slice(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """normal() of all documents of lower-cased bytes, each with a line feed after it, and the n + 1 offsets into that."""
+    s, e, at = word_spans(part, offsets)
+    size = e - s + 1  # with the blank or line feed after each word
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(ends[-1], 0x20, np.uint8)
+    fill = np.ones(len(out), bool)
+    fill[ends[1:] - 1] = False
+    inside = np.zeros(len(part) + 1, np.int8)
+    np.add.at(inside, s, 1)
+    np.add.at(inside, e, -1)
+    out[fill] = part[np.cumsum(inside[:-1]) > 0]
+    last = at[1:][at[1:] > at[:-1]]
+    out[ends[last] - 1] = 0x0A
+    return out, ends[at]
+
+
+def gram_buckets(data: np.ndarray, width: int) -> np.ndarray:
+    """The bucket of every width consecutive bytes."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    code = np.zeros(n, np.uint64)
+    for k in range(width):
+        code = code << U64(8) | data[k : k + n]
+    return (code * U64(0x9E3779B97F4A7C15) >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def strip_of(size: int) -> tuple[int, int]:
+    """The width of an item's q-grams and the bits of its strips' width."""
+    width, edits = next(width for least, width in WIDTHS if size >= least), int(MAX_EDITS * size)
+    return width, max(3, (math.isqrt(edits) - 1).bit_length()) if width == WIDTHS[0][1] else edits.bit_length()
+
+
+class Strips:
+    """The items that are looked for by q-grams of one width in strips of 2^shift distances."""
+
+    def __init__(self, own: list[int], texts: list[bytes], width: int, shift: int) -> None:
+        self.own, self.width, self.shift = np.array(own), width, shift
+        self.size = np.array([len(texts[i]) for i in own])
+        self.edits = np.array([int(MAX_EDITS * m) for m in self.size])
+        long = width == WIDTHS[0][1]
+        self.need = np.ceil(SHARE * self.size).astype(int) if long else self.size - width + 1 - width * self.edits
+        grams = [gram_buckets(np.frombuffer(texts[i], np.uint8), width) for i in own]
+        bucket, item = np.concatenate(grams), np.repeat(np.arange(len(own)), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams])
+        order = np.argsort(bucket, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.start = np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
+        self.longest = int(self.size.max())
+        self.overlap = 4 * self.longest + 16
+        self.step = max(4 * self.overlap, min(1 << 18, (STRIPS << shift) // len(own)))
+
+    def windows(self, data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, from, to): where an item seems to start in data, and the bytes within which a copy would stand."""
+        for lo in range(0, max(1, len(data)), self.step):
+            part = data[lo : lo + self.step + self.overlap]
+            for item, start, left, right in self._windows(part):
+                yield item, lo + start, max(0, lo + left), min(len(data), lo + right)
+
+    def _windows(self, part: np.ndarray) -> list[tuple[int, int, int, int]]:
+        bucket = gram_buckets(part, self.width)
+        n = self.start[bucket + 1] - self.start[bucket]
+        at = np.flatnonzero(n)
+        n, first = n[at], self.start[bucket[at]]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        strips = (len(part) + self.longest >> self.shift) + 2  # an item's last one is empty
+        size, entry = strips * len(self.own), (self.item * strips << self.shift) + self.longest - self.place
+        cuts = [0]
+        while cuts[-1] < len(at):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + MET, "right")) - 1))
+
+        def met() -> Iterator[np.ndarray]:
+            """Strip of an item << shift | distance in the strip, for each gram met."""
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                x = np.repeat(first[i:j] - (ends[i:j] - ends[i]), n[i:j])
+                x += np.arange(len(x))
+                yield np.repeat(at[i:j], n[i:j]) + entry[x]
+
+        count = np.zeros(size + 1, np.int64)
+        for spot in met():
+            more = np.bincount(spot >> self.shift)
+            count[: len(more)] += more
+        half = np.flatnonzero(count >= (int(self.need.min()) + 1) // 2)  # one of two strips has half
+        good = np.unique(np.concatenate([half, half[half > 0] - 1]))
+        good = good[count[good] + count[good + 1] >= self.need[np.minimum(good // strips, len(self.own) - 1)]]
+        if not len(good):
+            return []
+        flag, sums = np.zeros(size + 1, bool), np.zeros(size + 1)
+        flag[good] = flag[good + 1] = True
+        for spot in met():
+            own = spot[flag[spot >> self.shift]]
+            np.add.at(sums, own >> self.shift, own % (strips << self.shift))
+        item, both = good // strips, count[good] + count[good + 1]
+        new = np.flatnonzero(np.append(True, (np.diff(good) > 1) | (np.diff(item) > 0)))  # strips in a row are one window
+        last = np.append(new[1:], len(good)) - 1
+        best = np.lexsort((-both, np.repeat(new, last - new + 1)))[new]
+        start = ((sums[good] + sums[good + 1]) / both).astype(np.int64)[best] - self.longest
+        left = (good[new] % strips << self.shift) - self.longest - self.edits[item[new]]
+        item = item[new]
+        right = (good[last] % strips + 2 << self.shift) - self.longest + self.size[item] + 2 * self.edits[item]
+        return list(zip(self.own[item].tolist(), start.tolist(), left.tolist(), right.tolist()))
+
+
 def edit_distance(pattern: bytes, text: bytes) -> int:
     """The least edits that turn pattern into some substring of text (Myers' bit-parallel columns)."""
     m = len(pattern)
@@ -72,51 +183,28 @@ def edit_distance(pattern: bytes, text: bytes) -> int:
 
 
 class Index:
-    """The items of a block: their seeds by width, and their keys in every table."""
+    """The items of a block: their q-grams by width, and their keys in every table."""
 
     def __init__(self, ids: list[int], texts: list[bytes]) -> None:
         self.ids, self.texts = ids, texts
-        data, off = np.frombuffer(b"\n".join(texts), np.uint8), np.cumsum([0] + [len(t) + 1 for t in texts])
-        off[-1] -= 1
-        s, e, at = word_spans(data, off)
-        h = word_hashes(data, s, e)
-        words = np.diff(at)
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for width in range(1, SEED + 1):
-            own = np.flatnonzero(words >= SEED if width == SEED else words == width)
-            if not len(own):
-                continue
-            grams = gram_hash(h, width)
-            place = np.concatenate([np.arange(words[i] - width + 1) for i in own])
-            item = np.repeat(own, words[own] - width + 1)
-            size = e[at[item] + place + width - 1] - s[at[item] + place]
-            long = size >= SEED_BYTES
-            long |= ~np.isin(item, item[long])  # an item without a long seed keeps all of its own
-            item, place = item[long], place[long]
-            key = grams[at[item] + place]
-            order = np.argsort(key, kind="stable")
-            seen = np.zeros(1 << 22, bool)
-            seen[(key >> U64(42)).astype(np.int64)] = True
-            self.seeds[width] = (seen, key[order], item[order], place[order])
+        dealt: dict[tuple[int, int], list[int]] = {}
+        for i, t in enumerate(texts):
+            dealt.setdefault(strip_of(len(t)), []).append(i)
+        self.strips = [Strips(own, texts, *kind) for kind, own in dealt.items()]
         keys = sample_keys(texts)
         self.lsh_item = np.repeat(np.arange(len(texts)), keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
         self.lsh_keys, self.lsh_item = keys.ravel()[order], self.lsh_item[order]
 
-    def windows(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, first word, item whose size the window has) of the word hashes h of the documents at the word offsets at."""
-        out = []
-        for width, (seen, keys, items, places) in self.seeds.items():
-            grams = gram_hash(h, width)
-            hit = np.flatnonzero(seen[(grams >> U64(42)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, grams[hit], "left"), np.searchsorted(keys, grams[hit], "right")
-            n = hi - lo
-            p = np.repeat(hit, n)
-            x = np.repeat(lo, n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-            doc = np.searchsorted(at, p, "right") - 1
-            good = p + width <= at[doc + 1]
-            out.append(np.stack([doc[good], np.maximum(p[good] - at[doc[good]] - places[x[good]], 0), items[x[good]]], axis=1))
-        return list(map(tuple, np.unique(np.concatenate(out), axis=0).tolist())) if out else []
+    def windows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item, start, from, to) of every window of the normal texts of documents."""
+        for strips in self.strips:
+            for item, start, left, right in strips.windows(data):
+                lo = max(0, int(np.searchsorted(offsets, left, "right")) - 1)
+                for doc in range(lo, int(np.searchsorted(offsets, right, "left"))):
+                    a, b = int(offsets[doc]), int(offsets[doc + 1]) - 1
+                    if b > a and min(right, b) > max(left, a):
+                        yield doc, item, min(max(start, a), b - 1), max(left, a), min(right, b)
 
     def candidates(self, texts: list[bytes]) -> list[list[int]]:
         """For each window the items that share its key in AGREE tables."""
@@ -172,13 +260,13 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             best: dict[tuple[int, int | None, int], tuple[int, int]] = {}
-            for (row, doc, word, _, _, around), found in zip(held, own.candidates([x[4] for x in held])):
-                for item in found:
-                    pattern = own.texts[item]
+            for (row, doc, word, item, _, around), more in zip(held, own.candidates([x[4] for x in held])):
+                for found in {item, *more}:
+                    pattern = own.texts[found]
                     most = int(MAX_EDITS * len(pattern))
                     d = edit_distance(pattern, around)
                     if d <= most:
-                        key = (row, doc, item)
+                        key = (row, doc, found)
                         best[key] = min(best.get(key, (d, word)), (d, word))
             cols = zip(*[(row, doc, own.ids[item], word, d, len(own.texts[item])) for (row, doc, item), (d, word) in best.items()]) if best else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
@@ -188,16 +276,11 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
             rows, ids = b["row"].to_pylist(), b["doc_id"].to_pylist()
             for lo, hi in slices(offsets):
                 part = LOWER[data[offsets[lo] : offsets[hi]]]
-                s, e, at = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-                for doc, word, item in own.windows(word_hashes(part, s, e), at):
-                    size, first, last = len(own.texts[item]), int(at[doc]), int(at[doc + 1])
-                    spare = int(MAX_EDITS * size) + 16
-                    begin = first + min(word, last - first - 1)
-                    left = max(first, int(np.searchsorted(s, s[begin] - spare)))
-                    right = min(last, int(np.searchsorted(s, s[begin] + 2 * size + 2 * spare)))
-                    whole = b" ".join(part[s[left] : e[right - 1]].tobytes().split())
-                    skip = len(b" ".join(part[s[left] : s[begin]].tobytes().split())) + (begin > left)
-                    held.append((rows[lo + doc], ids[lo + doc], word, item, whole[skip : skip + size], whole[: skip + size + spare]))
+                text, at = normal_slice(part, offsets[lo : hi + 1] - offsets[lo])
+                ends = np.flatnonzero(text <= 0x20)  # after each word
+                for doc, item, start, left, right in own.windows(text, at):
+                    word = int(np.searchsorted(ends, start) - np.searchsorted(ends, at[doc]))
+                    held.append((rows[lo + doc], ids[lo + doc], word, item, text[start : min(start + len(own.texts[item]), at[doc + 1] - 1)].tobytes(), text[left:right].tobytes()))
             if len(held) > HELD_WINDOWS:  # at a batch's end, so a document's windows are together
                 yield from send()
                 held.clear()

@@ -162,6 +162,16 @@ def test_decontamination(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_decontamination_without_an_intact_word(spark):
+    """A letter of every sixth changed: hardly a word of the item is left, and it is within MAX_EDITS."""
+    rng = random.Random(18)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(5, 9))) for _ in range(500)]
+    items = [(i, " ".join(rng.choices(words, k=40))) for i in range(20)]
+    docs = [(i, " ".join(rng.choices(words, k=40)) + " " + "".join("z" if k % 6 == 3 else c for k, c in enumerate(t)) + " tail") for i, t in items]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(20)}
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(3)
 
