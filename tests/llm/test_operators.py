@@ -172,6 +172,15 @@ def test_decontamination_without_an_intact_word(spark):
     assert got == {(i, i) for i in range(20)}
 
 
+def test_decontamination_with_wide_white_space(spark):
+    rng = random.Random(19)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(500)]
+    item = rng.choices(words, k=40)
+    docs = [(0, "x " + (" " * 60).join(item) + " y"), (1, "\n\n\t    ".join(item)), (2, " ".join(item[:20]) + " " * 3000 + " ".join(item[20:])), (3, (" " * 60).join(rng.choices(words, k=40)))]
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {(0, 7, 0), (1, 7, 0), (2, 7, 0)}
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(3)
 
