@@ -273,7 +273,7 @@ def adjacency_pairs(spark, d):
 
 @query("WITH gr AS (SELECT CAST(floor(o_orderkey / 60) AS BIGINT) AS y, o_orderkey % 60 AS x, min(o_custkey % 9) AS seg FROM orders WHERE o_orderkey < 6000 GROUP BY ALL), p AS (SELECT a.seg AS a, b.seg AS b FROM gr a JOIN gr b ON (a.y = b.y AND a.x + 1 = b.x) OR (a.x = b.x AND a.y + 1 = b.y)) SELECT DISTINCT least(a, b) AS s1, greatest(a, b) AS s2 FROM p")
 def grid_adjacency(spark, d):
-    o = src.table(spark, d, "orders").filter("o_orderkey < 6000")
+    o = src.table(spark, d, "orders")
     grid = o.groupBy(F.floor(F.col("o_orderkey") / 60).alias("y"), (F.col("o_orderkey") % 60).alias("x")).agg(F.min(F.col("o_custkey") % 9).alias("seg"))
     return pairs.adjacent(grid.withColumn("photo", F.lit(1))).select("s1", "s2")
 
