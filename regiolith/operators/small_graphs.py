@@ -131,24 +131,30 @@ def edge_cover(edges: list[Edge]) -> list[int]:
     return sorted(out)
 
 
+def _fewest(near: dict) -> list:
+    """Fewest keys such that every other one is near one of them, by branching on the key with least choice."""
+    cover = {v: {v, *u} for v, u in near.items()}
+    most = max(map(len, cover.values()), default=0)
+
+    def search(left: frozenset, own: tuple, k: int) -> tuple | None:
+        if not left:
+            return own
+        if len(left) > k * most:
+            return None
+        v = min(left, key=lambda x: (len(cover[x]), x))
+        return next((found for u in sorted(cover[v]) if (found := search(left - cover[u], (*own, u), k - 1)) is not None), None)
+
+    return sorted(next(found for k in range(len(near) + 1) if (found := search(frozenset(near), (), k)) is not None))
+
+
 def absorbing_nodes(edges: list[Edge]) -> list:
     """Fewest nodes such that every other one has a neighbour among them."""
-    near = _near(edges)
-    for k in range(1, len(near) + 1):
-        for own in combinations(sorted(near), k):
-            if all(v in own or near[v] & set(own) for v in near):
-                return list(own)
-    return []
+    return _fewest(_near(edges))
 
 
 def absorbing_edges(edges: list[Edge]) -> list[int]:
     """Fewest edges such that every other one shares a node with one of them."""
-    for k in range(0, len(edges) + 1):
-        for own in combinations(range(len(edges)), k):
-            touched = {v for i in own for v in edges[i][:2]}
-            if all(i in own or touched & {*e[:2]} for i, e in enumerate(edges)):
-                return list(own)
-    return []
+    return _fewest({i: {k for k, f in enumerate(edges) if k != i and {*e[:2]} & {*f[:2]}} for i, e in enumerate(edges)})
 
 
 def colour_nodes(edges: list[Edge]) -> dict:
@@ -300,20 +306,32 @@ def isomorphism(a: list[Edge], b: list[Edge]) -> dict | None:
 
 
 def shortest_tour(weight: dict[tuple, float]) -> list:
-    """The cheapest closed tour of all nodes (subsets by dynamic programming), for a dozen nodes."""
+    """The cheapest closed tour of all nodes (subsets that paths from the first node reach, by dynamic programming); empty if there is none.
+
+    On graphs of bounded width the subsets reached are few; on complete ones they are all, for a dozen nodes.
+    """
     nodes = sorted({v for e in weight for v in e})
     if len(nodes) < 2:
         return nodes
-    inf = float("inf")
-    cost = lambda a, b: weight.get((a, b), weight.get((b, a), inf))
-    first, rest = nodes[0], nodes[1:]
-    best = {(frozenset([v]), v): (cost(first, v), None) for v in rest}
-    for k in range(2, len(rest) + 1):
-        for own in map(frozenset, combinations(rest, k)):
-            for v in own:
-                best[own, v] = min((best[own - {v}, u][0] + cost(u, v), u) for u in own if u != v)
-    own, total = frozenset(rest), min((best[frozenset(rest), v][0] + cost(v, first), v) for v in rest)
-    tour, v = [], total[1]
+    near: dict = {v: {} for v in nodes}
+    for (a, b), w in weight.items():
+        near[a][b] = w
+        near[b][a] = weight.get((b, a), w)
+    first = nodes[0]
+    best = {(frozenset([v]), v): (w, None) for v, w in near[first].items() if v != first}
+    layer = best
+    for _ in nodes[2:]:
+        layer, old = {}, layer
+        for (own, u), (d, _) in old.items():
+            for v, w in near[u].items():
+                if v != first and v not in own:
+                    key = (own | {v}, v)
+                    layer[key] = min(layer.get(key, (d + w, u)), (d + w, u))
+        best |= layer
+    ends = [(d + near[v][first], v) for (_, v), (d, _) in layer.items() if first in near[v]]
+    if not ends:
+        return []
+    own, tour, v = frozenset(nodes[1:]), [], min(ends)[1]
     while v is not None:
         tour.append(v)
         v, own = best[own, v][1], own - {v}

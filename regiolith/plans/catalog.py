@@ -590,7 +590,7 @@ def region_segment(spark, d):
 
 def _small(spark, d) -> DataFrame:
     """One small graph an order of five suppliers or more: a ring with a chord."""
-    ln = src.lines(spark, d).filter("seg <= 8").select("photo", "seg", "q")
+    ln = src.lines(spark, d).select("photo", "seg", "q")
     return ln.join(ln.groupBy("photo").agg(F.max("seg").alias("n")).filter("n >= 5"), "photo")
 
 
