@@ -65,6 +65,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def row_key(*cols: str) -> Column:
     """A key of a row's content: rows that repeat all these columns share it."""
     return F.xxhash64(*cols)

@@ -12,13 +12,17 @@ with equal sets form a class, of which one represents the others.
 * Links are confirmed on the full sets.
 
 Pairs within a band's bucket are never listed.  In a round, each bucket with two
-components or more compares its members with one hub, linearly; found links
-merge components.  When a round finds no more, or after ROUNDS, what is left is
-compared in full: a semi-join keeps the members that some member of another
-component may match by its sketch, and blocks of BLOCK members of a bucket meet
-in tasks that count shared shingles by an index and return one link at most for
-a member and another component.  So a group of any number of near copies takes
-a link per member, and no link between components is left out.
+components or more offers its members one hub, and every member meets at most
+one: of the hubs offered in its buckets the one whose sketch is nearest.  Found
+links merge components.  Rounds go on while a quarter of their pairs are links,
+so their number grows with the logarithm of a group's size.  What is left then is
+compared in full.  A member stays if its sketch allows a link with a member of
+another component in one of its buckets: buckets of FEW members say so in a join,
+larger ones in cells of two blocks each.  Cells of the members that stay count
+the shingles that all pairs share by products of incidence matrices, and return a
+forest: links that join the components of the cell, one less than there are of
+them at most.  Blocks are bounded by members and by shingles, so a bucket of any
+size is dealt to many tasks, and no link between components is left out.
 
 Rows: a null text, and a text without words, has an empty set and no links; with
 fewer than five words the whole sequence is one shingle.  Rows that share a
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, lean, merged, mix, prefix_sums, prepare, random_words, slices, span_hash, tidy, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, cut, flat, gram_hash, lean, merged, mix, prefix_sums, prepare, random_words, slices, span_hash, tidy, unused, word_hashes, word_spans
 from regiolith.llm.components import components
 from regiolith.llm.repeats import LAST_ID
 
@@ -46,10 +50,10 @@ BANDS, ROWS = 44, 5
 SKETCH = 512
 #: Bits that may differ: 89 are expected at similarity 0.75, with a deviation of about 10.
 MOST_BITS = 139
-#: Rounds with hubs at most; what they leave is compared in full.
-ROUNDS = 2
-#: Members of a bucket that meet in a task, and rows for a task.
-BLOCK, PART_ROWS = 2000, 5000
+#: Rounds with hubs go on while this share of their pairs are links.
+WORTH = 0.25
+#: Members of a bucket that meet in a join; others do so in blocks of so many members and shingles; rows for a task.
+FEW, BLOCK, BLOCK_SHINGLES, PART_ROWS = 48, 2000, 2_000_000, 5000
 
 _XOR = random_words(BANDS * ROWS, 2).astype(np.uint32)
 _TIMES = (random_words(BANDS * ROWS, 3) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -120,24 +124,21 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(node, grams): the full sets, 40 bits a shingle, of docs (node, text)."""
+    """(node, size, grams): the full sets, 64 bits a shingle, of docs (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = flat(b["text"])
-            out = []
+            out: list[np.ndarray] = []
             for lo, hi in slices(offsets):
-                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                out += [x.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(out, pa.binary())], ["node", "grams"])
+                out += shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], ["node", "size", "grams"])
 
-    return docs.mapInArrow(lean(run), "node long, grams binary")
+    return docs.mapInArrow(lean(run), "node long, size long, grams binary")
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+def unpack(blob: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), np.uint64)
 
 
 def alike(both: np.ndarray | int, left: np.ndarray | int, right: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -149,11 +150,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, was, left = [], None, None
-            for a, x, y in zip(b["a"].to_pylist(), b["x"], b["y"]):
-                if a != was:
-                    was, left = a, unpack(x.as_buffer().to_pybytes())
-                right = unpack(y.as_buffer().to_pybytes())
+            keep = []
+            for x, y in zip(b["x"], b["y"]):
+                left, right = unpack(x), unpack(y)
                 keep.append(bool(alike(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), percent)))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], ["a", "b"])
@@ -163,54 +162,145 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return merged(merged(pairs, y, "b"), x, "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long").distinct()
 
 
+def cells(rows: DataFrame, blocks: Column, n_parts: int) -> DataFrame:
+    """rows (key, node, ...), once for every cell (key, i, j) that its block, i or j, is in, and the part that the cell is dealt to."""
+    rows = rows.withColumn("blocks", blocks.cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    return rows.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
+
+
+def each_cell(group: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Every cell of a part, with the rows of its first and of its second block (all rows twice where they are one block)."""
+    group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+    key, i, j, own = (group[c].to_numpy() for c in ("key", "i", "j", "own"))
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    for a, b in zip(new.tolist(), np.append(new[1:], len(key)).tolist()):
+        first = own[a:b] == i[a]
+        yield group.slice(a, b - a), np.flatnonzero(first), np.flatnonzero(first if i[a] == j[a] else ~first)
+
+
+def parts_of(rows: DataFrame, n: int) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PART_ROWS)
+
+
+def able_in_blocks(rest: DataFrame) -> DataFrame:
+    """(key, node, component) of the rows of rest whose sketch allows a link with another component of their bucket; rest has blocks and the sketch."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = []
+        for cell, left, right in each_cell(group):
+            component = cell["component"].to_numpy()
+            sketch = np.stack([cell[c].to_numpy() for c in SKETCH_COLS], axis=1).view(np.uint64)
+            able = np.zeros(len(cell), bool)
+            for lo in range(0, len(left), 64):
+                x = left[lo : lo + 64]
+                bits = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
+                near = (bits <= MOST_BITS) & (component[x][:, None] != component[right][None, :])
+                able[x] |= near.any(axis=1)
+                able[right] |= near.any(axis=0)
+            out.append(cell.filter(pa.array(able)).select(["key", "node", "component"]))
+        return pa.concat_tables(out)
+
+    rows = cells(rest, F.col("blocks"), parts_of(rest, rest.count()))
+    return rows.groupBy("part").applyInArrow(run, "key long, node long, component long").distinct()
+
+
+def shared_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of left and of right share, by products of incidence matrices; rare shingles are added up pair by pair."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, name, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    row, col = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    rare = (count > 1) & (count < 24) & (len(sets) > 256)
+    often = np.flatnonzero((count > 1) & ~rare)
+    place = np.full(len(count), -1)
+    place[often] = np.arange(len(often))
+    keep = place[name] >= 0
+    at, who = place[name][keep], owner[keep]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    wide = max(64, (4 << 20) // len(sets))
+    for lo in range(0, len(often), wide):
+        x = slice(*np.searchsorted(at, [lo, lo + wide]))
+        has = np.zeros((len(sets), min(wide, len(often) - lo)), np.float32)
+        has[who[x], at[x] - lo] = 1
+        both += has[left] @ has[right].T
+    who = owner[rare[name]]
+    who = who[np.argsort(name[rare[name]], kind="stable")]
+    n = count[rare]
+    start = np.cumsum(n) - n
+    for k in range(1, 24):  # each holder with the k-th after it
+        good = np.flatnonzero(np.repeat(n, n) > k + np.arange(len(who)) - np.repeat(start, n))
+        for a, b in ((who[good], who[good + k]), (who[good + k], who[good])):
+            own = (row[a] >= 0) & (col[b] >= 0)
+            np.add.at(both, (row[a[own]], col[b[own]]), 1)
+    return both
+
+
+def forest(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between the components of a cell that join them as all its links do."""
+    kinds, kind = np.unique(component, return_inverse=True)
+    if len(kinds) < 2 or not len(left) or not len(right):
+        return
+    lens = np.array([len(x) for x in sets], np.float64)
+    both, root = shared_shingles(sets, left, right), np.arange(len(kinds))
+    for x, shares in zip(left.tolist(), both):
+        found = right[alike(shares.astype(np.float64), lens[x], lens[right], percent)]
+        roots, first = np.unique(root[kind[found]], return_index=True)
+        own = root[kind[x]]
+        for r, y in zip(roots.tolist(), found[first].tolist()):
+            if r != own:
+                yield min(node[x], node[y]), max(node[x], node[y])
+        if len(roots):
+            root[np.isin(root, np.append(roots, own))] = min(own, roots[0])
+
+
 def confirm_blocks(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components that share a bucket in active (key, node, component)."""
-    n_parts = max(int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")), active.count() // PART_ROWS)
-    size = active.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = merged(merged(active, size, "key"), sets, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = [F.col("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    rows = rows.select(*cell, "node", "component", "grams").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
-
-    def meet(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        lens = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), lens)
-        _, name = np.unique(np.concatenate(sets), return_inverse=True)
-        by_name = owner[np.argsort(name, kind="stable")]
-        start = np.append(0, np.cumsum(np.bincount(name)))
-        kinds, kind, count = np.unique(component, return_inverse=True, return_counts=True)
-        if len(kinds) < 2:
-            return
-        at = np.append(0, np.cumsum(lens))
-        for a in np.flatnonzero(kind != count.argmax()).tolist():  # the largest component meets all others anyway
-            names = name[at[a] : at[a + 1]]
-            n = start[names + 1] - start[names]
-            near = by_name[np.repeat(start[names], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            both = np.bincount(near, minlength=len(sets))
-            found = np.flatnonzero(alike(both, lens[a], lens, percent) & (kind != kind[a]))
-            _, first = np.unique(kind[found], return_index=True)
-            for b in found[first].tolist():
-                yield min(node[a], node[b]), max(node[a], node[b])
+    rows = cut(merged(active, sets.groupBy("node").agg(F.sum("size").alias("size")), "node"))
+    size = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = merged(merged(rows.drop("size"), size, "key"), sets.drop("size"), "node")
 
     def run(group: pa.Table) -> pa.Table:
         out: set[tuple[int, int]] = set()
-        group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
-        key, i, j, node, component = (group[c].to_numpy() for c in ("key", "i", "j", "node", "component"))
-        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        for a, b in zip(edge, np.append(edge[1:], len(key))):
-            out.update(meet(node[a:b], component[a:b], [unpack(x.as_buffer().to_pybytes()) for x in group["grams"][a:b]]))
+        for cell, left, right in each_cell(group):
+            out.update(forest(cell["node"].to_numpy(), cell["component"].to_numpy(), [unpack(x) for x in cell["grams"]], left, right, percent))
         pairs = sorted(out)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return rows.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    return cells(rows, F.col("blocks"), parts_of(active, active.count())).groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
 def bits_apart(left: str, right: str) -> Column:
     return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in SKETCH_COLS])
 
 
+def with_components(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return members.withColumn("component", F.col("node"))
+    return merged(members, label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+
+def hub_pairs(labelled: DataFrame, sketches: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): for a member, of the hubs of its buckets that it has not met, the one with the nearest sketch."""
+    hub = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node"), F.col("component").alias("component")))
+    several = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), hub.alias("hub")).filter("p < q")
+    offered = merged(labelled, several, "key").filter("component <> hub.component").select(F.col("node").alias("own"), F.col("hub.node").alias("hub")).distinct()
+    offered = offered.select("own", "hub", F.least("own", "hub").alias("a"), F.greatest("own", "hub").alias("b"))
+    if tried is not None:
+        offered = merged(offered, tried, ["a", "b"], "left_anti")
+    left, right = sketches.alias("l"), sketches.alias("r")
+    met = merged(merged(offered, left, F.col("own") == F.col("l.node")), right, F.col("hub") == F.col("r.node"))
+    bits = bits_apart("l", "r")
+    best = met.filter(bits <= MOST_BITS).groupBy("own").agg(F.min_by(F.struct("a", "b"), F.struct(bits.alias("bits"), F.col("hub"))).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
 def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | None:
     """(node, component) of the classes that have links; None if no bucket holds two classes."""
+    spark = docs.sparkSession
     classes = sig.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("node").alias("node")).select("node")
     rows = sig.filter("n_shingles > 0").select("node", "set_a", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("set_a").alias("p"), F.max("set_a").alias("q")).filter("p < q").select("key")
@@ -220,35 +310,29 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | Non
     wanted = members.select("node").distinct()
     sets = cut(full_sets(merged(nodes(docs), wanted, "node", "left_semi")))
     sketches = cut(merged(sig, wanted, "node", "left_semi").select("node", *SKETCH_COLS))
-    label, found, tried = None, None, None
-    for turn in range(ROUNDS + 1):
-        if label is None:
-            labelled = members.withColumn("component", F.col("node"))
-        else:
-            labelled = merged(members, label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        order = F.xxhash64(F.lit(turn), F.pmod("key", F.lit(2)), "node")  # two hubs for a group that shares many buckets
-        hub = F.min(F.struct(order.alias("h"), F.col("node").alias("node"), F.col("component").alias("component")))
-        several = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), hub.alias("hub")).filter("p < q")
-        if turn == ROUNDS:
-            break
-        meet = merged(labelled, several, "key").filter("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        left, right = sketches.alias("l"), sketches.alias("r")
-        meet = merged(merged(meet, left, F.col("a") == F.col("l.node")), right, F.col("b") == F.col("r.node")).filter(bits_apart("l", "r") <= MOST_BITS).select("a", "b")
-        if tried is not None:
-            meet = merged(meet, tried, ["a", "b"], "left_anti")
-        meet = cut(meet)
-        tidy(docs.sparkSession)
-        new = cut(confirm(meet, sets, percent))
-        tried = meet if tried is None else cut(tried.union(meet))
-        if new.isEmpty():
+    label, found, tried, turn = None, None, None, 0
+    while True:
+        met = cut(hub_pairs(with_components(members, label), sketches, tried, turn))
+        tidy(spark)
+        new = cut(confirm(met, sets, percent))
+        n_met, n_new = met.count(), new.count()
+        if n_new:
+            found = new if found is None else found.union(new)
+            label = components(found)
+        if n_new <= WORTH * n_met:
             break
-        found = new if found is None else found.union(new)
-        label = components(found)
-    rest = cut(merged(merged(labelled, several.select("key"), "key"), sketches, "node"))
-    left, right = rest.alias("l"), rest.alias("r")
+        tried = met if tried is None else cut(tried.union(met))
+        turn += 1
+    labelled = with_components(members, label)
+    several = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n")).filter("p < q").select("key", "n")
+    rest = cut(merged(merged(labelled, several, "key"), sketches, "node"))
+    tidy(spark)
+    left, right = rest.filter(F.col("n") <= FEW).alias("l"), rest.filter(F.col("n") <= FEW).alias("r")
     near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (bits_apart("l", "r") <= MOST_BITS)
-    active = cut(merged(left, right, near, "left_semi").select("key", "node", "component"))
-    tidy(docs.sparkSession)
+    few = merged(left, right, near, "left_semi").select("key", "node", "component")
+    large = rest.filter(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    active = cut(few.union(able_in_blocks(large)))
+    tidy(spark)
     new = cut(confirm_blocks(active, sets, percent))
     if new.isEmpty():
         return label
@@ -274,9 +358,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs, all columns, with one document of each component; rows that share a doc_id stay or go together."""
-    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct()
+    name = unused(docs, "gone")
+    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(name)).distinct()
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.join(gone, node == F.col("_gone"), "left_anti")
+    return docs.join(gone, node == F.col(name), "left_anti")
 
 
 def oracle() -> str:
