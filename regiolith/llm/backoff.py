@@ -1,304 +1,188 @@
 """Language-model scoring by a weighted backoff automaton.
 
 The model's tokens are lower-cased words and one end per document, learned from
-the documents whose crc32(doc_id) mod 5 is not 1.  Spark counts words and
-n-grams of all of them.  Interpolated absolute discounting turns the counts into
-an automaton: a state for each context (none, a word, two words), an arc for
-each stored n-gram, and a failure arc from each context to the shorter one that
-carries the context's weight.  One pass from left to right over a text carries
-the state and adds up log10 probabilities.  The empty context knows every word of
-the training documents and one unknown word, which has the mass that was
-discounted from all words; probabilities sum to one over these, in any state.
-
-What is stored is set by shares of the training tokens, so its size has a bound
-at any scale: words of share WORD_SHARE or more (at most 1 / WORD_SHARE), and
-n-grams of share GRAM_SHARE or more (at most 1 / GRAM_SHARE an order) of which
-every word has the share of its order in CONTEXT_SHARE.  Only these are
-broadcast.  Rarer words have arcs in the empty context only; there are too many
-to broadcast, so their arcs are joined: the traversal takes the failure arcs to
-the empty context, and the word meets its count in a join of one row for each
-such word of a document.  The base score needs the same counts.
-
-Rows: null and empty texts are one end.  A null doc_id is not held out and is
-learned from.  Rows that repeat both doc_id and text count as often as they
-stand in the table, and each gets its result.  Other columns are not read.
+the documents whose crc32(doc_id) mod 5 is not 1.  Every n-gram of one, two and
+three of their tokens is kept, whatever its count.  Probabilities are smoothed by
+hierarchical Dirichlet priors, P(w | h) = (c(hw) + K * P(w | h')) / (c(h) + K),
+where h' is h without its first token, down to one share for each known word and
+one for all unknown words.  They sum to one over these, in any state.
+
+As an automaton: a state for each context seen (none, a word, two words); an arc
+for each n-gram, with the logarithm of its smoothed probability; from each state
+a failure arc to the state of h', with log K / (c(h) + K).  A token without an arc
+takes the failure arc and tries again there.  The state after a token is that of
+the longest context seen, so it depends on two tokens at most, and one pass
+carries the states of all places of a text along as arrays.
+
+There are too many states to hold or to broadcast.  Texts are dealt to chunks of
+about CHUNK_BYTES.  Each chunk names the n-grams that it holds, once each, with
+how often its training texts hold them; ranges of n-grams meet in tasks that add
+up the counts and answer each chunk with those that other chunks change.  With
+its own counts and the answers a chunk has all arcs that its texts can take, and
+traverses them.  A chunk and a range are both bounded; a frequent n-gram is named
+once by a chunk.
+
+N-grams are told apart by 64-bit hashes.  Rows: null and empty texts are one end.
+A null doc_id is not held out and is learned from.  Rows that repeat both doc_id
+and text count as often as they stand in the table, and each gets its result.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, cut, flat, lean, prepare, row_key, slices, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, cut, flat, mix, prepare, slices, tidy, word_hashes, word_spans
 
-WORD_SHARE = 1e-6
-#: By the order of an n-gram: the least share of each of its words.
-CONTEXT_SHARE = {2: 5e-5, 3: 2e-4}
-GRAM_SHARE = 1e-6
-DISCOUNT = 0.7
-BITS = 20
-BEGIN, END = 0, 1  # ids in n-grams; words come after
+#: The weight K of the prior of words, of words after one, and of words after two.
+PRIORS = (1.0, 40.0, 15.0)
+#: Bytes of text whose n-grams a chunk names, and whose share of all n-grams a range holds.
+CHUNK_BYTES = 8 << 20
+BEGIN, END = U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127)  # stand for the hashes of words
+_TIMES = U64(0x9E3779B97F4A7C15)
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def merge_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return key, np.bincount(at, np.concatenate([c for _, c in held]), len(key)).astype(np.int64)
-
-
-def counted(batches: Iterator[pa.RecordBatch], keys, name: str) -> Iterator[pa.RecordBatch]:
-    """Counts of keys(bytes, offsets) over a partition's texts, each key once for every 4 million held."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def send() -> Iterator[pa.RecordBatch]:
-        key, n = merge_counts(held)
-        for i in range(0, len(key), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000]), pa.array(n[i : i + 200_000])], [name, "n"])
-
-    for b in batches:
-        data, offsets = flat(b["text"])
-        for lo, hi in slices(offsets):
-            held += keys(LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo])
-        size = sum(len(k) for k, _ in held)
-        if size > 4_000_000:
-            held = [merge_counts(held)]
-            if len(held[0][0]) > 3_000_000:
-                yield from send()
-                held = []
-    if held:
-        yield from send()
-
-
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, n): how often each word, by its hash, stands in train (text)."""
-
-    def keys(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        s, e, _ = word_spans(data, offsets)
-        return [np.unique(word_hashes(data, s, e).view(np.int64), return_counts=True)]
-
-    return train.select("text").mapInArrow(lean(lambda it: counted(it, keys, "word")), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def word_ids(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of hashes in the sorted vocabulary; -1: not there."""
-    if not len(vocabulary):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at, -1)
-
-
-def gram_counts(train: DataFrame, words: np.ndarray, share: np.ndarray) -> DataFrame:
-    """(gram, n): n-grams of frequent words, packed as order << 60 | id << 2 * BITS | id << BITS | id.
-
-    words: sorted hashes; share: their shares.  Ids of words are places plus 2.
-    """
-    shared = train.sparkSession.sparkContext.broadcast((words, share))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = shared.value
-
-        def keys(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            s, e, docs = word_spans(data, offsets)
-            h = word_hashes(data, s, e)
-            at = np.arange(len(h)) + np.repeat(2 * np.arange(len(docs) - 1), np.diff(docs)) + 1
-            place = word_ids(own, h.view(np.int64))
-            out = []
-            for order, least in CONTEXT_SHARE.items():
-                ids = np.full(len(h) + 2 * (len(docs) - 1), END)
-                ids[docs[:-1] + 2 * np.arange(len(docs) - 1)] = BEGIN
-                ids[at] = np.where((place >= 0) & (part[place] >= least), place + 2, -1) if len(own) else -1
-                gram = np.zeros(len(ids) - order + 1, np.int64)
-                good = np.ones(len(gram), bool)
-                for k in range(order):
-                    x = ids[k : len(ids) - order + 1 + k]
-                    gram = gram << BITS | np.maximum(x, 0)
-                    good &= (x >= 0) & ((x != END) if k < order - 1 else True) & ((x != BEGIN) if k else True)
-                out.append(np.unique(gram[good] | order << 60, return_counts=True))
-            return out
-
-        return counted(batches, keys, "gram")
-
-    return train.select("text").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States, arcs and failure arcs; state 0 is the empty context."""
-
-    def __init__(self, words: np.ndarray, n: np.ndarray, ends: int, total: int, one: Unigrams, gram: np.ndarray, gram_n: np.ndarray) -> None:
-        self.words = words
-        counts = np.concatenate([[0, ends], n])  # by id
-        self.one = np.where(counts > 0, np.log10(np.maximum(counts - one.discount, 0.01) / max(1, total)), one.unknown)
-        self.base = np.log10(counts + 0.5)
-        order = gram >> 60
-        context: dict[tuple[int, ...], int] = {(): 0}
-        self.fail, self.weight = [0], [0.0]
-        self.arcs: dict[int, tuple[float, int]] = {}
-        mask = (1 << BITS) - 1
-        two = {int(g & (1 << 60) - 1): int(c) for g, c in zip(gram[order == 2], gram_n[order == 2])}
-        pending = []
-        for k in (2, 3):
-            sums: dict[tuple[int, ...], float] = {}
-            for g, c in zip(gram[order == k].tolist(), gram_n[order == k].tolist()):
-                ids = tuple(g >> BITS * i & mask for i in range(k - 1, -1, -1))
-                h = ids[:-1]
-                whole = (ends if h[0] == BEGIN else int(counts[h[0]])) if k == 2 else two.get(h[0] << BITS | h[1], 0)
-                if whole < c:
-                    continue
-                sums[h] = sums.get(h, 0.0) + (c - DISCOUNT) / whole
-                pending.append((h, ids[-1], (c - DISCOUNT) / whole))
-            for h, mass in sums.items():
-                context[h] = len(self.fail)
-                self.fail.append(context.get(h[1:], 0))
-                self.weight.append(math.log10(max(1 - mass, 1e-12)))
-        self.after = [0] * len(counts)
-        for h, s in context.items():
-            if len(h) == 1:
-                self.after[h[0]] = s
-        self.begin = self.after[BEGIN]
-        high: dict[tuple[tuple[int, ...], int], float] = {}
-        for h, w, p in pending:  # shorter contexts come first
-            lower = high.get((h[1:], w)) if len(h) > 1 else None
-            if lower is None:
-                lower = 10 ** self.one[w]
-                if len(h) > 1 and h[1:] in context:
-                    lower *= 10 ** self.weight[context[h[1:]]]
-            high[h, w] = p + 10 ** self.weight[context[h]] * lower
-            follow = context.get((*h[-1:], w), self.after[w])
-            self.arcs[context[h] << BITS | w] = (math.log10(high[h, w]), follow)
-
-    def traverse(self, ids: list[int]) -> float:
-        """log10 of a text's probability; ids: -1 for rarer words, of which only the failure arcs count here."""
-        arcs, fail, weight, after, one = self.arcs, self.fail, self.weight, self.after, self._one()
-        state, total = self.begin, 0.0
-        for w in ids:
-            while state:
-                arc = arcs.get(state << BITS | w) if w >= 0 else None
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                if w >= 0:
-                    total += one[w]
-                    state = after[w]
-        return total
-
-    def _one(self) -> list[float]:
-        if not hasattr(self, "_list"):
-            self._list = self.one.tolist()
-        return self._list
-
-
-@dataclass(frozen=True)
-class Unigrams:
-    """Absolute discounting of single words: the discount, and log10 of the unknown word's probability."""
-
-    discount: float
-    unknown: float
-
-    @classmethod
-    def of(cls, total: int, distinct: int, once: int, twice: int) -> Unigrams:
-        d = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-        return cls(d, math.log10(d * distinct / total) if distinct else 0.0)
-
-
-def learn(train: DataFrame, counts: DataFrame, ends: int, total: int, one: Unigrams) -> Automaton:
-    frequent = counts.filter(F.col("n") >= WORD_SHARE * total).toPandas().sort_values("word")  # at most 1 / WORD_SHARE rows
-    words, n = frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
-    top = np.flatnonzero(n >= min(CONTEXT_SHARE.values()) * total)
-    grams = gram_counts(train, words[top], n[top] / max(1, total))
-    grams = grams.filter(F.col("n") >= GRAM_SHARE * total).toPandas().sort_values("gram")  # at most 1 / GRAM_SHARE rows an order
-    gram, gram_n = grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)
-    ids = np.concatenate([[BEGIN, END], top + 2])  # from places in top to places in the vocabulary
-    new, mask = gram >> 60 << 60, (1 << BITS) - 1
-    for k in range(3):
-        part = ids[gram >> BITS * k & mask] << BITS * k
-        new |= np.where((k < 2) | (gram >> 60 == 3), part, 0)
-    return Automaton(words, n, ends, total, one, new, gram_n)
-
-
-def score(docs: DataFrame) -> DataFrame:
+def token_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the one-, two- and three-gram that end at each token (rows; 0: none), and the n + 1 offsets of the documents in tokens."""
+    keys, at = [], [np.zeros(1, np.int64)]
+    for lo, hi in slices(offsets):
+        part = LOWER[data[offsets[lo] : offsets[hi]]]
+        s, e, words = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
+        own = words + np.arange(len(words))  # with an end after each document
+        token = np.full(own[-1], END)
+        token[np.arange(len(s)) + np.repeat(np.arange(len(words) - 1), np.diff(words))] = word_hashes(part, s, e)
+        before = np.roll(token, 1)
+        before[own[:-1]] = BEGIN
+        two = mix(mix(before * _TIMES) + token)
+        three = mix(np.roll(two, 1) * _TIMES + token)
+        grams = np.stack([mix(token + _TIMES), two, three])
+        grams = grams >> U64(2) << U64(2) | np.array([[1], [2], [3]], np.uint64)  # an order's keys are its own
+        grams[2, own[:-1]] = 0
+        keys.append(grams)
+        at.append(own[1:] + at[-1][-1])
+    return np.concatenate(keys, axis=1) if keys else np.zeros((3, 0), np.uint64), np.concatenate(at)
+
+
+def squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising keys as differences, and their counts, both in as many bytes as the largest takes."""
+    step = np.diff(keys)
+    wide, deep = (max(1, (int(x.max(initial=0)).bit_length() + 7) // 8) for x in (step, counts))
+    low = lambda x, w: np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w].tobytes()
+    return bytes([wide, deep]) + keys[:1].astype("<u8").tobytes() + low(step, wide) + low(counts, deep)
+
+
+def unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide, deep = blob[0], blob[1]
+    n = (len(blob) - 10 + wide) // (wide + deep)
+
+    def high(start: int, k: int, w: int) -> np.ndarray:
+        out = np.zeros((k, 8), np.uint8)
+        out[:, :w] = np.frombuffer(blob, np.uint8, k * w, start).reshape(k, w)
+        return out.view("<u8").ravel()
+
+    first = np.frombuffer(blob, "<u8", 1, 2)
+    return np.cumsum(np.concatenate([first, high(10, n - 1, wide)]), dtype=np.uint64), high(10 + (n - 1) * wide, n, deep).astype(np.int64)
+
+
+class Chunk:
+    """The n-grams of some texts: sorted keys, how often training texts hold each, and where each place's stand among them."""
+
+    def __init__(self, text: pa.Array, held: pa.Array) -> None:
+        grams, self.at = token_grams(*flat(text))
+        self.keys, place = np.unique(grams, return_inverse=True)
+        self.place = place.reshape(grams.shape).astype(np.int32)
+        learned = np.repeat(~np.asarray(held.combine_chunks()), np.diff(self.at))
+        self.counts = np.bincount(self.place[:, learned].ravel(), minlength=len(self.keys))
+        if len(self.keys) and not self.keys[0]:
+            self.counts[0] = 0
+
+    def asks(self, n_parts: int) -> Iterator[tuple[int, bytes]]:
+        """(range, its keys and counts)."""
+        part = ((self.keys >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
+        first = int(len(self.keys) > 0 and not self.keys[0])
+        new = first + np.flatnonzero(np.diff(part[first:], prepend=-1))
+        for i, j in zip(new.tolist(), np.append(new[1:], len(self.keys)).tolist()):
+            yield int(part[i]), squeeze(self.keys[i:j], self.counts[i:j])
+
+    def learn(self, blob: bytes) -> None:
+        keys, counts = unsqueeze(blob)
+        self.counts[np.searchsorted(self.keys, keys)] = counts
+
+    def traverse(self, one: np.ndarray, priors: tuple[float, ...], texts: int) -> np.ndarray:
+        """log10 of each token's probability; one: that of the empty context's arcs; texts: how often the begin was seen."""
+        starts = self.at[:-1][np.diff(self.at) > 0]
+        arc = one
+        for order, prior in ((1, priors[1]), (2, priors[2])):
+            seen = self.counts[self.place[order]]  # of the arc from the state of order tokens
+            context = np.roll(self.counts[self.place[order - 1]], 1)  # of that state
+            context[starts] = texts if order == 1 else 0  # after the begin alone there is no longer context
+            fail = np.log10(prior / (context + prior))  # nothing to lose in a state that was never seen
+            arc = np.where(seen > 0, np.log10((seen + prior * 10**arc) / (context + prior)), fail + arc)
+        return arc
+
+
+def counted(docs: DataFrame, n_parts: int) -> DataFrame:
+    """(chunk, answer, n, v): for chunks of docs, the n-grams whose counts others change; without a chunk, tokens and distinct tokens of a range."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        chunk = group["chunk"][0].as_py()
+        rows = list(Chunk(group["text"], group["held_out"]).asks(n_parts))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+    def meet(group: pa.Table) -> pa.Table:
+        asked = [unsqueeze(x.as_buffer().to_pybytes()) for x in group["blob"]]
+        ends = np.cumsum([0, *(len(k) for k, _ in asked)])
+        keys, own = (np.concatenate(x) for x in zip(*asked))
+        del asked
+        order = np.argsort(keys, kind="stable")
+        new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+        sums = np.add.reduceat(own[order], new)
+        word = (keys[order[new]] & U64(3)) == 1
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(new, len(keys))))
+        out = []
+        for chunk, i, j in zip(group["chunk"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            more = i + np.flatnonzero(total[i:j] != own[i:j])
+            if len(more):
+                out.append((chunk, squeeze(keys[more], total[more]), None, None))
+        out.append((None, None, int(sums[word].sum()), int((sums[word] > 0).sum())))
+        return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("chunk", "answer", "n", "v"), zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))})
+
+    asks = docs.groupBy("chunk").applyInArrow(ask, "part long, chunk long, blob binary")
+    return asks.groupBy("part").applyInArrow(meet, "chunk long, answer binary, n long, v long")
+
+
+def score(docs: DataFrame, priors: tuple[float, ...] = PRIORS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    train = docs.filter(~F.col("held_out"))
-    counts = cut(word_counts(train))
-    ends = train.count()
-    r = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    total, distinct = r["n"] + ends, r["v"] + (ends > 0)
-    one = Unigrams.of(total, distinct, r["once"], r["twice"])
-    automaton = learn(train, counts, ends, total, one)
-    shared = spark.sparkContext.broadcast(automaton)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Automaton = shared.value
-        for b in batches:
-            data, offsets = flat(b["text"])
-            out: list[tuple[int, int, int, float, float]] = []
-            for lo, hi in slices(offsets):
-                part = LOWER[data[offsets[lo] : offsets[hi]]]
-                s, e, at = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-                place = word_ids(own.words, word_hashes(part, s, e).view(np.int64))
-                rare = np.flatnonzero(place < 0)
-                ids = np.where(place >= 0, place + 2, -1)
-                known = np.append(0.0, np.cumsum(np.where(place >= 0, own.base[np.maximum(ids, 0)], 0.0)))
-                cuts = np.searchsorted(rare, at).tolist()
-                ids = ids.tolist()
-                for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                    n_rare = cuts[k + 1] - cuts[k]
-                    out.append((j - i + 1, j - i - n_rare + (own.base[END] > 0), n_rare, float(known[j] - known[i] + own.base[END]), own.traverse([*ids[i:j], END])))
-            cols = [pa.array(np.array(c)) for c in zip(*out)]
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], b["row"], *(c.cast(k) for c, k in zip(cols, kinds))], ["doc_id", "held_out", "row", "n_tokens", "common", "n_rare", "part", "score"])
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Automaton = shared.value
-        for b in batches:
-            data, offsets = flat(b["text"])
-            row = b["row"].to_numpy()
-            for lo, hi in slices(offsets):
-                part = LOWER[data[offsets[lo] : offsets[hi]]]
-                s, e, at = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-                h = word_hashes(part, s, e).view(np.int64)
-                rare = np.flatnonzero(word_ids(own.words, h) < 0)
-                doc = np.searchsorted(at, rare, "right") - 1
-                order = np.lexsort((h[rare], doc))
-                h, doc = h[rare][order], doc[order]
-                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, int)
-                n = np.diff(np.append(new, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(row[lo + doc[new]]), pa.array(n, pa.int64())], ["word", "row", "times"])
-
-    keyed = docs.withColumn("row", row_key("doc_id", "text"))
-    scored = keyed.select("doc_id", "held_out", "row", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, row long, n_tokens long, common long, n_rare long, part double, score double")
-    rare = keyed.select("row", "text").mapInArrow(lean(rare_words), "word long, row long, times long")
-    least = F.col("n") < WORD_SHARE * total
-    met = rare.join(counts.filter(least), "word", "left")
-    sums = met.groupBy("row").agg(
-        F.sum("times").alias("times"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"),
-        F.sum(F.col("times") * F.coalesce(F.log10((F.col("n") - one.discount) / max(1, total)), F.lit(one.unknown))).alias("arcs"),
-    )
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("texts")).first()
+    n_parts, texts = 1 + size["bytes"] // chunk_bytes, size["texts"]
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)))
+    answers = cut(counted(docs, n_parts))
+    tidy(docs.sparkSession)
+    sums = answers.filter("chunk IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    total, distinct = sums["n"], sums["v"]
     shift = math.log10(total + 0.5 * (distinct + 1))
-    again = F.coalesce(F.col("times") / F.col("n_rare"), F.lit(1.0))  # rows that repeat each other share their sums
-    return scored.join(sums, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("common") + F.coalesce(F.round(F.col("seen") / again), F.lit(0)).cast("long")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce(F.col("logs") / again, F.lit(0.0)) - shift * F.col("n_tokens")).alias("base_score"),
-        (F.col("score") + F.coalesce(F.col("arcs") / again, F.lit(0.0))).alias("score"),
-    )
+
+    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
+        chunk = Chunk(rows["text"], rows["held_out"])
+        for blob in given["answer"]:
+            chunk.learn(blob.as_buffer().to_pybytes())
+        n = chunk.counts[chunk.place[0]]
+        arcs = chunk.traverse(np.log10((n + priors[0] / (distinct + 1)) / (total + priors[0])), priors, texts)
+        sums = lambda x: np.diff(np.append(0, np.cumsum(x))[chunk.at])
+        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": np.diff(chunk.at), "n_known": sums(n > 0), "train_tokens": np.full(len(rows), total), "base_score": sums(np.log10(n + 0.5) - shift), "score": sums(arcs)})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return docs.groupBy("chunk").cogroup(answers.filter("chunk IS NOT NULL").select("chunk", "answer").groupBy("chunk")).applyInArrow(run, schema)

@@ -55,4 +55,4 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_suffix_tree, op3_quality_rules, op4_suffix_array, op5_byte_bpe, op6_decontaminate, op7_toxicity, op8_html_extract, op9_odd_sketches, op10_backoff_automaton)}
 
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_suffix_tree": suffix_tree.oracle(), "op9_odd_sketches": minhash.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_suffix_tree": suffix_tree.oracle(), "op4_suffix_array": suffix_array.oracle(), "op9_odd_sketches": minhash.oracle()}

@@ -1,65 +1,96 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 Suffixes of the corpus that can start a repeated window (see ``repeats``) are
-split by the hash of the words that their windows elect.  Within a block the
-tree of all its suffixes is grown top down, write-only: the leaves of a node are
-split by their next word, and a branch with one leaf is dropped as soon as it
-appears.  So each group of suffixes gets as long a prefix as it takes to tell it
-apart, and only branches that hold two leaves or more are held in memory.  The
-nodes still there at the window's length are the deep internal nodes: their
-leaves are the starts of maximal repeats of at least that many words.
+partitioned by prefixes of variable length: the GRAM words that their windows
+elect, or, where more suffixes share these than fit a group of the stated size,
+all words of the window.  Within a group the tree of its suffixes is grown
+write-only and top down: the leaves below an open node are split by their next
+word; a node that splits is written with its depth and parent, children with two
+leaves or more stay open, and words that do not split lengthen an edge.  A tree
+ends at the window's length; the internal nodes at that depth are the deep ones,
+and the leaves below them are the starts of repeats of at least that many words.
 
 Rows: a null text has no words.  Texts of fewer words than the window lose
 nothing.  Equal texts of different documents are copies, which lose all words if
 they have a window's length; rows that repeat both doc_id and text are one
 document, and each gets its result.  Rows with a null doc_id count as one
-document for each text.  Other columns are not read.
+document for each text, another one than any with a doc_id.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import word_spans
-from regiolith.llm.repeats import Windows, contents, covered, remove_repeats
+from regiolith.llm.common import prepare, unused, word_spans
+from regiolith.llm.repeats import Windows, content_key, covered, remove_repeats, safe_salt
 
 LENGTH = 35
 GRAM = 12
 
 
-def deep_leaves(w: Windows, group: np.ndarray, turn: np.ndarray, first: np.ndarray, last: np.ndarray, around: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Tree:
+    """The internal nodes of some suffix trees, and the node that each leaf hangs from (-1: from none)."""
+
+    depth: np.ndarray
+    parent: np.ndarray
+    node: np.ndarray
+
+    @classmethod
+    def grow(cls, words: np.ndarray, root: np.ndarray, depths: Iterable[int], length: int) -> Tree:
+        """Trees of the suffixes in the rows of words, one for each value of root; only the columns in depths can split."""
+        node = np.full(len(words), -1)
+        depth, parent, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        leaf = np.argsort(root, kind="stable")
+        open_ = np.cumsum(np.append(False, np.diff(root[leaf]) != 0))
+        above = np.full(open_[-1] + 1 if len(leaf) else 0, -1)  # the written node over each open one
+        for d in [*depths, length]:
+            if not len(leaf):
+                break
+            branch = open_ << 32 | words[leaf, d] if d < length else open_
+            order = np.argsort(branch, kind="stable")
+            leaf, open_, branch = leaf[order], open_[order], branch[order]
+            first = np.append(True, branch[1:] != branch[:-1])
+            child = np.cumsum(first) - 1
+            size, under = np.bincount(child), open_[first]
+            written = np.flatnonzero((np.bincount(under, minlength=len(above)) > 1) | (d == length) & (np.bincount(open_, minlength=len(above)) > 1))
+            depth.append(np.full(len(written), d))
+            parent.append(above[written])
+            above = above.copy()
+            above[written] = n + np.arange(len(written))
+            n += len(written)
+            keep = (size > 1)[child] & (d < length)
+            node[leaf[~keep]] = above[open_[~keep]]
+            above = above[under[size > 1]]
+            leaf, open_ = leaf[keep], (np.cumsum(size > 1) - 1)[child[keep]]
+        return cls(np.concatenate(depth), np.concatenate(parent), node)
+
+
+def deep_leaves(w: Windows, group: np.ndarray, turn: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Which windows are leaves of a node at depth w.length; columns are window starts from left to right."""
     _, name = np.unique(around, return_inverse=True)
     name = name.reshape(around.shape).astype(np.int64)
     gone = np.zeros((len(group), w.width), bool)
-    anchor = range(w.width - 1, w.width - 1 + w.gram)  # equal within a group already
     for c in range(w.width):
         offset = w.width - 1 - c
         leaf = np.flatnonzero((first <= offset) & (offset <= last))
-        node = group[leaf].astype(np.int64)
-        for depth in range(w.length + 1):
-            if not len(leaf):
-                break
-            if depth and c + depth - 1 in anchor:
-                continue
-            branch = node << 32 | name[leaf, c + depth - 1] if depth else node
-            order = np.argsort(branch, kind="stable")
-            new = np.append(True, np.diff(branch[order]) != 0)
-            child = np.cumsum(new) - 1
-            keep = np.bincount(child)[child] > 1
-            leaf, node = leaf[order][keep], child[keep]
-        gone[leaf, c] = True
+        depths = [d for d in range(w.length) if not offset <= d < offset + w.gram]  # equal within a group already
+        tree = Tree.grow(name[leaf, c : c + w.length], group[leaf], depths, w.length)
+        below = tree.node >= 0
+        gone[leaf[below], c] = tree.depth[tree.node[below]] == w.length
     return gone
 
 
 WINDOWS = Windows("word", LENGTH, GRAM, first_stays=False, block=deep_leaves)
 
 
-def _finish(text: bytes, spans: np.ndarray) -> tuple[int, int, str, str | None, str]:
+def _finish(text: bytes, spans: np.ndarray) -> tuple[int, int, str, str | None]:
     words = text.split()
     if not len(spans):
         return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), None
@@ -83,9 +114,9 @@ def cut_text(text: bytes, gone: np.ndarray) -> str:
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def dedup_texts(docs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
-    """content, first_id, last_id, n_words, n_removed, kept_sha256, kept (the text left; null: as it was) of every distinct text."""
-    out = remove_repeats(docs, w, _finish, "n_words long, n_removed long, kept_sha256 string, kept string")
+def dedup_texts(docs: DataFrame, w: Windows, salt: int) -> DataFrame:
+    """content, n_words, n_removed, kept_sha256, kept (the text left; null: as it was) of every distinct text."""
+    out = remove_repeats(docs, w, salt, _finish, "n_words long, n_removed long, kept_sha256 string, kept string")
     copied = (F.col("first_id") < F.col("last_id")) & (F.col("n_words") >= w.length)
     return out.select(
         "content",
@@ -98,16 +129,20 @@ def dedup_texts(docs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
 
 def repeated_words(docs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text)."""
-    found = dedup_texts(docs, w).drop("kept")
-    return contents(docs).select("doc_id", "content").join(found, "content").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    prepare(docs.sparkSession)
+    salt = safe_salt(docs)
+    found = dedup_texts(docs, w, salt).drop("kept")
+    return docs.select("doc_id", content_key(salt).alias("content")).join(found, "content").select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
     """docs, all columns, each text without the words of its repeated windows; n_chars, if there, follows the text."""
-    found = dedup_texts(docs, w).filter("n_removed > 0").select(F.col("content").alias("_content"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, F.col("_key") == F.col("_content"), "left")
-    length = F.when(F.col("_kept").isNotNull(), F.char_length("_kept"))
-    new = {"text": F.coalesce("_kept", "text"), "n_chars": F.coalesce(length.cast("long"), "n_chars") if "n_chars" in docs.columns else None}
+    prepare(docs.sparkSession)
+    salt, key, content, kept = safe_salt(docs), *(unused(docs, x) for x in ("key_of_text", "content_found", "kept_text"))
+    found = dedup_texts(docs, w, salt).filter("n_removed > 0").select(F.col("content").alias(content), F.col("kept").alias(kept))
+    joined = docs.withColumn(key, content_key(salt)).join(found, F.col(key) == F.col(content), "left")
+    length = F.when(F.col(kept).isNotNull(), F.char_length(kept))
+    new = {"text": F.coalesce(kept, "text"), "n_chars": F.coalesce(length.cast("long"), "n_chars") if "n_chars" in docs.columns else None}
     return joined.select(*[new[c].cast(t).alias(c) if c in new else F.col(f"`{c}`") for c, t in docs.dtypes])
 
 

@@ -77,3 +77,24 @@ def base_scores(rows):
     n, v = sum(c.values()), len(c)
     shift = math.log10(n + 0.5 * (v + 1))
     return {d: (held(d), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10(c[w] + 0.5) - shift for w in ws)) for d, ws in tokens.items()}
+
+
+def model_scores(rows, priors):
+    """doc_id -> log10 probability by hierarchical Dirichlet smoothing of all n-grams up to three, counted in dictionaries."""
+    import math
+    import zlib
+
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    tokens = {d: ["<", *(t or "").encode().translate(lower).split(), ">"] for d, t in rows}
+    learned = [ws for d, ws in tokens.items() if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    grams = Counter(tuple(ws[i - k : i + 1]) for ws in learned for i in range(1, len(ws)) for k in range(min(i, 2) + 1))
+    total, distinct = sum(len(ws) - 1 for ws in learned), sum(len(g) == 1 for g in grams)
+    seen = lambda h: len(learned) if h == ("<",) else grams[h]
+
+    def p(h, w):
+        if not h:
+            return (grams[(w,)] + priors[0] / (distinct + 1)) / (total + priors[0])
+        k = priors[len(h)]
+        return (grams[(*h, w)] + k * p(h[1:], w)) / (seen(h) + k)
+
+    return {d: sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), ws[i])) for i in range(1, len(ws))) for d, ws in tokens.items()}

@@ -1,15 +1,17 @@
 """The operators against plain versions on a small corpus with every odd case, and on odd tables."""
 
+import dataclasses
 import hashlib
 import html
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from regiolith.llm import backoff, boosting, byte_bpe, decontaminate, html_blocks, html_extract, license_scan, minhash, quality, suffix_array, suffix_tree, toxicity
+from regiolith.llm import backoff, boosting, byte_bpe, decontaminate, html_blocks, html_extract, license_scan, minhash, quality, repeats, suffix_array, suffix_tree, toxicity
 from tests.llm import brute
 
 
@@ -53,6 +55,57 @@ def test_repeated_bytes(docs, corpus):
     assert got == brute.repeated_bytes(plain(corpus))
 
 
+@pytest.mark.parametrize("name", ["tree", "array"])
+def test_hot_anchors_take_longer_prefixes(docs, corpus, name, monkeypatch):
+    """With groups of two rows every repeated anchor is hot, and with fewer keys allowed only the most frequent are."""
+    module, function, plainly = {"tree": (suffix_tree, suffix_tree.repeated_words, brute.repeated_words), "array": (suffix_array, suffix_array.repeated_bytes, brute.repeated_bytes)}[name]
+    small = dataclasses.replace(module.WINDOWS, group_bytes=2 * module.WINDOWS.row_bytes)
+    passage = corpus[0][1] if len((corpus[0][1] or "").split()) > 60 else " ".join(f"w{i % 37}" for i in range(80))
+    rows = plain(corpus) + [(1000 + i, f"own{i} start {passage} then own{i} end") for i in range(30)]
+    frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(repeats.hot_anchors(frame, small)) > 3
+    assert {k: v[: 3 if name == "tree" else 4] for k, v in by_id(function(frame, small)).items()} == plainly(rows)
+    monkeypatch.setattr(repeats, "GROUP_KEYS", 40)
+    assert {k: v[: 3 if name == "tree" else 4] for k, v in by_id(function(frame, small)).items()} == plainly(rows)
+
+
+def test_null_ids_are_another_document(spark):
+    text, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = spark.createDataFrame([(5, text), (None, text), (None, other), (None, other)], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in suffix_tree.repeated_words(rows).collect()) == [0, 0, 50, 50]
+    assert sorted((r["doc_id"] is None, r["n_removed"] > 0) for r in suffix_array.repeated_bytes(rows).collect()) == [(False, False), (True, False), (True, False), (True, True)]
+
+
+def test_trees_are_suffix_trees():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n, length = int(rng.integers(1, 30)), int(rng.integers(1, 7))
+        words, root = rng.integers(0, 3, (n, length)), rng.integers(0, 2, n)
+        tree = suffix_tree.Tree.grow(words, root, range(length), length)
+        keys = [(int(root[i]), *words[i].tolist()) for i in range(n)]
+        prefixes = {k[: d + 1]: [j for j in range(n) if keys[j][: d + 1] == k[: d + 1]] for k in keys for d in range(length + 1)}
+        inner = {p for p, own in prefixes.items() if len(own) > 1 and (len(p) == length + 1 or len({keys[j][: len(p) + 1] for j in own}) > 1)}
+        assert len(tree.depth) == len(inner) and sorted(tree.depth.tolist()) == sorted(len(p) - 1 for p in inner)
+        for i, k in enumerate(keys):
+            over = [d for d in range(length + 1) if k[: d + 1] in inner]
+            assert (tree.depth[tree.node[i]] if tree.node[i] >= 0 else None) == max(over, default=None)
+        assert all(p < 0 or tree.depth[p] < d for p, d in zip(tree.parent, tree.depth))
+
+
+def test_buckets_are_sorted_by_cover_ranks():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        n, cols = int(rng.integers(2, 60)), 40
+        around, at = rng.choice([97, 98], (n, cols), p=[0.9, 0.1]).astype(np.uint8), rng.integers(0, 1000, n)
+        ranks = suffix_array.cover_ranks(around, at)
+        for c in (0, 5, 20):
+            row = np.arange(n)
+            now = suffix_array.head(around, c)
+            order = suffix_array.sorted_bucket(row, c, suffix_array.ranked(np.argsort(now, kind="stable"), now), (at + c) % suffix_array.PERIOD, ranks)
+            suffixes = [around[i, c:].tobytes() for i in order]
+            assert suffixes == sorted(suffixes)
+
+
 def test_cut_text_keeps_other_white_space(docs, corpus):
     out = {r["doc_id"]: r["text"] for r in suffix_tree.without_repeats(docs).collect()}
     want = brute.repeated_words(plain(corpus))
@@ -287,24 +340,37 @@ def test_a_large_group_of_near_copies(spark):
 # ------------------------------------------------------------ 10
 
 
-def test_scores(docs, corpus):
-    want = brute.base_scores(plain(corpus))
-    got = by_id(backoff.score(docs))
+@pytest.mark.parametrize("chunk_bytes", [backoff.CHUNK_BYTES, 9_000])
+def test_scores(docs, corpus, chunk_bytes):
+    want, model = brute.base_scores(plain(corpus)), brute.model_scores(plain(corpus), backoff.PRIORS)
+    got = by_id(backoff.score(docs, chunk_bytes=chunk_bytes))
     assert {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
-    assert all(abs(got[k][4] - want[k][4]) < 1e-6 * max(1, abs(want[k][4])) and got[k][5] <= 1e-9 for k in want)
-
-
-def test_automaton_sums_to_one():
-    words, n = np.array([10, 20, 30]), np.array([50, 30, 3])
-    code = lambda *ids: len(ids) << 60 | sum(x << backoff.BITS * (len(ids) - 1 - k) for k, x in enumerate(ids))
-    gram = np.array([code(2, 3), code(3, 1), code(0, 2), code(2, 3, 1), code(0, 2, 3)])
-    one = backoff.Unigrams.of(93, 4, 1, 1)
-    a = backoff.Automaton(words, n, 10, 93, one, gram, np.array([20, 8, 9, 7, 6]))
-    for history in ([], [2], [2, 3], [0, 2][1:], [4]):
-        before = a.traverse(history)
-        total = sum(10 ** (a.traverse([*history, w]) - before) for w in (1, 2, 3, 4))
-        unknown = 10 ** (a.traverse([*history, -1]) - before + one.unknown)
-        assert abs(total + unknown - 1) < 1e-9
+    assert all(abs(got[k][4] - want[k][4]) < 1e-6 * max(1, abs(want[k][4])) for k in want)
+    assert all(abs(got[k][5] - model[k]) < 1e-6 * max(1, abs(model[k])) for k in want)
+
+
+def test_states_sum_to_one():
+    rows = [(i, t) for i, t in enumerate(["a b c a b d", "b c a", "", "c c c b a", "a b"]) if zlib.crc32(str(i).encode()) % 5 != 1]
+    chunk = backoff.Chunk(pa.chunked_array([[t for _, t in rows]]), pa.chunked_array([[False] * len(rows)]))
+    total, distinct = int(chunk.counts[np.unique(chunk.place[0])].sum()), len(np.unique(chunk.place[0]))
+    for history in ("", "a", "a b", "b c", "zz a", "d zz"):
+        texts = [f"{history} {w}".strip() for w in ("a", "b", "c", "d", "zz")] + [history]
+        probe = backoff.Chunk(pa.chunked_array([texts]), pa.chunked_array([[True] * 6]))
+        i = np.minimum(np.searchsorted(chunk.keys, probe.keys), len(chunk.keys) - 1)
+        probe.counts = np.where((chunk.keys[i] == probe.keys) & (probe.keys > 0), chunk.counts[i], 0)
+        one = np.log10((probe.counts[probe.place[0]] + backoff.PRIORS[0] / (distinct + 1)) / (total + backoff.PRIORS[0]))
+        arc = probe.traverse(one, backoff.PRIORS, len(rows))
+        n = len(history.split())
+        assert abs(sum(10 ** arc[probe.at[:-1] + n]) - 1) < 1e-9
+
+
+def test_squeezed_counts():
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 1), (2, 300), (5000, 1 << 40)):
+        keys, counts = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), None
+        counts = rng.integers(0, top, len(keys))
+        got = backoff.unsqueeze(backoff.squeeze(keys, counts))
+        assert (got[0] == keys).all() and (got[1] == counts).all()
 
 
 # ------------------------------------------------------------ odd tables
