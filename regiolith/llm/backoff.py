@@ -17,8 +17,10 @@ carries the states of all places of a text along as arrays.
 There are too many states to hold or to broadcast.  Texts are dealt to chunks of
 about CHUNK_BYTES.  Each chunk names the n-grams that it holds, once each, with
 how often its training texts hold them; ranges of n-grams meet in tasks that add
-up the counts and answer each chunk with those that other chunks change.  With
-its own counts and the answers a chunk has all arcs that its texts can take, and
+up the counts and answer each chunk with those that other chunks hold as well.
+Words and pairs come first; of the n-grams of three a chunk then names those of
+which both pairs were answered, as no other chunk can hold the rest.  With its
+own counts and the answers a chunk has all arcs that its texts can take, and
 traverses them.  A chunk and a range are both bounded; a frequent n-gram is named
 once by a chunk.
 
@@ -43,7 +45,7 @@ from regiolith.llm.common import LOWER, U64, cut, flat, mix, prepare, slices, ti
 #: The weight K of the prior of words, of words after one, and of words after two.
 PRIORS = (1.0, 40.0, 15.0)
 #: Bytes of text whose n-grams a chunk names, and whose share of all n-grams a range holds.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 BEGIN, END = U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127)  # stand for the hashes of words
 _TIMES = U64(0x9E3779B97F4A7C15)
 
@@ -73,46 +75,61 @@ def token_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(keys, axis=1) if keys else np.zeros((3, 0), np.uint64), np.concatenate(at)
 
 
+def planes(x: np.ndarray, wide: int) -> bytes:
+    """The low bytes of numbers, all first ones before all second ones, which compress better."""
+    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
 def squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Rising keys as differences, and their counts, both in as many bytes as the largest takes."""
     step = np.diff(keys)
     wide, deep = (max(1, (int(x.max(initial=0)).bit_length() + 7) // 8) for x in (step, counts))
-    low = lambda x, w: np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :w].tobytes()
-    return bytes([wide, deep]) + keys[:1].astype("<u8").tobytes() + low(step, wide) + low(counts, deep)
+    return bytes([wide, deep]) + keys[:1].astype("<u8").tobytes() + planes(step, wide) + planes(counts, deep)
 
 
 def unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     wide, deep = blob[0], blob[1]
     n = (len(blob) - 10 + wide) // (wide + deep)
 
-    def high(start: int, k: int, w: int) -> np.ndarray:
+    def numbers(start: int, k: int, w: int) -> np.ndarray:
         out = np.zeros((k, 8), np.uint8)
-        out[:, :w] = np.frombuffer(blob, np.uint8, k * w, start).reshape(k, w)
+        out[:, :w] = np.frombuffer(blob, np.uint8, k * w, start).reshape(w, k).T
         return out.view("<u8").ravel()
 
     first = np.frombuffer(blob, "<u8", 1, 2)
-    return np.cumsum(np.concatenate([first, high(10, n - 1, wide)]), dtype=np.uint64), high(10 + (n - 1) * wide, n, deep).astype(np.int64)
+    return np.cumsum(np.concatenate([first, numbers(10, n - 1, wide)]), dtype=np.uint64), numbers(10 + (n - 1) * wide, n, deep).astype(np.int64)
+
+
+def learned(held: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Which tokens are of training texts."""
+    return np.repeat(~np.asarray(held.combine_chunks()), np.diff(at))
+
+
+def counts_of(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, how often each is learned, and the place of each key among them; the key 0 is none."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    place = place.reshape(keys.shape).astype(np.int32)
+    n = np.bincount(place[..., learn].ravel() if keys.ndim > 1 else place[learn], minlength=len(distinct))
+    if len(distinct) and not distinct[0]:
+        n[0] = 0
+    return distinct, n, place
+
+
+def asks(keys: np.ndarray, counts: np.ndarray, n_parts: int) -> Iterator[tuple[int, bytes]]:
+    """(range, its keys and counts)."""
+    first = int(len(keys) > 0 and not keys[0])
+    part = ((keys >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
+    new = first + np.flatnonzero(np.diff(part[first:], prepend=-1))
+    for i, j in zip(new.tolist(), np.append(new[1:], len(keys)).tolist()):
+        yield int(part[i]), squeeze(keys[i:j], counts[i:j])
 
 
 class Chunk:
-    """The n-grams of some texts: sorted keys, how often training texts hold each, and where each place's stand among them."""
+    """The automaton of some texts: sorted n-grams, how often training texts hold each, and where each place's stand among them."""
 
     def __init__(self, text: pa.Array, held: pa.Array) -> None:
         grams, self.at = token_grams(*flat(text))
-        self.keys, place = np.unique(grams, return_inverse=True)
-        self.place = place.reshape(grams.shape).astype(np.int32)
-        learned = np.repeat(~np.asarray(held.combine_chunks()), np.diff(self.at))
-        self.counts = np.bincount(self.place[:, learned].ravel(), minlength=len(self.keys))
-        if len(self.keys) and not self.keys[0]:
-            self.counts[0] = 0
-
-    def asks(self, n_parts: int) -> Iterator[tuple[int, bytes]]:
-        """(range, its keys and counts)."""
-        part = ((self.keys >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
-        first = int(len(self.keys) > 0 and not self.keys[0])
-        new = first + np.flatnonzero(np.diff(part[first:], prepend=-1))
-        for i, j in zip(new.tolist(), np.append(new[1:], len(self.keys)).tolist()):
-            yield int(part[i]), squeeze(self.keys[i:j], self.counts[i:j])
+        self.keys, self.counts, self.place = counts_of(grams, learned(held, self.at))
 
     def learn(self, blob: bytes) -> None:
         keys, counts = unsqueeze(blob)
@@ -131,35 +148,63 @@ class Chunk:
         return arc
 
 
-def counted(docs: DataFrame, n_parts: int) -> DataFrame:
-    """(chunk, answer, n, v): for chunks of docs, the n-grams whose counts others change; without a chunk, tokens and distinct tokens of a range."""
+ASKS = "part long, chunk long, blob binary"
+
+
+def asked(rows: Iterator[tuple[int, bytes]], chunk: int) -> pa.Table:
+    rows = list(rows)
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    def ask(group: pa.Table) -> pa.Table:
-        chunk = group["chunk"][0].as_py()
-        rows = list(Chunk(group["text"], group["held_out"]).asks(n_parts))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+def answered(asking: DataFrame) -> DataFrame:
+    """(chunk, answer, n, v): for each chunk the n-grams that others ask for too, with all their counts; without a chunk, tokens and distinct tokens of a range."""
 
     def meet(group: pa.Table) -> pa.Table:
-        asked = [unsqueeze(x.as_buffer().to_pybytes()) for x in group["blob"]]
-        ends = np.cumsum([0, *(len(k) for k, _ in asked)])
-        keys, own = (np.concatenate(x) for x in zip(*asked))
-        del asked
+        came = [unsqueeze(x.as_buffer().to_pybytes()) for x in group["blob"]]
+        ends = np.cumsum([0, *(len(k) for k, _ in came)])
+        keys, own = (np.concatenate(x) for x in zip(*came))
+        del came
         order = np.argsort(keys, kind="stable")
         new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
-        sums = np.add.reduceat(own[order], new)
+        sums, n = np.add.reduceat(own[order], new), np.diff(np.append(new, len(keys)))
         word = (keys[order[new]] & U64(3)) == 1
-        total = np.empty(len(keys), np.int64)
-        total[order] = np.repeat(sums, np.diff(np.append(new, len(keys))))
+        total, several = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+        total[order], several[order] = np.repeat(sums, n), np.repeat(n > 1, n)
         out = []
         for chunk, i, j in zip(group["chunk"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-            more = i + np.flatnonzero(total[i:j] != own[i:j])
+            more = i + np.flatnonzero(several[i:j])
             if len(more):
                 out.append((chunk, squeeze(keys[more], total[more]), None, None))
         out.append((None, None, int(sums[word].sum()), int((sums[word] > 0).sum())))
         return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("chunk", "answer", "n", "v"), zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))})
 
-    asks = docs.groupBy("chunk").applyInArrow(ask, "part long, chunk long, blob binary")
-    return asks.groupBy("part").applyInArrow(meet, "chunk long, answer binary, n long, v long")
+    return asking.groupBy("part").applyInArrow(meet, "chunk long, answer binary, n long, v long")
+
+
+def words_and_pairs(docs: DataFrame, n_parts: int) -> DataFrame:
+    def ask(group: pa.Table) -> pa.Table:
+        grams, at = token_grams(*flat(group["text"]))
+        keys, counts, _ = counts_of(grams[:2], learned(group["held_out"], at))
+        return asked(asks(keys, counts, n_parts), group["chunk"][0].as_py())
+
+    return answered(docs.groupBy("chunk").applyInArrow(ask, ASKS))
+
+
+def threes(docs: DataFrame, answers: DataFrame, n_parts: int) -> DataFrame:
+    """The n-grams of three whose pairs both were answered."""
+
+    def ask(group: pa.Table, given: pa.Table) -> pa.Table:
+        if not len(group) or not len(given):
+            return asked(iter(()), 0)
+        grams, at = token_grams(*flat(group["text"]))
+        known = np.concatenate([unsqueeze(x.as_buffer().to_pybytes())[0] for x in given["answer"]])
+        known = np.sort(known[known & U64(3) == 2])
+        shared = known[np.minimum(np.searchsorted(known, grams[1]), max(0, len(known) - 1))] == grams[1] if len(known) else np.zeros(grams.shape[1], bool)
+        good = np.flatnonzero(shared & np.roll(shared, 1) & (grams[2] > 0))
+        keys, counts, _ = counts_of(grams[2, good], learned(group["held_out"], at)[good])
+        return asked(asks(keys, counts, n_parts), group["chunk"][0].as_py())
+
+    return answered(docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, ASKS))
 
 
 def score(docs: DataFrame, priors: tuple[float, ...] = PRIORS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -169,10 +214,14 @@ def score(docs: DataFrame, priors: tuple[float, ...] = PRIORS, chunk_bytes: int
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("texts")).first()
     n_parts, texts = 1 + size["bytes"] // chunk_bytes, size["texts"]
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)))
-    answers = cut(counted(docs, n_parts))
+    first = cut(words_and_pairs(docs, n_parts))
     tidy(docs.sparkSession)
-    sums = answers.filter("chunk IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    sums = first.filter("chunk IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     total, distinct = sums["n"], sums["v"]
+    given = first.filter("chunk IS NOT NULL").select("chunk", "answer")
+    more = cut(threes(docs, given, n_parts))
+    tidy(docs.sparkSession)
+    given = given.union(more.filter("chunk IS NOT NULL").select("chunk", "answer"))
     shift = math.log10(total + 0.5 * (distinct + 1))
 
     def run(rows: pa.Table, given: pa.Table) -> pa.Table:
@@ -185,4 +234,4 @@ def score(docs: DataFrame, priors: tuple[float, ...] = PRIORS, chunk_bytes: int
         return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": np.diff(chunk.at), "n_known": sums(n > 0), "train_tokens": np.full(len(rows), total), "base_score": sums(np.log10(n + 0.5) - shift), "score": sums(arcs)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("chunk").cogroup(answers.filter("chunk IS NOT NULL").select("chunk", "answer").groupBy("chunk")).applyInArrow(run, schema)
+    return docs.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(run, schema)
