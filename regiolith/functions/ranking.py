@@ -57,3 +57,18 @@ def group_starts(by: Column, order: list[Column]) -> Column:
     """Whether a row's id differs from the one before it."""
     before = F.lag(by).over(Window.orderBy(*order))
     return before.isNull() | (before != by)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
+    """(by, name): the p-quantile of each group, with midpoints at (i - 0.5) / n.
+
+    Equal values are counted before anything is put in order, and only the two rows about the quantile are kept of a group.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*by).orderBy("v")
+    own = counts.withColumn("to", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    at = F.least(F.greatest(p * F.col("all") + 0.5, F.lit(1.0)), F.col("all").cast("double"))
+    own = own.withColumn("at", at).withColumn("lo", F.floor("at")).withColumn("hi", F.least(F.floor("at") + 1, F.col("all")))
+    holds = lambda c: (F.col(c) > F.col("to") - F.col("n")) & (F.col(c) <= F.col("to"))
+    ends = own.groupBy(*by).agg(F.max(F.when(holds("lo"), F.col("v"))).alias("a"), F.max(F.when(holds("hi"), F.col("v"))).alias("b"), F.first(F.col("at") - F.col("lo")).alias("share"))
+    return ends.select(*by, (F.col("a") + F.col("share") * (F.col("b") - F.col("a"))).alias(name))

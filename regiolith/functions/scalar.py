@@ -99,6 +99,41 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> list[Column]:
     return xyz_to_lab(*rgb_to_xyz(r, g, b))
 
 
+# Linear sRGB to XYZ in hundredths under D65, the way back, and the white point.
+_SRGB = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
+_SRGB_BACK = ((3.2406, -1.5372, -0.4986), (-0.9689, 1.8758, 0.0415), (0.0557, -0.2040, 1.0570))
+_D65 = (95.047, 100.0, 108.883)
+
+
+def srgb_to_xyz(r: Column, g: Column, b: Column) -> list[Column]:
+    """XYZ from 0 to 100 of gamma-corrected channels from 0 to 1; rgb_to_xyz() takes linear ones."""
+    linear = [100 * F.when(c > 0.04045, F.pow((c + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 12.92) for c in (r, g, b)]
+    return [sum((k * c for k, c in zip(m[1:], linear[1:])), m[0] * linear[0]) for m in _SRGB]
+
+
+def xyz_to_srgb(x: Column, y: Column, z: Column) -> list[Column]:
+    """Gamma-corrected channels, clipped to 0..1 as bytes are."""
+    linear = [(m[0] * x + m[1] * y + m[2] * z) / 100 for m in _SRGB_BACK]
+    curved = [F.when(c > 0.0031308, 1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c) for c in linear]
+    return [F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)) for c in curved]
+
+
+def xyz_to_cielab(x: Column, y: Column, z: Column, white: tuple[float, float, float] = _D65) -> list[Column]:
+    """L, a, b of XYZ from 0 to 100, with one formula for L at all lightnesses."""
+    f = [F.when(v / w > 0.008856, F.pow(v / w, F.lit(1 / 3))).otherwise(7.787 * (v / w) + 16 / 116) for v, w in zip((x, y, z), white)]
+    return [116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])]
+
+
+def cielab_to_xyz(light: Column, a: Column, b: Column, white: tuple[float, float, float] = _D65) -> list[Column]:
+    fy = (light + 16) / 116
+    back = lambda f: F.when(F.pow(f, F.lit(3)) > 0.008856, F.pow(f, F.lit(3))).otherwise((f - 16 / 116) / 7.787)
+    return [back(f) * w for f, w in zip((fy + a / 500, fy, fy - b / 200), white)]
+
+
+def srgb_to_cielab(r: Column, g: Column, b: Column) -> list[Column]:
+    return xyz_to_cielab(*srgb_to_xyz(r, g, b))
+
+
 def rgb_to_hsv(r: Column, g: Column, b: Column) -> list[Column]:
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     d = top - low

@@ -69,13 +69,45 @@ def eccentricity(edges: DataFrame) -> DataFrame:
     return e.join(F.broadcast(ends)).select("node", "eccentricity", (F.col("eccentricity") == F.col("radius")).alias("central"), (F.col("eccentricity") == F.col("diameter")).alias("peripheral"))
 
 
+def spread(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, m): start's values (node, m) pushed along edges, the least that arrives; a round an edge, until nothing changes."""
+    at = settled(start)
+    while True:
+        near = edges.join(at.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("m").alias("v"))
+        new = settled(at.join(near, "node", "left").select("node", F.least("m", F.coalesce("v", "m")).alias("m"), F.col("m").alias("was")))
+        at = new.select("node", "m")
+        if new.filter("m <> was").isEmpty():
+            return at
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): nodes that reach each other, named by the least of them."""
-    reach = closure(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    least = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))
+    """(node, component): nodes that reach each other, named by the least of them.
+
+    In a round every node gets the least node that reaches it; the nodes of one
+    such colour from which its first node is reached as well are a component, and
+    leave.  No pairs of nodes are kept.
+    """
+    left = settled(edges.filter("src <> dst").select("src", "dst").distinct())
+    nodes = settled(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    out = None
+    while True:
+        colour = spread(left, nodes.withColumn("m", F.col("node")))
+        ends = left.join(colour.toDF("src", "p"), "src").join(colour.toDF("dst", "q"), "dst").filter("p = q")
+        back = settled(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = settled(colour.filter("node = m").select("node"))
+        n = reached.count()
+        while True:
+            reached = settled(reached.union(back.join(reached.withColumnRenamed("node", "src"), "src").select("dst")).distinct())
+            if (k := reached.count()) == n:
+                break
+            n = k
+        found = colour.join(reached, "node", "left_semi").select("node", F.col("m").alias("component"))
+        out = settled(found if out is None else out.union(found))
+        nodes = settled(nodes.join(reached, "node", "left_anti"))
+        if nodes.isEmpty():
+            return out
+        gone = reached.withColumnRenamed("node", "x")
+        left = settled(left.join(gone, F.col("src") == F.col("x"), "left_anti").join(gone, F.col("dst") == F.col("x"), "left_anti"))
 
 
 def component_order(edges: DataFrame) -> DataFrame:
@@ -86,9 +118,10 @@ def component_order(edges: DataFrame) -> DataFrame:
 
 
 def bases(edges: DataFrame, contra: bool = False) -> DataFrame:
-    """(node, component): the strong components that no other leads to (contra: that lead to no other)."""
-    name, order = strong_components(edges), component_order(edges)
-    return name.join(order.select(F.col("before" if contra else "after").alias("component")).distinct(), "component", "left_anti").select("node", "component")
+    """(node, component): the strong components that no edge of another leads to (contra: that lead to no other)."""
+    name = strong_components(edges)
+    between = edges.select("src", "dst").join(name.toDF("src", "before"), "src").join(name.toDF("dst", "after"), "dst").filter("before <> after")
+    return name.join(between.select(F.col("before" if contra else "after").alias("component")).distinct(), "component", "left_anti").select("node", "component")
 
 
 def euler(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -157,4 +190,37 @@ def critical_path(works: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree, share of all ends)."""
     d = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    return d.join(F.broadcast(d.agg(F.sum("degree").alias("ends")))).select("node", "degree", ratio(F.col("degree"), F.col("ends")).alias("share"))
+    return d.crossJoin(d.agg(F.sum("degree").alias("ends"))).select("node", "degree", ratio(F.col("degree"), F.col("ends")).alias("share"))
+
+
+def labelled_components(cells: DataFrame) -> DataFrame:
+    """(photo, y, x, label, component) of a grid: horizontal and vertical neighbours of one label belong together; named by the first cell.
+
+    A cell's name is (photo, y, x), so components of all photos are found at once.
+    """
+    name = F.struct("photo", "y", "x")
+    own = cells.select("photo", "y", "x", "label")
+    links = []
+    for dy, dx in ((0, 1), (1, 0)):
+        other = own.select("photo", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("label").alias("next"))
+        near = own.join(other, ["photo", "y", "x"]).filter("label = next")
+        links.append(near.select(name.alias("src"), F.struct("photo", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")).alias("dst")))
+    found = components(links[0].union(links[1])).withColumnRenamed("node", "cell")
+    return own.withColumn("cell", name).join(found, "cell", "left").select("photo", "y", "x", "label", F.coalesce("component", "cell").alias("component"))
+
+
+def hierarchy_cut(edges: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
+    """(node, component): what a hierarchy of merges (src, dst, w: the height of the boundary between them) holds together at this height."""
+    found = components(edges.filter(F.col("w") <= most))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def hierarchy_leaves(merges: DataFrame) -> DataFrame:
+    """(photo, node, leaf) of a hierarchy of merges (photo, node, parent): the leaves below each inner node.  A parent without exactly two children is an error."""
+    kids = merges.groupBy("photo", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
+    told = F.assert_true(F.col("n") == 2, F.lit("a merge has other than two parts"))
+    inner = kids.withColumn("ok", told).filter(F.col("ok").isNull()).select("photo", "node")
+    both = closure(merges.select(F.struct("photo", "node").alias("src"), F.struct("photo", F.col("parent").alias("node")).alias("dst")))
+    pairs = both.select("dst.photo", "dst.node", F.col("src.node").alias("leaf"))
+    pairs = pairs.join(inner, ["photo", "node"], "left_semi")
+    return pairs.join(inner.select("photo", F.col("node").alias("leaf")), ["photo", "leaf"], "left_anti").select("photo", "node", "leaf")

@@ -6,7 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -37,6 +37,79 @@ class Logistic(Classifier):
         return [float(x) for x in m.coefficients], float(m.intercept)
 
 
+class Margin(Classifier):
+    """A linear support vector machine: hinge loss with an L2 penalty."""
+
+    def __init__(self, penalty: float = 0.01, rounds: int = 50) -> None:
+        self.penalty, self.rounds = penalty, rounds
+
+    def fit(self, rows: DataFrame) -> tuple[list[float], float]:
+        m = LinearSVC(regParam=self.penalty, maxIter=self.rounds, weightCol="weight").fit(rows.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), "weight"))
+        return [float(x) for x in m.coefficients], float(m.intercept)
+
+
+class Distribution(ABC):
+    """A density that is fitted to rows and gives a column of values."""
+
+    @abstractmethod
+    def fit(self, rows: DataFrame) -> Distribution:
+        """From rows (features array<double>)."""
+
+    @abstractmethod
+    def value(self, features: Column) -> Column:
+        """The density at features."""
+
+
+class Normal(Distribution):
+    """A multivariate normal; a badly conditioned covariance gets a multiple of the identity; diagonal: without covariances."""
+
+    def __init__(self, diagonal: bool = False, least: float = 0.1) -> None:
+        self.diagonal, self.least = diagonal, least
+        self.mean, self.inverse, self.scale = np.zeros(0), np.zeros((0, 0)), 1.0
+
+    def fit(self, rows: DataFrame) -> Normal:
+        n = rows.select(F.max(F.size("features"))).first()[0]
+        x = rows.select(*[F.col("features")[i].cast("double").alias(f"x{i}") for i in range(n)])
+        r = x.agg(*[F.avg(c).alias(f"m_{c}") for c in x.columns], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(x.columns) for b in x.columns[i:]]).first()
+        cov = np.zeros((n, n))
+        for i in range(n):
+            for j in range(i, n):
+                cov[i, j] = cov[j, i] = 0.0 if self.diagonal and i != j else r[f"c_x{i}_x{j}"] or 0.0
+        self.mean, self.inverse = np.array([r[f"m_x{i}"] for i in range(n)]), regularised_inverse(cov, self.least)
+        self.scale = float(np.sqrt(max(np.linalg.det(self.inverse), 0.0) / (2 * np.pi) ** n))
+        return self
+
+    def value(self, features: Column) -> Column:
+        d = [features[i] - float(m) for i, m in enumerate(self.mean)]
+        terms = [d[i] * d[j] * float(self.inverse[i, j]) for i in range(len(d)) for j in range(len(d))]
+        return self.scale * F.exp(-0.5 * sum(terms[1:], terms[0]))
+
+
+class Mixture(Distribution):
+    """A Gaussian mixture; with fewer rows than dimensions one normal distribution instead."""
+
+    def __init__(self, k: int = 4, seed: int = 1, least: float = 0.2) -> None:
+        self.k, self.seed, self.least, self.parts = k, seed, least, []
+
+    def fit(self, rows: DataFrame) -> Mixture:
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+        if size["n"] < (size["d"] or 0):
+            self.parts = [(1.0, Normal(least=self.least).fit(rows))]
+            return self
+        m = GaussianMixture(k=self.k, seed=self.seed).fit(rows.select(array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("features")))
+        self.parts = []
+        for w, g in zip(m.weights, m.gaussians):
+            own = Normal(least=self.least)
+            own.mean, own.inverse = np.array(g.mean.toArray()), np.linalg.inv(np.array(g.cov.toArray()) + self.least * np.eye(len(g.mean.toArray())))
+            own.scale = float(np.sqrt(np.linalg.det(own.inverse) / (2 * np.pi) ** len(own.mean)))
+            self.parts.append((float(w), own))
+        return self
+
+    def value(self, features: Column) -> Column:
+        each = [w * own.value(features) for w, own in self.parts]
+        return sum(each[1:], each[0])
+
+
 def one_against_rest(rows: DataFrame, classes: list[int], make: Callable[[], Classifier] = Logistic) -> list[tuple[int, list[float], float]]:
     """(class, weights, intercept) for each class, rows weighted so that both sides count alike.  rows: features array<double>, t."""
     rows = rows.select(F.transform("features", lambda x: x.cast("double")).alias("features"), "t")
@@ -44,7 +117,7 @@ def one_against_rest(rows: DataFrame, classes: list[int], make: Callable[[], Cla
     for c in classes:
         own = rows.withColumn("label", (F.col("t") == c).cast("int"))
         weights = class_weights(own, F.col("label")).select(F.col("class").alias("label"), "weight")
-        out.append((c, *make().fit(own.join(F.broadcast(weights), "label"))))
+        out.append((c, *make().fit(own.join(weights, "label"))))
     return out
 
 
@@ -55,6 +128,32 @@ def scores(rows: DataFrame, models: list[tuple[int, list[float], float]], floor:
     return rows.select("*", F.inline(each))
 
 
+def per_descriptor(rows: DataFrame, descriptors: list[str], classes: list[int], make: Callable[[], Classifier] = Logistic) -> dict[str, list[tuple[int, list[float], float]]]:
+    """One set of class models for each descriptor column (array<double>); rows: those columns and t."""
+    return {name: one_against_rest(rows.select(F.col(name).alias("features"), "t"), classes, make) for name in descriptors}
+
+
+def same_label(pairs: DataFrame, train: Column, make: Callable[[], Classifier] = Logistic, least: float = 0.5) -> tuple[DataFrame, tuple[list[float], float]]:
+    """(photo, s1, s2, p) of the pairs that more likely than `least` have one label, and the model, learned on the training photos.
+
+    pairs: photo, s1, s2, features, same (0/1); train: whether a pair's photo is for training.
+    """
+    own = pairs.filter(train).select(F.transform("features", lambda x: x.cast("double")).alias("features"), F.col("same").alias("label"))
+    weights = class_weights(own, F.col("label")).select(F.col("class").alias("label"), "weight")
+    w, b = make().fit(own.join(weights, "label"))
+    p = logistic(dot(F.col("features"), F.array(*map(F.lit, w))) + b)
+    return pairs.withColumn("p", p).filter(F.col("p") > least).select("photo", "s1", "s2", "p"), (w, b)
+
+
+def fold_reports(rows: DataFrame, fold: Column, k: int, fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame]) -> DataFrame:
+    """(fold, t, p) of every row, predicted by the model of the other folds; predict() returns t and p."""
+    rows, out = rows.withColumn("fold", fold), None
+    for i in range(1, k + 1):
+        own = predict(fit(rows.filter(F.col("fold") != i).drop("fold")), rows.filter(F.col("fold") == i).drop("fold")).select(F.lit(i).alias("fold"), "t", "p")
+        out = own if out is None else out.union(own)
+    return out
+
+
 def cross_validate(rows: DataFrame, fold: Column, k: int, fit: Callable[[DataFrame], object], score: Callable[[object, DataFrame], float]) -> float:
     """The mean score over k folds."""
     rows = rows.withColumn("_fold", fold)

@@ -14,12 +14,12 @@ def confusion(rows: DataFrame, classes: DataFrame, by: list[str] | None = None,
     The grid of classes is the only product, and has as many rows as the matrix.
     """
     by = by or []
-    known = F.broadcast(classes.select(F.col("class")))
+    known = classes.select(F.col("class"))
     own = rows.join(known.withColumnRenamed("class", "t"), "t", "left_semi").join(known.withColumnRenamed("class", "p"), "p", "left_semi")
     n = own.groupBy(*by, "t", "p").agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     grid = classes.select(F.col("class").alias("t")).crossJoin(classes.select(F.col("class").alias("p")))
     if by:
-        grid = n.select(*by).distinct().join(F.broadcast(grid))
+        grid = n.select(*by).distinct().crossJoin(grid)
     return grid.join(n, [*by, "t", "p"], "left").select(*by, "t", "p", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -45,7 +45,7 @@ def weighted(rows: DataFrame, sample_weight: Column, class_weights: DataFrame |
     classes = rows.select(F.col("t").alias("class")).union(rows.select("p")).distinct()
     own = rows.withColumn("_w", sample_weight.cast("double"))
     if class_weights is not None:
-        own = own.join(F.broadcast(class_weights.select(F.col("class").alias("t"), F.col("w").alias("_cw"))), "t", "left").withColumn("_w", F.col("_w") * F.coalesce("_cw", F.lit(1.0)))
+        own = own.join(class_weights.select(F.col("class").alias("t"), F.col("w").alias("_cw")), "t", "left").withColumn("_w", F.col("_w") * F.coalesce("_cw", F.lit(1.0)))
     return by_class(confusion(own, classes, weight=F.col("_w")))
 
 
@@ -70,11 +70,34 @@ def joint_errors(truth: DataFrame, found: DataFrame, key: list[str]) -> DataFram
 
 
 def sticks_right(truth: list[Column], found: list[Column], least: float = 0.5) -> Column:
-    """Whether both ends of a stick (x1, y1, x2, y2) lie near the true ones: mean offsets along and across under a share of its length."""
+    """Whether both ends of a stick (x1, y1, x2, y2) lie near the true ones: mean offsets along and across under a share of its length.
+
+    A stick whose first end is nearer to the true second one is turned round first.
+    """
     x1, y1, x2, y2 = truth
+    turned = (found[0] - x2) ** 2 + (found[1] - y2) ** 2 < (found[0] - x1) ** 2 + (found[1] - y1) ** 2
+    found = [F.when(turned, b).otherwise(a) for a, b in zip(found, [*found[2:], *found[:2]])]
     length = F.sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)
     ux, uy = F.try_divide(x2 - x1, length), F.try_divide(y2 - y1, length)
     ends = [(found[0] - x1, found[1] - y1), (found[2] - x2, found[3] - y2)]
     along = sum((F.abs(ux * dx + uy * dy) for dx, dy in ends), F.lit(0.0)) / 2 / length
     across = sum((F.abs(ux * dy - uy * dx) for dx, dy in ends), F.lit(0.0)) / 2 / length
     return F.coalesce((along < least) & (across < least), F.lit(False))
+
+
+def detection_rates(sticks: DataFrame) -> DataFrame:
+    """(part, detection_rate, pcp, part_rate) of sticks (photo, part, right), right null throughout a photo where no person was found.
+
+    The detection rate is over all photos, the share of correct parts over the photos with a detection.
+    """
+    photos = sticks.groupBy("photo").agg(F.max(F.col("right").isNotNull().cast("int")).alias("found"))
+    rates = photos.agg(F.avg("found").alias("detection_rate"))
+    own = sticks.join(photos.filter("found = 1").select("photo"), "photo", "left_semi").withColumn("hit", F.coalesce(F.col("right").cast("double"), F.lit(0.0)))
+    whole = own.agg(F.avg("hit").alias("pcp"))
+    return own.groupBy("part").agg(F.avg("hit").alias("part_rate")).crossJoin(rates).crossJoin(whole).select("part", "detection_rate", "pcp", "part_rate")
+
+
+def report(classes: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(rank, class, precision, recall, iou, frequency), the most frequent class first, ties by class.  The classes are few."""
+    rank = F.row_number().over(Window.orderBy(F.desc("frequency"), "class"))
+    return classes.join(frequency, "class").select(rank.alias("rank"), "class", "precision", "recall", "iou", "frequency")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regiolith.functions.scalar import pair_vector, ratio
+from regiolith.functions.geometry import fill_similarity, size_similarity
+from regiolith.functions.scalar import intersection, pair_vector, ratio
 
 
 def unordered(segments: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -45,6 +46,22 @@ def features(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return gather(pairs, segments, ["features"]).select("photo", "s1", "s2", pair_vector(F.col("features_1"), F.col("features_2")).alias("features"))
 
 
+def reindexed(pairs: DataFrame, segments: DataFrame, keep: Column) -> DataFrame:
+    """The pairs of which both ends are kept, with the numbers, from 1, that the kept segments get in their photo."""
+    new = segments.filter(keep).select("photo", "seg", F.row_number().over(Window.partitionBy("photo").orderBy("seg")).alias("new"))
+    ends = [new.select("photo", F.col("seg").alias(f"s{i}"), F.col("new").alias(f"n{i}")) for i in (1, 2)]
+    return pairs.join(ends[0], ["photo", "s1"]).join(ends[1], ["photo", "s2"]).select("photo", F.col("n1").alias("s1"), F.col("n2").alias("s2"))
+
+
+def merge_similarity(a: dict[str, Column], b: dict[str, Column], hull: Column, whole: Column) -> Column:
+    """How well two regions go together: the sum of likeness in colour, texture, size and fill, each from 0 to 1.
+
+    a, b: colour and texture (histograms that sum to 1) and size; hull: the size of the box about both; whole: that of the image.
+    """
+    like = intersection(a["colour"], b["colour"]) + intersection(a["texture"], b["texture"])
+    return like + size_similarity(a["size"], b["size"], whole) + fill_similarity(hull, a["size"], b["size"], whole)
+
+
 def prior(label_pairs: DataFrame, by: list[str]) -> DataFrame:
     """(a, b, p): the share of each unordered label pair among a group's pairs, averaged over the groups that have it, the larger of both directions."""
     n = label_pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))

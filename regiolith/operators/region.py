@@ -50,6 +50,16 @@ def vote(pixels: DataFrame, by: list[str], label: str, weight: str) -> DataFrame
     return sums.groupBy(*by).agg(argmax(F.col("votes"), F.col(label)).alias(label), F.max("votes").alias("votes"))
 
 
+def judged(pixels: DataFrame, by: list[str], label: str, weight: str) -> DataFrame:
+    """(by, t, p, n): for each label of a region the pixels that have it, and the region's vote.
+
+    The pixels are aggregated once, by region and label; the vote is taken among the labels of a region.
+    """
+    sums = pixels.groupBy(*by, F.col(label).alias("t")).agg(F.sum(weight).alias("v"), F.count("*").alias("n"))
+    whole = sums.groupBy(*by).agg(argmax(F.col("v"), F.col("t")).alias("p"), F.collect_list(F.struct("t", "n")).alias("own"))  # an entry a class
+    return whole.select(*by, "p", F.inline("own"))
+
+
 def spread_labels(pixels: DataFrame, labels: DataFrame) -> DataFrame:
     """Pixels with the label of their region."""
     return pixels.join(labels, REGION)
@@ -77,7 +87,7 @@ def class_frequency(pixels: DataFrame, train: DataFrame) -> DataFrame:
 def through_bridge(scores: DataFrame, bridge: DataFrame) -> DataFrame:
     """Scores (..., fine, value) summed into classes by a map (fine, target); targets without any entry don't appear."""
     by = [c for c in scores.columns if c not in ("fine", "value")]
-    return scores.join(F.broadcast(bridge), "fine").groupBy(*by, "target").agg(F.sum("value").alias("value"))
+    return scores.join(bridge, "fine").groupBy(*by, "target").agg(F.sum("value").alias("value"))
 
 
 def cell_histogram(rows: DataFrame, by: list[str], cell_y: Column, cell_x: Column, word: str) -> DataFrame:

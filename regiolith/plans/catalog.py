@@ -115,24 +115,27 @@ def mask_fraction(spark, d):
 
 
 def _judged(spark, d) -> DataFrame:
-    px = src.pixels(spark, d)
-    return region.spread_labels(px, region.vote(px, region.REGION, "t", "w").select("photo", "seg", F.col("t").alias("p")))
+    return region.judged(src.pixels(spark, d), region.REGION, "t", "w")
+
+
+def _matrix(spark, d, by: list[str] | None = None) -> DataFrame:
+    return metrics.confusion(_judged(spark, d), three(spark), by, F.col("n"))
 
 
 @query(f"WITH {CONF} SELECT t, p, n FROM conf")
 def seg_eval_confusion(spark, d):
-    return metrics.confusion(_judged(spark, d), three(spark))
+    return _matrix(spark, d)
 
 
 @query(f"WITH {CONF}, {measures('conf')} SELECT class, CAST(tp AS BIGINT) AS tp, CAST(n_true AS BIGINT) AS n_true, CAST(n_pred AS BIGINT) AS n_pred, round(pre, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou FROM ms")
 def seg_eval_classes(spark, d):
-    out = metrics.by_class(metrics.confusion(_judged(spark, d), three(spark)))
+    out = metrics.by_class(_matrix(spark, d))
     return out.select("class", "tp", "n_true", "n_pred", *[r(c).alias(c) for c in ("precision", "recall", "f1", "iou")])
 
 
 @query(f"WITH {CONF}, {measures('conf')} SELECT round(sum(tp) / sum(n_true), 6) AS accuracy, round(avg(pre), 6) AS precision, round(avg(rec), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(iou), 6) AS iou FROM ms")
 def seg_eval_summary(spark, d):
-    out = metrics.summary(metrics.confusion(_judged(spark, d), three(spark)))
+    out = metrics.summary(_matrix(spark, d))
     return out.select(*[r(c).alias(c) for c in out.columns])
 
 
@@ -145,7 +148,7 @@ def clseval_weighted(spark, d):
 
 @query(f"WITH {CONF}, jd AS (SELECT px.photo, px.t, vote.p FROM px JOIN vote USING (photo, seg)), ph AS (SELECT DISTINCT photo FROM jd), cf AS (SELECT ph.photo, a.class AS t, b.class AS p, count(jd.t) AS n FROM ph CROSS JOIN k a CROSS JOIN k b LEFT JOIN jd ON jd.photo = ph.photo AND jd.t = a.class AND jd.p = b.class GROUP BY ALL), {measures('cf', 'photo')} SELECT photo, round(sum(tp) / sum(n_true), 6) AS accuracy, round(avg(pre), 6) AS precision, round(avg(rec), 6) AS recall FROM ms GROUP BY photo")
 def eval_per_entity(spark, d):
-    out = metrics.summary(metrics.confusion(_judged(spark, d), three(spark), ["photo"]), ["photo"])
+    out = metrics.summary(_matrix(spark, d, ["photo"]), ["photo"])
     return out.select("photo", *[r(c).alias(c) for c in ("accuracy", "precision", "recall")])
 
 
@@ -167,7 +170,7 @@ def fold_eval(spark, d):
 
 @query(f"WITH {CONF}, a AS (SELECT 'oracle' AS parser, sum(CASE WHEN t = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM conf), b AS (SELECT 'constant' AS parser, avg(CASE WHEN t = 1 THEN 1.0 ELSE 0.0 END) AS accuracy FROM px) SELECT parser, round(accuracy, 6) AS accuracy FROM a UNION ALL SELECT parser, round(accuracy, 6) FROM b")
 def oracle_vs_constant(spark, d):
-    best = _judged(spark, d).agg(r(F.avg((F.col("t") == F.col("p")).cast("double"))).alias("accuracy")).select(F.lit("oracle").alias("parser"), "accuracy")
+    best = _judged(spark, d).agg(r(F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")).select(F.lit("oracle").alias("parser"), "accuracy")
     flat = src.pixels(spark, d).agg(r(F.avg((F.col("t") == 1).cast("double"))).alias("accuracy")).select(F.lit("constant").alias("parser"), "accuracy")
     return best.union(flat)
 
@@ -271,7 +274,7 @@ def adjacency_pairs(spark, d):
     return pairs.successive(src.table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("WITH gr AS (SELECT CAST(floor(o_orderkey / 60) AS BIGINT) AS y, o_orderkey % 60 AS x, min(o_custkey % 9) AS seg FROM orders WHERE o_orderkey < 6000 GROUP BY ALL), p AS (SELECT a.seg AS a, b.seg AS b FROM gr a JOIN gr b ON (a.y = b.y AND a.x + 1 = b.x) OR (a.x = b.x AND a.y + 1 = b.y)) SELECT DISTINCT least(a, b) AS s1, greatest(a, b) AS s2 FROM p")
+@query("WITH gr AS (SELECT CAST(floor(o_orderkey / 60) AS BIGINT) AS y, o_orderkey % 60 AS x, min(o_custkey % 9) AS seg FROM orders GROUP BY ALL), p AS (SELECT a.seg AS a, b.seg AS b FROM gr a JOIN gr b ON (a.y = b.y AND a.x + 1 = b.x) OR (a.x = b.x AND a.y + 1 = b.y)) SELECT DISTINCT least(a, b) AS s1, greatest(a, b) AS s2 FROM p")
 def grid_adjacency(spark, d):
     o = src.table(spark, d, "orders")
     grid = o.groupBy(F.floor(F.col("o_orderkey") / 60).alias("y"), (F.col("o_orderkey") % 60).alias("x")).agg(F.min(F.col("o_custkey") % 9).alias("seg"))
@@ -422,8 +425,8 @@ def gaussian2d(spark, d):
 
 @query(f"WITH {PX}, v AS (SELECT photo, list_sort(list(x)) AS v FROM px GROUP BY photo), h AS (SELECT photo, v, least(greatest(0.85 * len(v) + 0.5, 1), len(v)) AS h FROM v) SELECT photo, round(v[CAST(floor(h) AS INTEGER)] + (h - floor(h)) * (v[CAST(least(floor(h) + 1, len(v)) AS INTEGER)] - v[CAST(floor(h) AS INTEGER)]), 4) AS q85 FROM h")
 def hazen_quantile(spark, d):
-    v = src.pixels(spark, d).groupBy("photo").agg(F.collect_list("x").alias("v"))
-    return v.select("photo", r(scalar.hazen_quantile(F.col("v"), 0.85), 4).alias("q85"))
+    out = ranking.quantiles(src.pixels(spark, d), ["photo"], "x", 0.85, "q85")
+    return out.select("photo", r("q85", 4).alias("q85"))
 
 
 @query(f"WITH {LN}, b AS (SELECT photo, max(CASE WHEN seg = 1 THEN q END) AS first FROM ln GROUP BY photo) SELECT seg, round(exp(median(ln(q) - ln(first))), 6) AS ratio FROM ln JOIN b USING (photo) GROUP BY seg")
@@ -478,13 +481,28 @@ def joint_error(spark, d):
     return metrics.joint_errors(truth, found, ["photo", "seg", "t"]).groupBy(F.col("t").alias("joint")).agg(r(F.avg("error")).alias("error"))
 
 
-@query(f"WITH {LN}, s AS (SELECT t, n * 10.0 AS x1, q AS y1, n * 10.0 + 10 AS x2, q + tax * 100 AS y2, n * 10.0 + d * 100 AS a1, q + 1 AS b1, n * 10.0 + 12 AS a2, q + d * 50 AS b2 FROM ln), l AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM s), u AS (SELECT *, (x2 - x1) / len AS ux, (y2 - y1) / len AS uy FROM l), o AS (SELECT t, (abs(ux * (a1 - x1) + uy * (b1 - y1)) + abs(ux * (a2 - x2) + uy * (b2 - y2))) / 2 / len AS al, (abs(ux * (b1 - y1) - uy * (a1 - x1)) + abs(ux * (b2 - y2) - uy * (a2 - x2))) / 2 / len AS ac FROM u) SELECT t, count(*) AS n, round(avg(CASE WHEN al < 0.5 AND ac < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS pcp FROM o GROUP BY t")
-def pcp(spark, d):
+STICKS = (
+    "s AS (SELECT photo, seg, t, n * 10.0 AS x1, q AS y1, n * 10.0 + 10 AS x2, q + tax * 100 AS y2, n * 10.0 + d * 100 AS e1, q + 1 AS f1, n * 10.0 + 12 AS e2, q + d * 50 AS f2 FROM ln), "
+    "g AS (SELECT *, CASE WHEN seg % 2 = 0 THEN e2 ELSE e1 END AS g1, CASE WHEN seg % 2 = 0 THEN f2 ELSE f1 END AS h1, CASE WHEN seg % 2 = 0 THEN e1 ELSE e2 END AS g2, CASE WHEN seg % 2 = 0 THEN f1 ELSE f2 END AS h2 FROM s), "
+    "w AS (SELECT *, (g1 - x2) * (g1 - x2) + (h1 - y2) * (h1 - y2) < (g1 - x1) * (g1 - x1) + (h1 - y1) * (h1 - y1) AS turned, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM g), "
+    "u AS (SELECT *, CASE WHEN turned THEN g2 ELSE g1 END AS a1, CASE WHEN turned THEN h2 ELSE h1 END AS b1, CASE WHEN turned THEN g1 ELSE g2 END AS a2, CASE WHEN turned THEN h1 ELSE h2 END AS b2, (x2 - x1) / len AS ux, (y2 - y1) / len AS uy FROM w), "
+    "o AS (SELECT photo, seg, t, (abs(ux * (a1 - x1) + uy * (b1 - y1)) + abs(ux * (a2 - x2) + uy * (b2 - y2))) / 2 / len AS al, (abs(ux * (b1 - y1) - uy * (a1 - x1)) + abs(ux * (b2 - y2) - uy * (a2 - x2))) / 2 / len AS ac FROM u), "
+    "st AS (SELECT photo, seg, t, al < 0.5 AND ac < 0.5 AS good FROM o)"
+)
+
+
+def sticks(spark, d) -> DataFrame:
+    """photo, seg, t, right: each line as a stick and an estimate of it, of which every second one runs the other way."""
     n, q = F.col("n") * 10.0, F.col("q")
     truth = [n, q, n + 10, q + F.col("tax") * 100]
-    found = [n + F.col("d") * 100, q + 1, n + 12, q + F.col("d") * 50]
-    good = metrics.sticks_right(truth, found)
-    return src.lines(spark, d).groupBy("t").agg(F.count("*").alias("n"), r(F.avg(good.cast("double"))).alias("pcp"))
+    found, even = [n + F.col("d") * 100, q + 1, n + 12, q + F.col("d") * 50], F.col("seg") % 2 == 0
+    found = [F.when(even, b).otherwise(a) for a, b in zip(found, [*found[2:], *found[:2]])]
+    return src.lines(spark, d).select("photo", "seg", "t", metrics.sticks_right(truth, found).alias("right"))
+
+
+@query(f"WITH {LN}, {STICKS} SELECT t, count(*) AS n, round(avg(CASE WHEN good THEN 1.0 ELSE 0.0 END), 6) AS pcp FROM st GROUP BY t")
+def pcp(spark, d):
+    return sticks(spark, d).groupBy("t").agg(F.count("*").alias("n"), r(F.avg(F.col("right").cast("double"))).alias("pcp"))
 
 
 @query(f"WITH {LN} SELECT photo, seg, round(100 - q + 1, 6) AS fx, round(2.5 * (q - 1) + 1, 6) AS rx, round((q - 1) / 2.5 + 1, 6) AS ux FROM ln")
@@ -550,9 +568,9 @@ def spanning_forest(spark, d):
     return graph.spanning_forest(src.bought_together(spark, d, top=3))
 
 
-@query(f"WITH {TR}, g AS (SELECT src, count(*) AS d FROM (SELECT src FROM tr UNION ALL SELECT dst FROM tr) GROUP BY src) SELECT CAST(sum(d % 2) AS BIGINT) AS n_odd FROM g")
+@query(f"WITH RECURSIVE {TR}, un AS (SELECT src, dst FROM tr UNION SELECT dst, src FROM tr), rc(node, other) AS (SELECT src, dst FROM un UNION SELECT rc.node, un.dst FROM rc JOIN un ON rc.other = un.src), nm AS (SELECT node, least(node, min(other)) AS c FROM rc GROUP BY node), g AS (SELECT src, count(*) AS d FROM (SELECT src FROM tr UNION ALL SELECT dst FROM tr) GROUP BY src), k AS (SELECT CAST(sum(d % 2) AS BIGINT) AS n_odd FROM g), m AS (SELECT count(DISTINCT c) AS n_components FROM nm) SELECT n_odd, n_components, CASE WHEN n_components > 1 THEN 0.0 WHEN n_odd = 0 THEN 1.0 WHEN n_odd = 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS euler FROM k, m")
 def euler_test(spark, d):
-    return graph.euler(src.transitions(spark, d)).select("n_odd")
+    return graph.euler(src.transitions(spark, d))
 
 
 @query()
