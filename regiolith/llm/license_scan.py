@@ -1,18 +1,22 @@
 """License scan: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a document.  A template matches a block when the block
-holds at least ``threshold`` of the template's distinct words (containment).
-The join is exact and filters candidates three ways:
-
-* order: template words are ranked by how many blocks of the whole corpus hold
-  them, rarest first, and both sides are kept in that order;
+A block is a run of consecutive words, wherever lines end, SLACK times as long as
+the template, so wrapped notices are found and words scattered over a long text
+are not.  A template matches a block when the block holds at least ``threshold``
+of the template's distinct words (containment).  The join is exact and filters
+candidates three ways:
+
+* order: template words are ranked by how many documents of the whole corpus
+  hold them, rarest first, and both sides are kept in that order;
 * prefix: with needed overlap a, a matching pair shares a word among the first
   |T| - a + 1 of the template and the first |B| - a + 1 of the block, where B is
   the block's set within the template vocabulary (other words cannot overlap);
+  only blocks about such a word of the template are made;
 * length and position: |B| >= a, and the words after the shared one must suffice.
 
-Every surviving pair is verified on the full sets.  The template side is a
-constant of the code, so its index has a fixed size and is broadcast.
+Blocks start at words of the template: any other one loses nothing by being moved
+to its first.  Every surviving pair is verified on the full sets.  The template
+side is a constant of the code, so its index has a fixed size and is broadcast.
 
 Rows: null and empty texts have no words and no labels; a repeated row gets the
 same result as the row it repeats; other columns of the input are not read.
@@ -30,6 +34,8 @@ from regiolith.llm.common import row_key
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: The length of a block over that of the template.
+SLACK = 1.25
 
 # The phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -46,6 +52,12 @@ TEMPLATES = {
     "public-domain": "this is free and unencumbered software released into the public domain",
     "reserved-notice": "copyright c all rights reserved",
     "cc-by-short": "this text is available under cc by 4 0",
+    "boost": "distributed under the boost software license version 1 0",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied",
+    "zlib": "in no event will the authors be held liable for any damages arising from the use of this software",
 }
 
 
@@ -84,35 +96,50 @@ def phrase_scan(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     return out.select("doc_id", "row", "n_words", F.concat(*ats).alias("at"), F.array_compact(F.array(*names)).alias("base"))
 
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """row, and for each line the template words that it holds, distinct and in the vocabulary's order."""
-    lines = docs.select(row_key("doc_id", "text").alias("row"), F.explode(F.split(lowered(F.col("text")), "\n")).alias("line"))
-    return lines.select("row", F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split("line", NOT_WORD)).alias("have"))
-
-
 def token_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
-    """The template vocabulary, rarest first over all blocks of docs.  The result has as many rows as the templates have words."""
+    """The template vocabulary, rarest first over all documents.  The result has as many rows as the templates have words."""
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    counted = blocks(docs, vocabulary).select(F.explode("have").alias("token")).groupBy("token").count()
+    have = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(lowered(F.col("text")), NOT_WORD))
+    counted = docs.select(F.explode(have).alias("token")).groupBy("token").count()
     n = {r["token"]: r["count"] for r in counted.collect()}
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
+def needed(template: str, threshold: float) -> int:
+    return math.ceil(threshold * len(set(template.split())) - 1e-9)
+
+
+def block_length(template: str) -> int:
+    return math.ceil(SLACK * len(template.split()) - 1e-9)
+
+
 def match_templates(docs: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """(row, label, containment) for every block that meets the threshold; one row for each block, template and shared prefix word."""
+    """(row, label, containment) for every block that meets the threshold; one row for each block and shared prefix word."""
     spark, order = docs.sparkSession, token_order(docs, templates)
     rank = {w: i for i, w in enumerate(order)}
-    sets = {label: sorted(set(t.split()), key=rank.get) for label, t in templates.items()}
-    need = {label: math.ceil(threshold * len(s) - 1e-9) for label, s in sets.items()}
-    index = [(w, label, i, len(s), need[label], s) for label, s in sets.items() for i, w in enumerate(s[: len(s) - need[label] + 1])]
-    index = spark.createDataFrame(index, "token string, label string, i int, size int, need int, template array<string>")
-    least = min(need.values())
-    have = blocks(docs, order).filter(F.size("have") >= least)
-    probe = have.select("row", "have", F.posexplode(F.slice("have", 1, F.size("have") - least + 1)).alias("j", "token"))
+    index = []
+    for label, t in templates.items():
+        own, need = sorted(set(t.split()), key=rank.get), needed(t, threshold)
+        index += [(w, label, i, len(own), need, block_length(t), own) for i, w in enumerate(own[: len(own) - need + 1])]
+    prefix = F.array(*map(F.lit, sorted({x[0] for x in index})))
+    index = spark.createDataFrame(index, "token string, label string, i int, size int, need int, length int, template array<string>")
+    widest = max(block_length(t) for t in templates.values())
+
+    words = docs.select(row_key("doc_id", "text").alias("row"), words_of(lowered(F.col("text"))).alias("words")).filter(F.arrays_overlap("words", prefix))
+    at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("token"))), lambda x: F.array_contains(prefix, x["token"]))
+    near = words.select("row", "words", F.explode(at).alias("at"))
+    first = F.greatest(F.col("at.p") - (widest - 1), F.lit(0))
+    near = near.select("row", F.col("at.token").alias("token"), (F.col("at.p") - first).alias("p"), F.slice("words", first + 1, 2 * widest - 1).alias("around"))
+    met = near.join(F.broadcast(index), "token")
+    starts = F.filter(F.sequence(F.greatest(F.col("p") - F.col("length") + 1, F.lit(0)), F.col("p")), lambda s: F.array_contains("template", F.get("around", s)))
+    blocks = met.select("row", "token", "label", "i", "size", "need", "template", F.transform(starts, lambda s: F.slice("around", s + 1, F.col("length"))).alias("blocks"))
+    blocks = blocks.select("row", "token", "label", "i", "size", "need", "template", F.explode("blocks").alias("block"))
+    have = F.array_intersect(F.array(*map(F.lit, order)), F.col("block"))
+    pairs = blocks.select("row", "label", "i", "size", "need", "template", have.alias("have"), (F.array_position(have, F.col("token")) - 1).alias("j"))
     length = F.size("have") >= F.col("need")
-    prefix = F.col("j") <= F.size("have") - F.col("need")
+    prefixed = F.col("j") <= F.size("have") - F.col("need")
     position = 1 + F.least(F.col("size") - 1 - F.col("i"), F.size("have") - 1 - F.col("j")) >= F.col("need")
-    pairs = probe.join(F.broadcast(index), "token").filter(length & prefix & position)
+    pairs = pairs.filter(length & prefixed & position)
     shared = F.size(F.array_intersect("template", "have"))
     return pairs.select("row", "label", "need", "size", shared.alias("shared")).filter("shared >= need").select("row", "label", (F.col("shared") / F.col("size")).alias("containment"))
 
@@ -149,15 +176,18 @@ def oracle() -> str:
         test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(need))
         at.append(f"list_filter(range(len(w)), lambda i: {test})")
     names = ", ".join(f"CASE WHEN len(at{i}) > 0 THEN '{label}' END" for i, label in enumerate(PHRASES.values()))
-    values = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)})" for label, t in TEMPLATES.items())
+    values = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {needed(t, THRESHOLD)}, {block_length(t)})" for label, t in TEMPLATES.items())
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS low FROM documents),
 w AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS w FROM d),
 p AS (SELECT doc_id, len(w) AS n_words, {', '.join(f'{a} AS at{i}' for i, a in enumerate(at))} FROM w),
 b AS (SELECT doc_id, n_words, list_concat(list_concat(at0, at1), at2) AS pos, list_filter([{names}], lambda x: x IS NOT NULL) AS base FROM p),
-t(label, tokens, need) AS (VALUES {values}),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS have FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, max(len(list_intersect(tokens, have)) / len(tokens)) AS c FROM l, t WHERE len(list_intersect(tokens, have)) >= need GROUP BY 1, 2),
+t(label, tokens, need, length) AS (VALUES {values}),
+k AS (SELECT label, unnest(tokens) AS token FROM t),
+i AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS token FROM w),
+l AS (SELECT DISTINCT i.doc_id, i, label FROM i JOIN k USING (token)),
+m AS (SELECT l.doc_id, l.label, max(len(list_intersect(tokens, w[i : i + length - 1])) / len(tokens)) AS c FROM l JOIN t ON t.label = l.label JOIN w ON w.doc_id = l.doc_id
+  WHERE len(list_intersect(tokens, w[i : i + length - 1])) >= need GROUP BY 1, 2),
 f AS (SELECT doc_id, list(label) AS more, max(c) AS best FROM m GROUP BY 1)
 SELECT b.doc_id, n_words, CAST(len(pos) AS BIGINT) AS n_base, list_min(pos) AS first_word, list_max(pos) AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels,
