@@ -34,19 +34,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="regiolith-"))  # the latter in tests only
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="regiolith-"))  # one machine: tests
     return spark
 
 
+#: Makes Spark delete the shuffle files of a query when the query ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder, deleted by Spark's cleaner when nothing refers to it.
+    """df from a reliable checkpoint in the shared folder, deleted by Spark's cleaner when nothing refers to it; df's shuffle files go at once.
 
     A checkpoint keeps the optimizer's size estimate of its plan.  In a loop of
     joins that is a product of products, numbers of millions of digits that fill
     the driver; so the rows are taken up again as a table of unknown size.
     """
     spark = prepare(df.sparkSession)
-    kept = df.checkpoint(eager=True)._jdf
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        kept = df.select("*").checkpoint(eager=True)._jdf  # a query of its own, as the setting is read when one is made
+    finally:
+        spark.conf.set(CLEANUP, was)
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
@@ -74,8 +85,8 @@ def unused(df: DataFrame, stem: str) -> str:
 
 
 def row_key(*cols: str) -> Column:
-    """A key of a row's content: rows that repeat all these columns share it."""
-    return F.xxhash64(*cols)
+    """A key of a row's content in 128 bits: rows that repeat all these columns share it."""
+    return F.concat(F.hex(F.xxhash64(*cols)), F.lit("-"), F.hex(F.xxhash64(F.lit("other"), *cols)))
 
 
 def parts_for(df: DataFrame, each_bytes: int = 2 << 20) -> int:

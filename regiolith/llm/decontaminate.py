@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, flat, lean, mix, prepare, random_words, row_key, slices, word_spans
+from regiolith.llm.common import LOWER, U64, flat, lean, mix, prepare, random_words, row_key, slices, unused, word_spans
 
 MAX_EDITS = 0.2
 WALKS, TABLES, SAMPLES = 24, 32, 3
@@ -256,10 +256,10 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = shared.value
-        held: list[tuple[int, int | None, int, int, bytes, bytes]] = []
+        held: list[tuple[str, int | None, int, int, bytes, bytes]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            best: dict[tuple[int, int | None, int], tuple[int, int]] = {}
+            best: dict[tuple[str, int | None, int], tuple[int, int]] = {}
             for (row, doc, word, item, _, around), more in zip(held, own.candidates([x[4] for x in held])):
                 for found in {item, *more}:
                     pattern = own.texts[found]
@@ -269,7 +269,7 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
                         key = (row, doc, found)
                         best[key] = min(best.get(key, (d, word)), (d, word))
             cols = zip(*[(row, doc, own.ids[item], word, d, len(own.texts[item])) for (row, doc, item), (d, word) in best.items()]) if best else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(cols)], names)
 
         for b in batches:
             data, offsets = flat(b["text"])
@@ -287,7 +287,7 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
         if held:
             yield from send()
 
-    return docs.select("row", "doc_id", "text").mapInArrow(lean(run), "row long, doc_id long, item_id long, word long, distance long, size long")
+    return docs.select("row", "doc_id", "text").mapInArrow(lean(run), "row string, doc_id long, item_id long, word long, distance long, size long")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -308,7 +308,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the documents that hold an item."""
-    found = matches(docs, benchmark).select(F.col("row").alias("_row")).distinct()
-    key = row_key("_id", "_text")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", key).drop("_id", "_text")
-    return keyed.join(found, keyed["_key"] == found["_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, text, key = (unused(docs, x) for x in ("row_found", "text_of_row", "key_of_row"))
+    found = matches(docs, benchmark).select(F.col("row").alias(row)).distinct()
+    id_ = unused(docs, "id_of_row")
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(text, F.coalesce("text", F.lit("")))
+    keyed = keyed.withColumn(key, row_key(id_, text)).drop(id_, text)
+    return keyed.join(found, F.col(key) == F.col(row), "left_anti").drop(key)
