@@ -98,3 +98,69 @@ def model_scores(rows, priors):
         return (grams[(*h, w)] + k * p(h[1:], w)) / (seen(h) + k)
 
     return {d: sum(math.log10(p(tuple(ws[max(0, i - 2) : i]), ws[i])) for i in range(1, len(ws))) for d, ws in tokens.items()}
+
+
+def kneser_ney(texts):
+    """P(byte | three before) as a function of four bytes, from the byte strings to learn from."""
+    grams = {4: Counter(p[i : i + 4] for t in texts for p in [b"\0\0\0" + t] for i in range(len(t)))}
+    for k in (3, 2, 1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    tables = {}
+    for k in (1, 2, 3, 4):
+        n = Counter(min(c, 5) for c in grams[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        d = {i: min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] else 0.5 * i for i in (1, 2, 3)}
+        total, left = Counter(), Counter()
+        for g, c in grams[k].items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3)]
+        tables[k] = (grams[k], d, total, left)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        n, d, total, left = tables[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        c = n[g]
+        return (max(c - d[min(c, 3)], 0) if c else 0) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return p
+
+
+def quality_verdicts(rows, least_docs):
+    """doc_id -> (kept, log perplexity) of (doc_id, text, lang)."""
+    import math
+
+    n = Counter(lang for _, _, lang in rows)
+    model = {d: lang if lang is not None and n[lang] >= least_docs else "*" for d, _, lang in rows}
+    data = {d: (t or "").encode() for d, t, _ in rows}
+    prose = {d for d, t in data.items() if len(t.split()) >= 50 and 200 * sum(t.count(c) for c in b"#*$%&|<>") <= len(t.decode())}
+    models = {m: kneser_ney([data[d] for d in prose if model[d] == m]) for m in set(model.values())}
+    ppl = {}
+    for d, t in data.items():
+        padded, p = b"\0\0\0" + t, models[model[d]]
+        cache = {}
+        total = 0.0
+        for i in range(len(t)):
+            g = padded[i : i + 4]
+            if g not in cache:
+                cache[g] = math.log(p(g))
+            total += cache[g]
+        ppl[d] = -total / max(1, len(t))
+    bands = {}
+    for m in models:
+        v = sorted(round(ppl[d], 3) for d, t in data.items() if model[d] == m and len(t.split()) >= 50)
+        if v:
+            at = lambda q, v=v: v[int(q * (len(v) - 1))] + (q * (len(v) - 1) % 1) * (v[min(len(v) - 1, int(q * (len(v) - 1)) + 1)] - v[int(q * (len(v) - 1))])
+            spread = max(at(0.75) - at(0.25), 0.03)
+            bands[m] = (at(0.25) - 4 * spread, at(0.75) + 4 * spread)
+    out = {}
+    for d, t in data.items():
+        w = t.split()
+        three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = Counter(three)
+        again = len({i + k for i, x in enumerate(three) if seen[x] > 1 for k in range(3)})
+        low, high = bands.get(model[d], (-math.inf, math.inf))
+        out[d] = (not (len(w) < 50 or 100 * again > 50 * len(w)) and low <= ppl[d] <= high, ppl[d])
+    return out

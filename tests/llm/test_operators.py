@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import html
+import math
 import random
 import zlib
 
@@ -156,12 +157,38 @@ def test_quality_counts(docs, corpus):
 def test_kneser_ney_sums_to_one():
     data = np.frombuffer(b"the cat sat on the mat. the dog sat. " * 20 + b"xyzzy qq", np.uint8)
     gram, n = np.unique(quality.codes(data, np.array([0, len(data)])), return_counts=True)
-    m = quality.Model.fit(gram, n)
-    for context in (0, int(gram[5] >> 6), int(gram[-1] >> 6), 0o123):
-        p = np.exp(m.log((context << 6 | np.arange(64)).astype(np.uint32)).astype(float))
+    m = quality.Model.unpack(quality.Model.fit(gram, n).pack())
+    for context in (0, int(gram[5] >> 8), int(gram[-1] >> 8), 0x7A7A7A):
+        p = np.exp(m.log((context << 8 | np.arange(256)).astype(np.uint32)))
         assert abs(p.sum() - 1) < 1e-3
 
 
+def test_verdicts_are_those_of_plain_models(spark, monkeypatch):
+    """Kneser-Ney with dictionaries, quartiles with sorting, and two languages, one of them with a model of its own."""
+    monkeypatch.setattr(quality, "LEAST_DOCS", 30)
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(60)] for lang, letters in (("en", "abcdefgh"), ("de", "mnopqrsü"), (None, "ijkl中"))}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(40, 90))), lang) for i, lang in enumerate(rng.choices(["en", "de", None], weights=[6, 2, 2], k=150))]
+    rows += [(200 + i, " ".join(w + "%%%" for w in rng.choices(words["en"], k=70)), "en") for i in range(8)]
+    rows += [(300 + i, " ".join(rng.choices(words["de"], k=70)), "en") for i in range(3)] + [(400, None, "en"), (401, "", None), (402, "word " * 80, "en")]
+    want = brute.quality_verdicts(rows, 30)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: (r["kept"], r["perplexity"]) for r in quality.judge(frame).collect()}
+    assert all(abs(math.log(got[d][1]) - p) < 1e-4 for d, (_, p) in want.items())
+    assert {d: k for d, (k, _) in got.items()} == {d: k for d, (k, _) in want.items()}
+    assert not any(got[200 + i][0] for i in range(8))
+    assert {r["doc_id"] for r in quality.keep_good(frame).collect()} == {d for d, (k, _) in want.items() if k}
+
+
+def test_bands_tell_the_labels(spark):
+    """On the tables: what the labels call good stays, what they call bad and the base rules let pass goes."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).filter("NOT base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in got}
+    assert n.get((0, True), 0) <= 0.05 * n[0, False] and n.get((1, False), 0) <= 0.03 * n[1, True]
+
+
 # ------------------------------------------------------------ 5
 
 
