@@ -1,12 +1,19 @@
-"""HTML to leaf blocks: runs of text between block-level tags, with their ancestors."""
+"""HTML to leaf blocks: runs of text between block-level tags, with their ancestors.
+
+The time taken is in proportion to the page, whatever its markup: every open
+element keeps what its blocks need of its ancestors, open tags are found by their
+names, and after one tag without an end quotes count no longer.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<)", re.S)
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|(<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "noembed", "noframes", "xmp", "math", "object", "canvas", "select")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -21,13 +28,26 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Block:
     text: str
     tag: str  # the nearest block-level element
-    path: tuple[str, ...]  # its ancestors' tags, outermost first, itself included
-    names: tuple[str, ...]  # words of class, id and role along the path
+    path: frozenset[str]  # its ancestors' tags, itself included
+    names: frozenset[str]  # words of class, id and role along the path
     linked: int  # characters within links
     depth: int
     parent: int  # a number of the element that holds tag
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element, with what a block in it inherits."""
+
+    tag: str
+    serial: int
+    path: frozenset[str]
+    names: frozenset[str]
+    depth: int
+    block: int  # where on the stack the nearest block-level element is
+    holder: int  # the number of the block-level element around that one
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     out = []
     for m in _ATTRIBUTE.finditer(attributes):
@@ -41,13 +61,19 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in its order.  Broken markup ends elements as browsers do, as far as blocks are concerned."""
+def blocks(page: str, known: Callable[[str], bool] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in its order.  Broken markup ends elements as browsers do, as far as blocks are concerned.
+
+    known: which tags and names are kept in path and names; all if not given.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int]] = []
+    root = _Open("body", 0, frozenset(), frozenset(), 0, 0, 0)
+    stack = [root]  # the first one stays
+    places: dict[str, list[int]] = {}  # by tag, where open ones stand
     text: list[str] = []
     linked = serial = 0
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
+    token = _TOKEN
 
     def flush() -> None:
         nonlocal linked
@@ -55,40 +81,46 @@ def blocks(page: str) -> list[Block]:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                held = [x for x in stack if x[0] not in _INLINE]
-                names = tuple(n for x in stack for n in x[1])
-                out.append(Block(joined, held[-1][0] if held else "body", tuple(x[0] for x in held), names, min(linked, len(joined)), len(held), held[-2][2] if len(held) > 1 else 0))
+                top = stack[-1]
+                out.append(Block(joined, stack[top.block].tag, top.path, top.names, min(linked, len(joined)), top.depth, top.holder))
         linked = 0
 
     def pop(to: int) -> None:
-        if any(x[0] not in _INLINE for x in stack[to:]):
+        if stack[-1].block >= to:
             flush()
-        del stack[to:]
+        while len(stack) > to:
+            tag = stack.pop().tag
+            if tag:
+                places[tag].pop()
+
+    def nearest(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def more(own: frozenset[str], new: Iterable[str]) -> frozenset[str]:
+        new = [x for x in new if x not in own and (known is None or known(x))]
+        return own.union(new) if new else own
 
     while at < end:
-        m = _TOKEN.match(page, at)
+        m = token.match(page, at) if at <= last or page[at] != "<" else None
+        if m is None and token is _TOKEN and at <= last:  # a quote without its end
+            token = _PLAIN
+            m = token.match(page, at)
         if m is None:  # a tag without its end
-            text.append(page[at])
-            at += 1
-            continue
+            m = _REST.match(page, at)
         at = m.end()
-        if m[4] or m[5]:
+        if m.re is _REST or m[4] or m[5]:
             text.append(m[0])
-            if any(x[0] == "a" for x in stack):
+            if places.get("a"):
                 linked += len(m[0])
             continue
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(x[0] == "p" for x in stack):
+            if tag == "p" and not places.get("p"):
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in _INLINE and stack[i][0] not in _INLINE:
-                    break
+            if places.get(tag) and (tag not in _INLINE or places[tag][-1] > stack[-1].block):
+                pop(places[tag][-1])
             continue
         if tag == "br":
             text.append(" ")
@@ -98,32 +130,29 @@ def blocks(page: str) -> list[Block]:
             at = stop.end() if stop else end
             continue
         if tag not in _INLINE:
-            for i in range(len(stack) - 1, -1, -1):  # a block ends a paragraph, a heading ends a heading
-                if stack[i][0] == "p" or stack[i][0] in _HEADINGS and tag in _HEADINGS:
-                    pop(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
+            around = stack[-1].block
+            if stack[around].tag == "p" or stack[around].tag in _HEADINGS and tag in _HEADINGS:  # a block ends a paragraph, a heading ends a heading
+                pop(around)
             if tag in _CLOSES:
                 ends, limit = _CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in limit:
+                while (i := nearest(ends)) > nearest(limit):
+                    pop(i)
+                    if tag not in ("tr", "tbody", "tfoot"):
                         break
-                    if stack[i][0] in ends:
-                        pop(i)
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
             flush()
-        elif tag == "a":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "a":
-                    del stack[i]
-                    break
+        elif tag == "a" and places.get("a"):
+            stack[places["a"].pop()].tag = ""  # ends, wherever it stands
         if tag not in _VOID and not (m[3].endswith("/") and tag not in _INLINE and tag not in ("p", "div", "section", "article")):
             serial += 1
-            stack.append((tag, _names(m[3]) if m[3] else (), serial))
+            top, names = stack[-1], _names(m[3]) if m[3] else ()
+            places.setdefault(tag, []).append(len(stack))
+            if tag in _INLINE:
+                stack.append(_Open(tag, serial, top.path, more(top.names, names), top.depth, top.block, top.holder))
+            else:
+                stack.append(_Open(tag, serial, more(top.path, (tag,)), more(top.names, names), top.depth + 1, len(stack), stack[top.block].serial))
     flush()
     return out
 
 
+_REST = re.compile(r"<?[^<]*")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))

@@ -162,7 +162,7 @@ def describe(page: list[Block]) -> list[list[str]]:
         f.append("stop" if b.text[-1] in ".!?…:;\"”»" else "no-stop")
         f.append("nested" if b.depth > 4 else "shallow")
         f.append("before-h1" if first is not None and i < first else "after-h1" if seen_h1 else "at-h1" if b.tag == "h1" else "no-h1")
-        f.append("framed" if {"article", "main"} & set(b.path) else "unframed")
+        f.append("framed" if {"article", "main"} & b.path else "unframed")
         if b.text[0] in "©®":
             f.append("sign")
         seen_h1 |= b.tag == "h1"
@@ -177,6 +177,7 @@ class Field:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, follow: np.ndarray) -> None:
         self.index, self.emit, self.follow = index, emit, follow
+        self.known = {x.split("=", 1)[1] for x in index if x.startswith(("in=", "name="))} | {"article", "main"}
 
     def viterbi(self, page: list[Block]) -> list[bool]:
         if not page:
@@ -258,7 +259,7 @@ def trained(n_pages: int = TRAIN_PAGES, seed: int = 11) -> Field:
 
 
 def extract(field: Field, page: str) -> str:
-    leaves = blocks(page)
+    leaves = blocks(page, field.known.__contains__)
     return "\n\n".join(b.text for b, keep in zip(leaves, field.viterbi(leaves)) if keep)
 
 
