@@ -1,8 +1,8 @@
 """Toxicity: boosted trees over dense features of a text, calibrated by isotonic regression.
 
 The trees and the lexicon are learned in one task from a bounded sample of
-labelled rows: at most FIT_ROWS of each label, those of least hash of doc_id,
-weighted back to the label's share.  Every fourth sampled row is held back for
+labelled rows: at most FIT_ROWS of each label and FIT_BYTES of text, those of least
+hash of doc_id, weighted back to the label's share.  Every fourth sampled row is held back for
 the calibration.  The lexicon holds words and word beginnings with their log
 odds; other features are densities of second persons, hits near them, capitals,
 punctuation, and words that spell letters by other signs (undone before the
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolith.llm.boosting import Boosted, isotonic
 from regiolith.llm.common import lean, prepare
 
-FIT_ROWS = 6000
+#: Rows of each label, and bytes of both, that the model is fitted on.
+FIT_ROWS, FIT_BYTES = 6000, 64 << 20
 MAX_WORDS = 400_000
 LEXICON = 4000
 PREFIXES = (4, 5, 6, 7, 8)
@@ -142,8 +143,13 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> bytes:
         pick = part if pick is None else pick.union(part)
     if pick is None:
         return pickle.dumps(fit([], np.zeros(0, int), np.zeros(0)))
-    # at most 2 * FIT_ROWS rows
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").select("order", "toxic", "weight", "text")
+    # at most 2 * FIT_ROWS rows; of a doc_id that stands on several rows one text is learned
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "order", "toxic", "weight").agg(F.min("size").alias("size"))
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    pick = sizes.withColumn("so_far", so_far).filter((F.col("so_far") <= FIT_BYTES // 2) | (F.col("so_far") == F.col("size"))).drop("so_far")
+    met = texts.join(F.broadcast(pick), "doc_id").filter(F.octet_length("text") == F.col("size"))
+    sample = met.groupBy("doc_id", "order", "toxic", "weight").agg(F.min("text").alias("text")).select("order", "toxic", "weight", "text")
 
     def learn(group: pa.Table) -> pa.Table:
         group = group.sort_by([("order", "ascending"), ("text", "ascending")])
