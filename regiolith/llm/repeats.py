@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from regiolith.llm.common import U64, byte_symbols, cut, flat, gram_hash, lean, mix, pack, parts_for, prefix_sums, slices, span_hash, unpack, word_hashes, word_spans
 
 #: Anchors and surroundings that a task gathers before it sends them on, in bytes.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 32 << 20
 #: Surroundings of one anchor that meet in a task, in bytes, and anchors that can be hot.
 GROUP_BYTES, GROUP_KEYS = 4 << 20, 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -329,9 +329,11 @@ def covered_spans(texts: DataFrame, repeated: DataFrame, w: Windows, hot: np.nda
                     index = place[y, None] + np.arange(cols) - (w.width - 1)
                     inside = (index >= start[y, None]) & (index < stop[y, None] + w.length)
                     around = np.where(inside, units[np.clip(index, 0, len(units) - 1)], kind.type(0))
-                    sender.add(around=(key[y], content[lo + doc[y]], order[lo + doc[y]], place[y] - at[doc[y]], (place - stop)[y], (place - start)[y], around))
+                    sender.add((key[y], content[lo + doc[y]], order[lo + doc[y]], place[y] - at[doc[y]], (place - stop)[y], (place - start)[y], around))
                     if sender.size > HELD_BYTES // 2:
                         yield sender.send()
+                if sender.size > HELD_BYTES // 2:
+                    yield sender.send()
         if sender.size:
             yield sender.send()
 
