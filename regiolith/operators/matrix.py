@@ -53,7 +53,7 @@ def per_matrix(cells: DataFrame, by: list[str], function, name: str = "value") -
 
 
 def transposed(cells: DataFrame) -> DataFrame:
-    return cells.withColumnsRenamed({"i": "j", "j": "i"})
+    return cells.select(*[F.col({"i": "j", "j": "i"}.get(c, c)).alias(c) for c in cells.columns])
 
 
 def found(cells: DataFrame, where: Column) -> DataFrame:
