@@ -27,7 +27,10 @@ def settled(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint in the shared folder, without the size estimates of its plan, which grow without end in loops."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="regiolith-"))  # the latter in tests only
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="regiolith-"))  # one machine: tests
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
