@@ -53,9 +53,9 @@ def compact(df: DataFrame, by: list[str], old: str, keep: Column, new: str) -> D
     return df.withColumn("_keep", keep.cast("int")).withColumn(new, F.sum("_keep").over(w)).filter("_keep = 1").drop("_keep")
 
 
-def group_starts(by: Column, order: list[Column]) -> Column:
-    """Whether a row's id differs from the one before it."""
-    before = F.lag(by).over(Window.orderBy(*order))
+def group_starts(by: Column, order: list[Column], within: list[str]) -> Column:
+    """Whether a row's id differs from the one before it in its group."""
+    before = F.lag(by).over(Window.partitionBy(*within).orderBy(*order))
     return before.isNull() | (before != by)
 
 

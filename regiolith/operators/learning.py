@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from regiolith.functions.ranking import argmin
 from regiolith.functions.scalar import clamp_negative, dot, logistic, squared_distance
 from regiolith.operators.taxonomy import class_weights
+from regiolith.session import per_group
 
 
 class Classifier(ABC):
@@ -48,6 +50,58 @@ class Margin(Classifier):
         return [float(x) for x in m.coefficients], float(m.intercept)
 
 
+def kernel(name: str, gamma: float = 1.0, shift: float = 0.0, degree: int = 3) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Kernel matrices of two sets of rows: linear, polynomial, radial or sigmoid."""
+    return {
+        "linear": lambda a, b: a @ b.T,
+        "polynomial": lambda a, b: (gamma * (a @ b.T) + shift) ** degree,
+        "radial": lambda a, b: np.exp(-gamma * np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0)),
+        "sigmoid": lambda a, b: np.tanh(gamma * (a @ b.T) + shift),
+    }[name]
+
+
+class KernelMachine:
+    """A support vector machine on rows that fit one task: dual coordinate steps, with the bias as a constant added to the kernel."""
+
+    def __init__(self, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], cost: float = 1.0, rounds: int = 200, tolerance: float = 1e-4) -> None:
+        self.kernel, self.cost, self.rounds, self.tolerance = kernel, cost, rounds, tolerance
+
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> KernelMachine:
+        """y: 1 and -1; weight: how much more a row's errors cost."""
+        q = (self.kernel(x, x) + 1) * y[:, None] * y
+        most = self.cost * (np.ones(len(y)) if weight is None else weight)
+        alpha, slope = np.zeros(len(y)), -np.ones(len(y))
+        for _ in range(self.rounds):
+            moved = 0.0
+            for i in range(len(y)):
+                if q[i, i] <= 0:
+                    continue
+                new = min(max(alpha[i] - slope[i] / q[i, i], 0.0), most[i])
+                if new != alpha[i]:
+                    slope += q[:, i] * (new - alpha[i])
+                    moved, alpha[i] = max(moved, abs(new - alpha[i])), new
+            if moved < self.tolerance:
+                break
+        held = alpha > 1e-9
+        self.rows, self.alpha = x[held], alpha[held] * y[held]
+        return self
+
+    def value(self, x: np.ndarray) -> np.ndarray:
+        return (self.kernel(x, self.rows) + 1) @ self.alpha if len(self.rows) else np.zeros(len(x))
+
+
+def kernel_scores(rows: DataFrame, by: list[str], machine: KernelMachine) -> DataFrame:
+    """(by, id, score) of the rows (by, id, features, label 1 or -1; null: not learned from) of each group, which fits a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, known = np.array(pdf["features"].tolist(), float), pdf["label"].notna().to_numpy()
+        own = KernelMachine(machine.kernel, machine.cost, machine.rounds, machine.tolerance).fit(x[known], pdf["label"][known].to_numpy(float))
+        return pdf[[*by, "id"]].assign(score=own.value(x))
+
+    kinds = dict(rows.dtypes)
+    return per_group(rows, by, run, ", ".join(f"{c} {kinds[c]}" for c in (*by, "id")) + ", score double")
+
+
 class Distribution(ABC):
     """A density that is fitted to rows and gives a column of values."""
 

@@ -8,14 +8,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from regiolith.functions import geometry as geo
 from regiolith.functions import ranking, scalar
-from regiolith.operators import clusterers, factors, graph, grids, learning, matrix, metrics, pairs, poses, recognition, region, taxonomy
-
+from regiolith.operators import clusterers, factors, graph, grids, learning, matrix, metrics, pairs, poses, recognition, region, small_graphs, taxonomy
 from regiolith.plans.catalog import BX, CO, CONF, KNN, LN, ORACLES, PX, RGB, STICKS, TR, VOTE, _matrix, _rgb, measures, query, r, sticks
+from regiolith.session import per_group
+from regiolith.sources import markov
 from regiolith.sources import tables as src
 
 # ---------------------------------------------------------------- colours and runs
@@ -679,6 +681,126 @@ def crf_map(spark, d):
     return factors.decode(factors.infer(graphs, np.ones(6), eps=0.0))
 
 
+# ---------------------------------------------------------------- functions and helpers of the first part
+
+
+@query(f"""
+WITH {LN}, a AS (SELECT photo, seg, -pi() / 2 + atan2(n / 8.0::DOUBLE, tax * 10) AS t, (q - 25) / 50.0 AS u, (d * 100 - 5) / 8.0 AS v FROM ln)
+SELECT photo, seg, round(cos(t) * u + sin(t) * v, 6) AS x, round(cos(t) * v - sin(t) * u, 6) AS y FROM a""")
+def oriented_map(spark, d):
+    x, y = scalar.oriented(F.col("q"), F.col("d") * 100, F.lit(25.0), F.lit(5.0), F.col("tax") * 500, F.col("n").cast("double"), F.lit(50.0), F.lit(8.0))
+    return src.lines(spark, d).select("photo", "seg", r(x).alias("x"), r(y).alias("y"))
+
+
+@query(f"""
+WITH {LN}, b AS (SELECT photo, seg, q - 3 AS r0, n * 10 - 4 AS c0, q + 3 AS r1, n * 10 + 4 AS c1 FROM ln),
+g AS (SELECT photo, seg, q - 6 AS r0, n * 10 - 8 AS c0, q + 6 AS r1, n * 10 + 8 AS c1 FROM ln)
+SELECT photo, seg, CAST(greatest(1, r0) AS DOUBLE) AS r0, CAST(greatest(1, c0) AS DOUBLE) AS c0, CAST(least(50, r1) AS DOUBLE) AS r1, CAST(least(70, c1) AS DOUBLE) AS c1 FROM g""")
+def box_grown(spark, d):
+    """Boxes about a point, twice as large, within the image."""
+    b = geo.clipped(geo.grown(geo.around(F.col("q"), F.col("n") * 10.0, F.lit(6.0), F.lit(8.0)), 2.0), F.lit(50.0), F.lit(70.0))
+    return src.lines(spark, d).select("photo", "seg", b.alias("b")).select("photo", "seg", "b.*")
+
+
+@query(f"""
+WITH {LN}, p AS (SELECT photo, min(q) AS r0, min(x / 1000) AS c0, max(q) AS r1, max(x / 1000) AS c1 FROM ln GROUP BY photo),
+m AS (SELECT *, greatest(2, floor((r1 - r0) * 0.1)) AS pr, greatest(2, floor((c1 - c0) * 0.2)) AS pc FROM p)
+SELECT photo, CAST(greatest(1, round(r0 - pr)) AS DOUBLE) AS r0, CAST(greatest(1, round(c0 - pc)) AS DOUBLE) AS c0, CAST(least(60, round(r1 + pr)) AS DOUBLE) AS r1, CAST(least(120, round(c1 + pc)) AS DOUBLE) AS c1 FROM m""")
+def pose_box(spark, d):
+    """The box about all points of a pose, with a margin, within the image."""
+    ends = src.lines(spark, d).groupBy("photo").agg(F.min("q").alias("r0"), F.min(F.col("x") / 1000).alias("c0"), F.max("q").alias("r1"), F.max(F.col("x") / 1000).alias("c1"))
+    b = geo.clipped(geo.padded(geo.box(*[F.col(c) for c in ("r0", "c0", "r1", "c1")]), 0.1, 0.2, 2.0, 2.0), F.lit(60.0), F.lit(120.0))
+    return ends.select("photo", b.alias("b")).select("photo", "b.*")
+
+
+@query(f"""
+WITH {PX}, c AS (SELECT photo, CAST(floor(w / 10) AS INTEGER) AS cy, CAST(floor(d * 50) AS INTEGER) AS cx, t, count(*) AS n FROM px GROUP BY ALL), s AS (SELECT photo, cy, cx, sum(n) AS total FROM c GROUP BY ALL),
+b AS (SELECT photo, cy - dy AS cy, cx - dx AS cx, sum(total) AS block FROM s, (SELECT unnest([0, 0, 1, 1]) AS dy, unnest([0, 1, 0, 1]) AS dx) GROUP BY ALL)
+SELECT photo, cy, cx, t, n, CAST(block AS BIGINT) AS block FROM c JOIN b USING (photo, cy, cx)""")
+def cell_histogram(spark, d):
+    return region.cell_histogram(src.pixels(spark, d), ["photo"], F.floor(F.col("w") / 10).cast("int"), F.floor(F.col("d") * 50).cast("int"), "t")
+
+
+@query(f"WITH {LN} SELECT photo, seg, coalesce(t <> lag(t) OVER (PARTITION BY photo ORDER BY seg), true) AS new FROM ln")
+def group_starts(spark, d):
+    return src.lines(spark, d).select("photo", "seg", ranking.group_starts(F.col("t"), [F.col("seg")], ["photo"]).alias("new"))
+
+
+@query(f"WITH {PX}, s AS (SELECT photo, t, sum(w) AS w FROM px GROUP BY ALL), p AS (SELECT photo, w / sum(w) OVER (PARTITION BY photo) AS p FROM s) SELECT photo, round(sum(-p * ln(p + 1e-20::DOUBLE)), 6) AS entropy FROM p GROUP BY photo")
+def label_entropy(spark, d):
+    own = src.pixels(spark, d).groupBy("photo", "t").agg(F.sum("w").alias("w")).withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("photo")))
+    return own.groupBy("photo").agg(r(F.sum(-F.col("p") * F.log(F.col("p") + 1e-20))).alias("entropy"))
+
+
+@query(f"""
+WITH {LN}, k AS (SELECT t, q, t = lag(t) OVER (PARTITION BY photo ORDER BY seg) AS same FROM ln)
+SELECT t AS feature, round(sum(q / 50.0::DOUBLE), 4) AS value FROM k GROUP BY t UNION ALL SELECT 4, sum(CASE WHEN same THEN 1.0 ELSE 0.0 END)::DOUBLE FROM k""")
+def empirical_means(spark, d):
+    """What a chain's features sum up to at the observed states: one a state, and one for equal neighbours."""
+    k = src.lines(spark, d).withColumn("same", F.col("t") == F.lag("t").over(Window.partitionBy("photo").orderBy("seg")))
+    own = k.groupBy(F.col("t").alias("feature")).agg(r(F.sum(F.col("q") / 50), 4).alias("value"))
+    return own.union(k.agg(F.lit(4).alias("feature"), F.sum(F.coalesce(F.col("same").cast("double"), F.lit(0.0))).alias("value")))
+
+
+@query("SELECT doc_id, lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def wide_record(spark, d):
+    """Documents with the tables that are asked for; the others are not read."""
+    docs = src.table(spark, d, "documents").drop("text", "n_chars")
+    return markov.assembled(docs, {"labels": src.table(spark, d, "labels"), "pages": src.table(spark, d, "pages")}, ["doc_id"], {"labels"})
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def union_rows(spark, d):
+    rows = lambda t, p: src.table(spark, d, t).select(F.col(f"{p}key").alias("id"), F.col(f"{p[0]}_name").alias("name"))
+    return rows("customer", "c_cust").unionByName(rows("supplier", "s_supp"))
+
+
+@query(f"WITH {CO} SELECT src, dst, w::DOUBLE AS w, row_number() OVER (ORDER BY w, src, dst) AS place FROM ce WHERE src <> dst")
+def sorted_edges(spark, d):
+    edges = src.bought_together(spark, d).filter("src <> dst")
+    return ranking.numbered(edges, ["w", "src", "dst"], "place")
+
+
+@query(f"WITH {LN} SELECT photo, round(list_sum(list_transform(list_filter(list(q ORDER BY seg), lambda v: v > 10), lambda v: v * v)), 4) AS energy FROM ln GROUP BY photo")
+def functor_chain(spark, d):
+    """Filter, map and fold of an array by functions."""
+    own = src.lines(spark, d).groupBy("photo").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "q"))), lambda s: s["q"]).alias("v"))
+    big = F.transform(F.filter("v", lambda v: v > 10), lambda v: v * v)
+    return own.select("photo", F.when(F.size(big) > 0, r(F.aggregate(big, F.lit(0.0), lambda s, v: s + v), 4)).alias("energy"))
+
+
+@query()
+def merge_groups(spark, d):
+    """Lines of an order merged pair by pair, the smallest together first."""
+
+    def run(pdf):
+        own = pdf.sort_values("seg")
+        sizes = own["q"].astype(float).tolist()
+        merged = small_graphs.merge_hierarchy(sizes, {(i, i + 1): 1 - (sizes[i] + sizes[i + 1]) / sum(sizes) for i in range(len(sizes) - 1)}, geo_size)
+        return pd.DataFrame([(own["photo"].iloc[0], *map(int, m[:3])) for m in merged], columns=["photo", "node", "a", "b"])
+
+    return per_group(src.lines(spark, d).select("photo", "seg", "q"), ["photo"], run, "photo long, node int, a int, b int")
+
+
+def geo_size(a: float, b: float, whole: float) -> float:
+    return 1 - (a + b) / whole
+
+
+@query()
+def glm_fit(spark, d):
+    own = src.table(spark, d, "labels").join(src.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    w, b = learning.linear_model(own.select(F.array(F.log1p("n_chars")).alias("features"), F.col("quality").alias("label")))
+    return spark.createDataFrame([(round(w[0], 4), round(b, 4))], "weight double, intercept double")
+
+
+@query()
+def kernel_machine(spark, d):
+    """A radial machine for each label's neighbours: this label against the next one, learned on four in five."""
+    e = src.table(spark, d, "embeddings").filter("label < 4")
+    rows = e.select((F.col("label") - F.col("label") % 2).alias("pair"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), F.when(F.col("vec_id") % 5 != 0, 1.0 - 2 * (F.col("label") % 2)).alias("label"))
+    return learning.kernel_scores(rows, ["pair"], learning.KernelMachine(learning.kernel("radial", gamma=0.5))).withColumn("score", r("score", 4))
+
+
 # ---------------------------------------------------------------- SQL for queries of the first part
 
 E = "2.01375270747047652::DOUBLE"  # exp(0.7)

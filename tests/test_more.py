@@ -289,3 +289,16 @@ def test_quantiles_count_equal_values(spark):
     got = ranking.quantiles(spark.createDataFrame([(1, float(x)) for x in v], "g int, x double"), ["g"], "x", 0.85, "q").first()["q"]
     s, h = sorted(v), 0.85 * 10 + 0.5
     assert got == s[int(h) - 1] + (h - int(h)) * (s[int(h)] - s[int(h) - 1])
+
+
+def test_kernel_machines_learn_what_lines_cannot(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (160, 2))
+    y = np.sign(x[:, 0] * x[:, 1])
+    for k in (learning.kernel("radial", gamma=4.0), learning.kernel("polynomial", shift=1.0, degree=2)):
+        machine = learning.KernelMachine(k, cost=10.0).fit(x[:120], y[:120])
+        assert (np.sign(machine.value(x[120:])) == y[120:]).mean() > 0.85
+    line = learning.KernelMachine(learning.kernel("linear"), cost=10.0).fit(x[:120], y[:120])
+    assert (np.sign(line.value(x[120:])) == y[120:]).mean() < 0.75
+    rows = spark.createDataFrame([(i % 2, i, v.tolist(), float(t) if i < 120 else None) for i, (v, t) in enumerate(zip(x, y))], "g int, id int, features array<double>, label double")
+    assert learning.kernel_scores(rows, ["g"], learning.KernelMachine(learning.kernel("radial", gamma=4.0))).count() == 160
