@@ -129,7 +129,12 @@ class BytePairs:
     @classmethod
     def load(cls, path: str, pattern: str, *limits: int) -> BytePairs:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern, *limits)
+            return cls.of(f.read(), pattern, *limits)
+
+    @classmethod
+    def of(cls, data: bytes, pattern: str, *limits: int) -> BytePairs:
+        """From what a rank file holds."""
+        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, pattern, *limits)
 
     # ------------------------------------------------------------ the transducer
 
@@ -307,10 +312,11 @@ class BytePairs:
 _loaded: dict[tuple, BytePairs] = {}
 
 
-def load(*key) -> BytePairs:
-    """The tokenizer of (rank file, pattern, limits of the tables), kept for later tasks of the same worker."""
+def held(data: bytes, pattern: str, *limits: int) -> BytePairs:
+    """The tokenizer of what a rank file holds, kept for later tasks of the same worker."""
+    key = (hashlib.sha256(data).digest(), pattern, *limits)
     if key not in _loaded:
-        _loaded[key] = BytePairs.load(*key)
+        _loaded[key] = BytePairs.of(data, pattern, *limits)
         gc.freeze()
     return _loaded[key]
 
@@ -336,13 +342,15 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     them for later tasks.
     """
     path, pattern = path or defaults()[0], pattern or defaults()[1]
+    with open(path, "rb") as f:  # read here, as workers may not have the file
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "whole": "boolean"} | ({"ids": "array<int>"} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern, *limits)
+        bpe = held(ranks.value, pattern, *limits)
         gc.disable()  # the tables hold no cycles, and walking them takes long
         for b in batches:
-            n, first, second, whole, held = [], [], [], [], []
+            n, first, second, whole, kept = [], [], [], [], []
             for text in b["text"]:
                 decimals, ids = bpe.encode_both(text.as_py() or "")
                 data, good = bpe.decode_bytes(ids)
@@ -351,10 +359,10 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 second.append(hashlib.sha256(data).hexdigest())
                 whole.append(good)
                 if with_ids:
-                    held.append(ids)
+                    kept.append(ids)
             cols = [b["doc_id"], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(whole, pa.bool_())]
             if with_ids:
-                values = np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32)
+                values = np.concatenate(kept).astype(np.int32) if kept else np.zeros(0, np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(values)))
             yield pa.RecordBatch.from_arrays(cols, list(kinds))
         if keep:

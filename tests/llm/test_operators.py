@@ -207,7 +207,7 @@ def test_encoding_round_trip(docs, corpus):
 
 
 def test_streaming_decoder():
-    b = byte_bpe.load(*byte_bpe.defaults())
+    b = byte_bpe.BytePairs.load(*byte_bpe.defaults())
     text = "naïve 中文 🙂 end"
     assert "".join(b.decode(b.encode(text))) == text
     for bad in (b"\xc0\x80", b"\xed\xa0\x80", b"\xf5", b"\x80"):
@@ -278,6 +278,23 @@ def test_decontamination_with_wide_white_space(spark):
     assert got == {(0, 7, 0), (1, 7, 0), (2, 7, 0)}
 
 
+def test_recall_at_every_edit_rate(spark):
+    """Nine in ten copies at least are found at every rate of random edits up to MAX_EDITS, among texts of the tables."""
+    rng = random.Random(21)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect() if r["text"]]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").dropna().collect()]
+    rates, docs = (0.03, 0.08, 0.13, 0.17, 0.2), []
+    for k, rate in enumerate(rates):
+        for i, t in items:
+            normal = decontaminate.normal(t.encode())
+            body = changed(rng, normal, int(rate * len(normal))).decode("utf-8", "replace")
+            docs.append((1000 * i + k, f"{rng.choice(texts)[:400]} {body} {rng.choice(texts)[:400]}"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, rate in enumerate(rates):
+        near = [i for i, t in items for d, body in docs if d == 1000 * i + k and decontaminate.edit_distance(p := decontaminate.normal(t.encode()), decontaminate.normal(body.encode())) <= decontaminate.MAX_EDITS * len(p)]
+        assert len(near) >= 0.6 * len(items) and sum((1000 * i + k, i) in found for i in near) >= 0.9 * len(near), rate
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(3)
 
@@ -441,6 +458,39 @@ def test_empty_and_odd_tables(name, odd, empty):
         assert list(out[0].asDict()) == odd.columns if out else True
 
 
+def test_toxicity_on_odd_tables(odd, empty, spark):
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y"), (None, 1, "z"), (1, 1, "x")], "doc_id long, toxic int, score string")
+    assert toxicity.score(empty, labels).count() == 0 and toxicity.score(odd, labels.limit(0)).count() == 6
+    rows = [tuple(r) for r in toxicity.score(odd, labels).collect()]
+    assert len(rows) == 6 and all(0 <= r[2] <= 1 for r in rows) and any(rows.count(r) == 2 for r in rows if r[0] == 1)
+    long = spark.createDataFrame([(1, "bad word " * 300_000), (3, None), (3, "bad word " * 300_000)], "doc_id long, text string")
+    assert len({r["score"] for r in toxicity.score(long, labels).filter("score IS NOT NULL").collect()}) <= 2
+
+
+def test_extraction_on_odd_tables(spark):
+    deep, wide = "<div>" * 30_000 + "<p>inside</p>", "<p>" + "word " * 400_000 + "</p>"
+    rows = [(1, "u", "<article><p>Text of it. More of it.</p></article>", "a", 1), (1, "u", "<article><p>Text of it. More of it.</p></article>", "a", 1), (None, None, None, None, None), (2, "v", "", "b", 2), (3, "w", deep, "c", 3), (4, "x", f"<article>{wide}</article>", "d", 4), (5, "y", "<a \"" * 50_000, "e", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html_extract.main_text(pages).collect()
+    assert len(got) == 7 and [r["text"] for r in got if r["page_id"] == 1] == ["Text of it. More of it."] * 2
+    assert next(r for r in got if r["page_id"] == 4)["n_chars"] == len("word " * 400_000) - 1
+    assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
+def test_clashing_names_go_through(spark):
+    rows = spark.createDataFrame([(i, f"w{i} " * 60, "en", 1, "2", 3.0, "4") for i in range(4)], "doc_id long, text string, lang string, _gone int, key_of_text string, model_of_row double, `row_found` string")
+    bench = spark.createDataFrame([(1, "nothing like it anywhere")], "item_id long, text string")
+    for found in (quality.keep_good(rows), minhash.without_near_duplicates(rows), suffix_tree.without_repeats(rows), decontaminate.without_leaks(rows, bench)):
+        assert found.columns == rows.columns and found.count() <= 4
+        found.collect()
+
+
+def test_long_texts_and_decontamination(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu")], "item_id long, text string")
+    long = spark.createDataFrame([(1, "filler words here " * 150_000 + "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "x" * 3_000_000)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.matches(long, bench).collect()] == [(1, 1, 0)]
+
+
 def test_repeated_rows_are_one_document(odd):
     tree = [r for r in suffix_tree.repeated_words(odd).collect() if r["doc_id"] == 1]
     own = brute.repeated_words([(1, "a b c d e f " * 20)])[1]
