@@ -24,6 +24,10 @@ SLICE_BYTES = 2 << 20
 U64 = np.uint64
 
 
+#: Makes Python workers give large arrays back to the machine as soon as they are freed; they stay for later tasks, next to the JVM's heap.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches by bytes, lets workers import this package, and sees to a checkpoint folder."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -31,6 +35,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")

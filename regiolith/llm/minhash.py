@@ -53,7 +53,7 @@ MOST_BITS = 139
 #: Rounds with hubs go on while this share of their pairs are links.
 WORTH = 0.25
 #: Members of a bucket that meet in a join; others do so in blocks of so many members and shingles; rows for a task.
-FEW, BLOCK, BLOCK_SHINGLES, PART_ROWS = 48, 1000, 1_000_000, 2500
+FEW, BLOCK, BLOCK_SHINGLES, PART_ROWS = 48, 600, 1_000_000, 2500
 
 _XOR = random_words(BANDS * ROWS, 2).astype(np.uint32)
 _TIMES = (random_words(BANDS * ROWS, 3) >> U64(32)).astype(np.uint32) | np.uint32(1)
