@@ -7,9 +7,10 @@ of the item.
 1. Windows.  A window is taken wherever enough q-grams of an item stand moved by
    about the same distance: in two neighbouring strips of distances.  Items under
    60 bytes need the m - q + 1 - k * q grams that k edits leave at least, in strips
-   wider than k, which loses no copy.  Longer ones need SHARE of m 5-byte grams, in
-   strips as wide as the distance that random edits make; of these only
-   edits at even distances of five bytes leave too few.
+   wider than k, which loses no copy.  Longer ones need SHARE of those 5-byte grams
+   that are looked for, the half that is rarest in the benchmark, in strips as wide
+   as the distance that random edits make; of these only edits at even distances
+   of five bytes leave too few.
 2. Embedding.  Windows and items are embedded by CGK random walks: at step j the
    walk emits the current byte and moves on by a random bit of (j, byte).  Edits
    that the walks get over leave the rest of the embeddings equal, so a small
@@ -46,12 +47,14 @@ WALKS, TABLES, SAMPLES = 24, 32, 3
 #: Tables in which a candidate shares the window's key, at least: by chance one item in 200 does, at a tenth of the characters edited 94 % do.
 AGREE = 4
 BLOCK_BYTES = 4 << 20
-HELD_WINDOWS = 8_000
+HELD_WINDOWS = 1_500
 #: Buckets of q-grams (those that share one count for each other, which adds windows only), strips counted and q-grams met at once.
 BUCKET_BITS, STRIPS, MET = 20, 4 << 20, 2 << 20
 #: The width of q-grams by an item's least size.
 WIDTHS = ((60, 5), (30, 3), (4, 2), (1, 1))
-SHARE = 0.16
+SHARE = 0.11
+#: Of the 5-byte grams of an item one in so many is looked for, the rarest ones.
+RAREST = 2
 
 
 def normal(data: bytes) -> bytes:
@@ -67,8 +70,8 @@ def normal_slice(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     fill = np.ones(len(out), bool)
     fill[ends[1:] - 1] = False
     inside = np.zeros(len(part) + 1, np.int8)
-    np.add.at(inside, s, 1)
-    np.add.at(inside, e, -1)
+    inside[s] += 1  # starts differ from each other, and so do ends
+    inside[e] -= 1
     out[fill] = part[np.cumsum(inside[:-1]) > 0]
     last = at[1:][at[1:] > at[:-1]]
     out[ends[last] - 1] = 0x0A
@@ -99,14 +102,20 @@ class Strips:
         self.own, self.width, self.shift = np.array(own), width, shift
         self.size = np.array([len(texts[i]) for i in own])
         self.edits = np.array([int(MAX_EDITS * m) for m in self.size])
-        long = width == WIDTHS[0][1]
-        self.need = np.ceil(SHARE * self.size).astype(int) if long else self.size - width + 1 - width * self.edits
         grams = [gram_buckets(np.frombuffer(texts[i], np.uint8), width) for i in own]
-        bucket, item = np.concatenate(grams), np.repeat(np.arange(len(own)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams])
+        if width == WIDTHS[0][1]:
+            often = np.bincount(np.concatenate(grams), minlength=1 << BUCKET_BITS)
+            places = [np.sort(np.lexsort((g, often[g]))[: -(-len(g) // RAREST)]) for g in grams]
+            self.need = np.ceil(SHARE * np.array([len(p) for p in places])).astype(int)
+        else:
+            places = [np.arange(len(g)) for g in grams]
+            self.need = self.size - width + 1 - width * self.edits
+        bucket, item = np.concatenate([g[p] for g, p in zip(grams, places)]), np.repeat(np.arange(len(own)), [len(p) for p in places])
+        place = np.concatenate(places)
         order = np.argsort(bucket, kind="stable")
         self.item, self.place = item[order], place[order]
         self.start = np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
+        self.has = np.diff(self.start) > 0
         self.longest = int(self.size.max())
         self.overlap = 4 * self.longest + 16
         self.step = max(4 * self.overlap, min(1 << 18, (STRIPS << shift) // len(own)))
@@ -120,42 +129,49 @@ class Strips:
 
     def _windows(self, part: np.ndarray) -> list[tuple[int, int, int, int]]:
         bucket = gram_buckets(part, self.width)
-        n = self.start[bucket + 1] - self.start[bucket]
-        at = np.flatnonzero(n)
-        n, first = n[at], self.start[bucket[at]]
-        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        at = np.flatnonzero(self.has[bucket])
+        first = self.start[bucket[at]]
+        n = self.start[bucket[at] + 1] - first
         strips = (len(part) + self.longest >> self.shift) + 2  # an item's last one is empty
-        size, entry = strips * len(self.own), (self.item * strips << self.shift) + self.longest - self.place
-        cuts = [0]
-        while cuts[-1] < len(at):
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + MET, "right")) - 1))
-
-        def met() -> Iterator[np.ndarray]:
-            """Strip of an item << shift | distance in the strip, for each gram met."""
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                x = np.repeat(first[i:j] - (ends[i:j] - ends[i]), n[i:j])
-                x += np.arange(len(x))
-                yield np.repeat(at[i:j], n[i:j]) + entry[x]
-
-        count = np.zeros(size + 1, np.int64)
-        for spot in met():
-            more = np.bincount(spot >> self.shift)
-            count[: len(more)] += more
-        half = np.flatnonzero(count >= (int(self.need.min()) + 1) // 2)  # one of two strips has half
+        entry = (self.item * strips << self.shift) + self.longest - self.place
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        found: list[tuple[np.ndarray, ...]] = []
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + MET, "right")) - 1)
+            x = np.repeat(first[i:j] - (ends[i:j] - ends[i]), n[i:j])
+            x += np.arange(len(x))
+            spot = np.repeat(at[i:j], n[i:j]) + entry[x]  # strip of an item << shift | distance in the strip, for each gram met
+            spot.sort()
+            strip = spot >> self.shift
+            new = np.flatnonzero(np.append(True, strip[1:] != strip[:-1]))
+            found.append((strip[new], np.diff(np.append(new, len(spot))), np.add.reduceat(spot % (strips << self.shift), new)))
+            i = j
+        if not found:
+            return []
+        cell, count, sums = found[0]
+        if len(found) > 1:
+            cell, own = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            count, sums = (np.bincount(own, np.concatenate([f[k] for f in found])).astype(np.int64) for k in (1, 2))
+
+        def two(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The values of a strip and the next together."""
+            out = np.zeros(len(at), np.int64)
+            for c in (at, at + 1):
+                k = np.minimum(np.searchsorted(cell, c), len(cell) - 1)
+                out += np.where(cell[k] == c, values[k], 0)
+            return out
+
+        half = cell[count >= (int(self.need.min()) + 1) // 2]  # one of two strips has half
         good = np.unique(np.concatenate([half, half[half > 0] - 1]))
-        good = good[count[good] + count[good + 1] >= self.need[np.minimum(good // strips, len(self.own) - 1)]]
+        good = good[two(count, good) >= self.need[np.minimum(good // strips, len(self.own) - 1)]]
         if not len(good):
             return []
-        flag, sums = np.zeros(size + 1, bool), np.zeros(size + 1)
-        flag[good] = flag[good + 1] = True
-        for spot in met():
-            own = spot[flag[spot >> self.shift]]
-            np.add.at(sums, own >> self.shift, own % (strips << self.shift))
-        item, both = good // strips, count[good] + count[good + 1]
+        item, both = good // strips, two(count, good)
         new = np.flatnonzero(np.append(True, (np.diff(good) > 1) | (np.diff(item) > 0)))  # strips in a row are one window
         last = np.append(new[1:], len(good)) - 1
         best = np.lexsort((-both, np.repeat(new, last - new + 1)))[new]
-        start = ((sums[good] + sums[good + 1]) / both).astype(np.int64)[best] - self.longest
+        start = (two(sums, good) // both)[best] - self.longest
         left = (good[new] % strips << self.shift) - self.longest - self.edits[item[new]]
         item = item[new]
         right = (good[last] % strips + 2 << self.shift) - self.longest + self.size[item] + 2 * self.edits[item]
