@@ -33,19 +33,21 @@ Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import LOWER, U64, cut, flat, mix, prepare, slices, tidy, word_hashes, word_spans
+from regiolith.llm.common import LOWER, U64, cut, flat, lean, mix, prepare, slices, tidy, word_hashes, word_spans
 
 #: The weight K of the prior of words, of words after one, and of words after two.
 PRIORS = (1.0, 40.0, 15.0)
 #: Bytes of text whose n-grams a chunk names, and whose share of all n-grams a range holds.
 CHUNK_BYTES = 12 << 20
+#: Bytes of text that a task gathers before it deals them to chunks.
+HELD_BYTES = 32 << 20
 BEGIN, END = U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127)  # stand for the hashes of words
 _TIMES = U64(0x9E3779B97F4A7C15)
 
@@ -80,24 +82,59 @@ def planes(x: np.ndarray, wide: int) -> bytes:
     return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
 
 
-def squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rising keys as differences, and their counts, both in as many bytes as the largest takes."""
-    step = np.diff(keys)
-    wide, deep = (max(1, (int(x.max(initial=0)).bit_length() + 7) // 8) for x in (step, counts))
-    return bytes([wide, deep]) + keys[:1].astype("<u8").tobytes() + planes(step, wide) + planes(counts, deep)
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, blob): a partition's rows (chunk, doc_id, held_out, text), those of a chunk packed together."""
+    held: list[pa.RecordBatch] = []
+
+    def send() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("chunk")
+        held.clear()
+        chunk = table["chunk"].to_numpy()
+        new = np.flatnonzero(np.diff(chunk, prepend=-1))
+        out = []
+        for i, j in zip(new.tolist(), np.append(new[1:], len(chunk)).tolist()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table.slice(i, j - i).combine_chunks())
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(chunk[new], pa.int64()), pa.array(out, pa.binary())], ["chunk", "blob"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) > HELD_BYTES:
+            yield send()
+    if sum(len(x) for x in held):
+        yield send()
+
+
+def rows_of(group: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group["blob"]])
+
+
+def numbers(data: bytes, n: int, wide: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(data, np.uint8, n * wide).reshape(wide, n).T
+    return out.view("<u8").ravel()
 
 
-def unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide, deep = blob[0], blob[1]
-    n = (len(blob) - 10 + wide) // (wide + deep)
+def pack_counts(x: np.ndarray) -> bytes:
+    """Numbers in as many bytes as the largest takes, compressed."""
+    wide = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return len(x).to_bytes(8, "little") + bytes([wide]) + pa.compress(planes(x, wide), "zstd", asbytes=True)
 
-    def numbers(start: int, k: int, w: int) -> np.ndarray:
-        out = np.zeros((k, 8), np.uint8)
-        out[:, :w] = np.frombuffer(blob, np.uint8, k * w, start).reshape(w, k).T
-        return out.view("<u8").ravel()
 
-    first = np.frombuffer(blob, "<u8", 1, 2)
-    return np.cumsum(np.concatenate([first, numbers(10, n - 1, wide)]), dtype=np.uint64), numbers(10 + (n - 1) * wide, n, deep).astype(np.int64)
+def unpack_counts(blob: bytes) -> np.ndarray:
+    n, wide = int.from_bytes(blob[:8], "little"), blob[8]
+    return numbers(pa.decompress(blob[9:], n * wide, "zstd", asbytes=True), n, wide).astype(np.int64)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising keys, by their differences."""
+    return keys[:1].astype("<u8").tobytes() + pack_counts(np.diff(keys))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.append(np.frombuffer(blob, "<u8", 1), unpack_counts(blob[8:]).view(np.uint64)), dtype=np.uint64)
 
 
 def learned(held: pa.Array, at: np.ndarray) -> np.ndarray:
@@ -115,13 +152,13 @@ def counts_of(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, n, place
 
 
-def asks(keys: np.ndarray, counts: np.ndarray, n_parts: int) -> Iterator[tuple[int, bytes]]:
-    """(range, its keys and counts)."""
+def asks(keys: np.ndarray, counts: np.ndarray, n_parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, its keys, their counts)."""
     first = int(len(keys) > 0 and not keys[0])
     part = ((keys >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
     new = first + np.flatnonzero(np.diff(part[first:], prepend=-1))
     for i, j in zip(new.tolist(), np.append(new[1:], len(keys)).tolist()):
-        yield int(part[i]), squeeze(keys[i:j], counts[i:j])
+        yield int(part[i]), pack_keys(keys[i:j]), pack_counts(counts[i:j])
 
 
 class Chunk:
@@ -131,9 +168,8 @@ class Chunk:
         grams, self.at = token_grams(*flat(text))
         self.keys, self.counts, self.place = counts_of(grams, learned(held, self.at))
 
-    def learn(self, blob: bytes) -> None:
-        keys, counts = unsqueeze(blob)
-        self.counts[np.searchsorted(self.keys, keys)] = counts
+    def learn(self, keys: bytes, counts: bytes) -> None:
+        self.counts[np.searchsorted(self.keys, unpack_keys(keys))] = unpack_counts(counts)
 
     def traverse(self, one: np.ndarray, priors: tuple[float, ...], texts: int) -> np.ndarray:
         """log10 of each token's probability; one: that of the empty context's arcs; texts: how often the begin was seen."""
@@ -148,21 +184,26 @@ class Chunk:
         return arc
 
 
-ASKS = "part long, chunk long, blob binary"
+ASKS = "part long, chunk long, keys binary, counts binary"
 
 
-def asked(rows: Iterator[tuple[int, bytes]], chunk: int) -> pa.Table:
+def asked(rows: Iterator[tuple[int, bytes, bytes]], chunk: int) -> pa.Table:
     rows = list(rows)
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+    cols = [[r[0] for r in rows], [chunk] * len(rows), [r[1] for r in rows], [r[2] for r in rows]]
+    return pa.table({name: pa.array(c, t) for name, c, t in zip(("part", "chunk", "keys", "counts"), cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+
+
+def whole(group: pa.Table, name: str, unpack: Callable[[bytes], np.ndarray]) -> list[np.ndarray]:
+    return [unpack(x.as_buffer().to_pybytes()) for x in group[name]]
 
 
 def answered(asking: DataFrame) -> DataFrame:
-    """(chunk, answer, n, v): for each chunk the n-grams that others ask for too, with all their counts; without a chunk, tokens and distinct tokens of a range."""
+    """(chunk, tokens, keys, counts, n, v): for each chunk the n-grams of so many tokens that others ask for too, with all their counts; without a chunk, tokens and distinct tokens of a range."""
 
     def meet(group: pa.Table) -> pa.Table:
-        came = [unsqueeze(x.as_buffer().to_pybytes()) for x in group["blob"]]
-        ends = np.cumsum([0, *(len(k) for k, _ in came)])
-        keys, own = (np.concatenate(x) for x in zip(*came))
+        came, own = whole(group, "keys", unpack_keys), np.concatenate(whole(group, "counts", unpack_counts))
+        ends = np.cumsum([0, *map(len, came)])
+        keys = np.concatenate(came)
         del came
         order = np.argsort(keys, kind="stable")
         new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
@@ -173,18 +214,22 @@ def answered(asking: DataFrame) -> DataFrame:
         out = []
         for chunk, i, j in zip(group["chunk"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
             more = i + np.flatnonzero(several[i:j])
-            if len(more):
-                out.append((chunk, squeeze(keys[more], total[more]), None, None))
-        out.append((None, None, int(sums[word].sum()), int((sums[word] > 0).sum())))
-        return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("chunk", "answer", "n", "v"), zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))})
+            for tokens in (1, 2, 3):
+                own_ = more[keys[more] & U64(3) == tokens]
+                if len(own_):
+                    out.append((chunk, tokens, pack_keys(keys[own_]), pack_counts(total[own_]), None, None))
+        out.append((None, None, None, None, int(sums[word].sum()), int((sums[word] > 0).sum())))
+        kinds = {"chunk": pa.int64(), "tokens": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "n": pa.int64(), "v": pa.int64()}
+        return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), zip(*out))})
 
-    return asking.groupBy("part").applyInArrow(meet, "chunk long, answer binary, n long, v long")
+    return asking.groupBy("part").applyInArrow(meet, "chunk long, tokens int, keys binary, counts binary, n long, v long")
 
 
 def words_and_pairs(docs: DataFrame, n_parts: int) -> DataFrame:
     def ask(group: pa.Table) -> pa.Table:
-        grams, at = token_grams(*flat(group["text"]))
-        keys, counts, _ = counts_of(grams[:2], learned(group["held_out"], at))
+        rows = rows_of(group)
+        grams, at = token_grams(*flat(rows["text"]))
+        keys, counts, _ = counts_of(grams[:2], learned(rows["held_out"], at))
         return asked(asks(keys, counts, n_parts), group["chunk"][0].as_py())
 
     return answered(docs.groupBy("chunk").applyInArrow(ask, ASKS))
@@ -196,15 +241,16 @@ def threes(docs: DataFrame, answers: DataFrame, n_parts: int) -> DataFrame:
     def ask(group: pa.Table, given: pa.Table) -> pa.Table:
         if not len(group) or not len(given):
             return asked(iter(()), 0)
-        grams, at = token_grams(*flat(group["text"]))
-        known = np.concatenate([unsqueeze(x.as_buffer().to_pybytes())[0] for x in given["answer"]])
-        known = np.sort(known[known & U64(3) == 2])
+        rows = rows_of(group)
+        grams, at = token_grams(*flat(rows["text"]))
+        known = np.sort(np.concatenate(whole(given, "keys", unpack_keys)))
         shared = known[np.minimum(np.searchsorted(known, grams[1]), max(0, len(known) - 1))] == grams[1] if len(known) else np.zeros(grams.shape[1], bool)
         good = np.flatnonzero(shared & np.roll(shared, 1) & (grams[2] > 0))
-        keys, counts, _ = counts_of(grams[2, good], learned(group["held_out"], at)[good])
+        keys, counts, _ = counts_of(grams[2, good], learned(rows["held_out"], at)[good])
         return asked(asks(keys, counts, n_parts), group["chunk"][0].as_py())
 
-    return answered(docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, ASKS))
+    pairs = answers.filter("tokens = 2").select("chunk", "keys")
+    return answered(docs.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(ask, ASKS))
 
 
 def score(docs: DataFrame, priors: tuple[float, ...] = PRIORS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -213,25 +259,26 @@ def score(docs: DataFrame, priors: tuple[float, ...] = PRIORS, chunk_bytes: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("texts")).first()
     n_parts, texts = 1 + size["bytes"] // chunk_bytes, size["texts"]
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)))
+    docs = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).alias("chunk"), "doc_id", "held_out", "text").mapInArrow(lean(squeezed), "chunk long, blob binary")
     first = cut(words_and_pairs(docs, n_parts))
     tidy(docs.sparkSession)
     sums = first.filter("chunk IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     total, distinct = sums["n"], sums["v"]
-    given = first.filter("chunk IS NOT NULL").select("chunk", "answer")
+    given = first.filter("chunk IS NOT NULL").select("chunk", "tokens", "keys", "counts")
     more = cut(threes(docs, given, n_parts))
     tidy(docs.sparkSession)
-    given = given.union(more.filter("chunk IS NOT NULL").select("chunk", "answer"))
+    given = given.union(more.filter("chunk IS NOT NULL").select("chunk", "tokens", "keys", "counts")).drop("tokens")
     shift = math.log10(total + 0.5 * (distinct + 1))
 
-    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
+    def run(group: pa.Table, given: pa.Table) -> pa.Table:
+        rows = rows_of(group)
         chunk = Chunk(rows["text"], rows["held_out"])
-        for blob in given["answer"]:
-            chunk.learn(blob.as_buffer().to_pybytes())
+        for keys, counts in zip(given["keys"], given["counts"]):
+            chunk.learn(keys.as_buffer().to_pybytes(), counts.as_buffer().to_pybytes())
         n = chunk.counts[chunk.place[0]]
         arcs = chunk.traverse(np.log10((n + priors[0] / (distinct + 1)) / (total + priors[0])), priors, texts)
-        sums = lambda x: np.diff(np.append(0, np.cumsum(x))[chunk.at])
-        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": np.diff(chunk.at), "n_known": sums(n > 0), "train_tokens": np.full(len(rows), total), "base_score": sums(np.log10(n + 0.5) - shift), "score": sums(arcs)})
+        sums = lambda x: np.add.reduceat(x, chunk.at[:-1])  # a text's sum, whatever stands beside it
+        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": np.diff(chunk.at), "n_known": sums((n > 0).astype(np.int64)), "train_tokens": np.full(len(rows), total), "base_score": sums(np.log10(n + 0.5) - shift), "score": sums(arcs)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(run, schema)
