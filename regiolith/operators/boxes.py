@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from regiolith.functions import geometry as geo
 from regiolith.functions.ranking import top_k
-from regiolith.session import per_group
+from regiolith.session import reach_workers
 
 
 def greedy(b: np.ndarray, score: np.ndarray, most: float = 0.5) -> np.ndarray:
@@ -28,14 +30,21 @@ def greedy(b: np.ndarray, score: np.ndarray, most: float = 0.5) -> np.ndarray:
 def suppress(boxes: DataFrame, by: list[str], most: float = 0.5, top: int = 1000) -> DataFrame:
     """(by, seg, score) of the boxes left; only the top boxes of a group take part, so a group fits its task."""
     best = top_k(boxes, by, [F.desc("score"), F.col("seg")], top).select(*by, "seg", "score", "box.*")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "seg"], ascending=[False, True]).reset_index(drop=True)
-        keep = greedy(pdf[["r0", "c0", "r1", "c1"]].to_numpy(float)[:, None, :], pdf["score"].to_numpy(), most)
-        return pdf.loc[keep, [*by, "seg", "score"]]
-
     kinds = dict(best.dtypes)
-    return per_group(best, by, run, ", ".join(f"{c} {kinds[c]}" for c in (*by, "seg", "score")))
+    ends = [F.col(c).cast("double").alias(c) for c in ("r0", "c0", "r1", "c1")]
+    packed = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "seg", "score", *ends))).alias("own"))  # at most `top` boxes
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for row in pdf.itertuples(index=False):
+                b = np.array([[x["r0"], x["c0"], x["r1"], x["c1"]] for x in row.own], float)
+                kept = greedy(b[:, None, :], -np.arange(len(b)), most)  # they come best first
+                out += [(*(getattr(row, c) for c in by), row.own[i]["seg"], row.own[i]["score"]) for i in kept.tolist()]
+            yield pd.DataFrame(out, columns=[*by, "seg", "score"])
+
+    reach_workers(boxes.sparkSession)
+    return packed.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*by, "seg", "score")))
 
 
 def best_overlaps(truth: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
