@@ -398,6 +398,35 @@ def test_a_large_group_of_near_copies(spark):
     assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.near_duplicates(rows)
 
 
+def test_a_member_meets_one_hub_a_round(spark, monkeypatch):
+    rng, asked, given = random.Random(9), [], []
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    base, rows = rng.choices(words, k=120), []
+    for i in range(900):
+        own = list(base)
+        for _ in range(rng.randint(2, 4)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    confirm, blocks = minhash.confirm, minhash.confirm_blocks
+
+    def counting(pairs, sets, percent):
+        asked.append(pairs.count())
+        return confirm(pairs, sets, percent)
+
+    def forests(active, sets, percent):
+        out = blocks(active, sets, percent)
+        given.append((active.select("component").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "confirm", counting)
+    monkeypatch.setattr(minhash, "confirm_blocks", forests)
+    monkeypatch.setattr(minhash, "BLOCK", 100)  # so that buckets are many cells
+    assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.near_duplicates(rows)
+    assert asked and max(asked) <= len(rows)
+    (components, links), = given
+    assert links <= minhash.BANDS * components
+
+
 # ------------------------------------------------------------ 10
 
 
