@@ -21,17 +21,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 FLAG = "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
-PX = f"px AS (SELECT l_suppkey AS photo, l_linenumber * 5 + l_partkey % 5 AS seg, {FLAG} AS t, l_quantity AS w, l_extendedprice AS x, l_discount AS d, l_tax AS tax, l_orderkey AS ord FROM lineitem)"
-LN = f"ln AS (SELECT l_orderkey AS photo, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS seg, {FLAG} AS t, l_quantity AS q, l_extendedprice AS x, l_discount AS d, l_tax AS tax, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp FROM lineitem)"
-BX = f"{LN}, bx AS (SELECT photo, seg, t AS class, x AS score, q AS r0, n * 10.0 AS c0, q + round(d * 100) + 3 AS r1, n * 10.0 + round(tax * 100) + 5 AS c1 FROM ln)"
-VOTE = f"{PX}, sums AS (SELECT photo, seg, t, sum(w) AS v FROM px GROUP BY ALL), vote AS (SELECT photo, seg, t AS p, v AS votes FROM (SELECT *, row_number() OVER (PARTITION BY photo, seg ORDER BY v DESC, t) AS r FROM sums) WHERE r = 1)"
-CONF = f"{VOTE}, k AS (SELECT unnest([1, 2, 3]) AS class), conf AS (SELECT a.class AS t, b.class AS p, count(px.photo) AS n FROM k a CROSS JOIN k b LEFT JOIN (SELECT px.photo, px.t, vote.p FROM px JOIN vote USING (photo, seg)) px ON px.t = a.class AND px.p = b.class GROUP BY ALL)"
+PX = f"""px AS (SELECT l_suppkey AS photo, l_linenumber * 5 + l_partkey % 5 AS seg, {FLAG} AS t, l_quantity AS w, l_extendedprice AS x, l_discount AS d, l_tax
+AS tax, l_orderkey AS ord FROM lineitem)"""
+LN = f"""ln AS (SELECT l_orderkey AS photo, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+l_quantity, l_shipdate) AS seg, {FLAG} AS t, l_quantity AS q, l_extendedprice AS x, l_discount AS d, l_tax AS tax, l_linenumber AS n, l_partkey AS
+part, l_suppkey AS supp FROM lineitem)"""
+BX = f"""{LN}, bx AS (SELECT photo, seg, t AS class, x AS score, q AS r0, n * 10.0 AS c0, q + round(d * 100) + 3 AS r1, n * 10.0 + round(tax * 100) + 5 AS c1
+FROM ln)"""
+VOTE = f"""{PX}, sums AS (SELECT photo, seg, t, sum(w) AS v FROM px GROUP BY ALL),
+vote AS (SELECT photo, seg, t AS p, v AS votes FROM (SELECT *, row_number() OVER (PARTITION BY photo, seg ORDER BY v DESC, t) AS r FROM sums) WHERE r
+= 1)"""
+CONF = f"""{VOTE}, k AS (SELECT unnest([1, 2, 3]) AS class),
+conf AS (SELECT a.class AS t, b.class AS p, count(px.photo) AS n FROM k a CROSS JOIN k b LEFT JOIN (SELECT px.photo, px.t, vote.p FROM px JOIN vote
+USING (photo, seg)) px ON px.t = a.class AND px.p = b.class GROUP BY ALL)"""
 
 
 def measures(conf: str, by: str = "") -> str:
     comma = f"{by}, " if by else ""
     join = f"({comma}class)"
-    return f"rt AS (SELECT {comma}t AS class, sum(n) AS n_true, sum(CASE WHEN t = p THEN n ELSE 0 END) AS tp FROM {conf} GROUP BY ALL), rp AS (SELECT {comma}p AS class, sum(n) AS n_pred FROM {conf} GROUP BY ALL), ms AS (SELECT {comma}class, tp, n_true, n_pred, tp / nullif(n_pred, 0) AS pre, tp / nullif(n_true, 0) AS rec, 2 * tp / nullif(n_true + n_pred, 0) AS f1, tp / nullif(n_true + n_pred - tp, 0) AS iou FROM rt JOIN rp USING {join})"
+    return f"""rt AS (SELECT {comma}t AS class, sum(n) AS n_true, sum(CASE WHEN t = p THEN n ELSE 0 END) AS tp FROM {conf} GROUP BY ALL),
+rp AS (SELECT {comma}p AS class, sum(n) AS n_pred FROM {conf} GROUP BY ALL),
+ms AS (SELECT {comma}class, tp, n_true, n_pred, tp / nullif(n_pred, 0) AS pre, tp / nullif(n_true, 0) AS rec, 2 * tp / nullif(n_true + n_pred, 0) AS
+f1, tp / nullif(n_true + n_pred - tp, 0) AS iou FROM rt JOIN rp USING {join})"""
 
 
 def query(sql: str | None = None):
@@ -60,13 +71,18 @@ def seg_area(spark, d):
     return region.areas(src.pixels(spark, d))
 
 
-@query(f"WITH {PX} SELECT photo, seg, round(avg(x) + 1e-7, 2) AS x_mean, round(stddev_samp(x) + 1e-7, 1) AS x_std, round(avg(d), 6) AS d_mean, max(tax) AS tax_top FROM px GROUP BY ALL")
+@query(f"""
+WITH {PX} SELECT photo, seg, round(avg(x) + 1e-7, 2) AS x_mean, round(stddev_samp(x) + 1e-7, 1) AS x_std, round(avg(d), 6) AS d_mean, max(tax) AS
+tax_top FROM px GROUP BY ALL""")
 def seg_feature_meanstd(spark, d):
     out = region.features(src.pixels(spark, d), {"x": region.DEFAULT, "d": {"mean": F.avg}, "tax": {"top": F.max}})
     return out.select("photo", "seg", r(F.col("x_mean") + 1e-7, 2).alias("x_mean"), r(F.col("x_std") + 1e-7, 1).alias("x_std"), r("d_mean").alias("d_mean"), "tax_top")
 
 
-@query("WITH b AS (SELECT user_id, CAST(least(10, greatest(0, ceil(value / 50.0 - 0.5))) AS INTEGER) AS bin FROM events), n AS (SELECT user_id, bin, count(*) AS n FROM b GROUP BY ALL) SELECT user_id, bin, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM n")
+@query("""
+WITH b AS (SELECT user_id, CAST(least(10, greatest(0, ceil(value / 50.0 - 0.5))) AS INTEGER) AS bin FROM events),
+n AS (SELECT user_id, bin, count(*) AS n FROM b GROUP BY ALL)
+SELECT user_id, bin, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM n""")
 def seg_histogram(spark, d):
     out = region.histogram(src.table(spark, d, "events"), ["user_id"], {"value": (0.0, 500.0)})
     return out.select("user_id", "bin", r("share").alias("share"))
@@ -77,12 +93,17 @@ def seg_bbox(spark, d):
     return region.boxes(src.pixels(spark, d), "w", "x")
 
 
-@query(f"WITH {PX} SELECT photo, seg, round(sum(CASE WHEN w BETWEEN 8 AND 45 THEN 1 ELSE 0 END) / count(*), 6) AS share FROM px GROUP BY ALL HAVING sum(CASE WHEN w BETWEEN 8 AND 45 THEN 1 ELSE 0 END) / count(*) > 0.75")
+@query(f"""
+WITH {PX} SELECT photo, seg, round(sum(CASE WHEN w BETWEEN 8 AND 45 THEN 1 ELSE 0 END) / count(*), 6) AS share FROM px GROUP BY ALL HAVING sum(CASE
+WHEN w BETWEEN 8 AND 45 THEN 1 ELSE 0 END) / count(*) > 0.75""")
 def roi_overlap(spark, d):
     return region.inside(src.pixels(spark, d), F.col("w").between(8, 45)).withColumn("share", r("share"))
 
 
-@query(f"WITH {PX}, tr AS (SELECT DISTINCT photo FROM px WHERE photo % 2 = 0) SELECT t, round(count(*) / (SELECT count(*) FROM tr), 6) AS frequency, count(DISTINCT photo) AS presence FROM px WHERE photo IN (SELECT photo FROM tr) GROUP BY t")
+@query(f"""
+WITH {PX}, tr AS (SELECT DISTINCT photo FROM px WHERE photo % 2 = 0)
+SELECT t, round(count(*) / (SELECT count(*) FROM tr), 6) AS frequency, count(DISTINCT photo) AS presence FROM px WHERE photo IN (SELECT photo FROM tr)
+GROUP BY t""")
 def class_frequency(spark, d):
     px = src.pixels(spark, d)
     return region.class_frequency(px, px.filter("photo % 2 = 0").select("photo")).withColumn("frequency", r("frequency"))
@@ -98,14 +119,18 @@ def label_vote(spark, d):
     return region.vote(src.pixels(spark, d), region.REGION, "t", "w")
 
 
-@query(f"WITH {PX}, h AS (SELECT photo, seg, t AS class, sum(w) AS v FROM px GROUP BY ALL), a AS (SELECT photo, seg, count(*) AS n FROM px GROUP BY ALL) SELECT photo, seg, class, round(v / n, 6) AS score FROM h JOIN a USING (photo, seg)")
+@query(f"""
+WITH {PX}, h AS (SELECT photo, seg, t AS class, sum(w) AS v FROM px GROUP BY ALL), a AS (SELECT photo, seg, count(*) AS n FROM px GROUP BY ALL)
+SELECT photo, seg, class, round(v / n, 6) AS score FROM h JOIN a USING (photo, seg)""")
 def seg_class_score(spark, d):
     px = src.pixels(spark, d)
     total = px.groupBy(*region.REGION, F.col("t").alias("class")).agg(F.sum("w").alias("v"))
     return total.join(region.areas(px), region.REGION).select(*region.REGION, "class", r(F.col("v") / F.col("area")).alias("score"))
 
 
-@query(f"WITH {PX} SELECT photo, seg, round(sum(CASE WHEN d < 0.05 THEN w ELSE 0 END) / count(*), 6) AS inside, round(sum(CASE WHEN d < 0.05 THEN 0 ELSE w END) / count(*), 6) AS outside FROM px GROUP BY ALL")
+@query(f"""
+WITH {PX} SELECT photo, seg, round(sum(CASE WHEN d < 0.05 THEN w ELSE 0 END) / count(*), 6) AS inside, round(sum(CASE WHEN d < 0.05 THEN 0 ELSE w END)
+/ count(*), 6) AS outside FROM px GROUP BY ALL""")
 def mask_fraction(spark, d):
     out = region.inside_outside(src.pixels(spark, d), F.col("d") < 0.05, F.col("w"))
     return out.select("photo", "seg", r("inside").alias("inside"), r("outside").alias("outside"))
@@ -127,26 +152,39 @@ def seg_eval_confusion(spark, d):
     return _matrix(spark, d)
 
 
-@query(f"WITH {CONF}, {measures('conf')} SELECT class, CAST(tp AS BIGINT) AS tp, CAST(n_true AS BIGINT) AS n_true, CAST(n_pred AS BIGINT) AS n_pred, round(pre, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou FROM ms")
+@query(f"""
+WITH {CONF}, {measures('conf')} SELECT class, CAST(tp AS BIGINT) AS tp, CAST(n_true AS BIGINT) AS n_true, CAST(n_pred AS BIGINT) AS n_pred, round(pre,
+6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou FROM ms""")
 def seg_eval_classes(spark, d):
     out = metrics.by_class(_matrix(spark, d))
     return out.select("class", "tp", "n_true", "n_pred", *[r(c).alias(c) for c in ("precision", "recall", "f1", "iou")])
 
 
-@query(f"WITH {CONF}, {measures('conf')} SELECT round(sum(tp) / sum(n_true), 6) AS accuracy, round(avg(pre), 6) AS precision, round(avg(rec), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(iou), 6) AS iou FROM ms")
+@query(f"""
+WITH {CONF}, {measures('conf')} SELECT round(sum(tp) / sum(n_true), 6) AS accuracy, round(avg(pre), 6) AS precision, round(avg(rec), 6) AS recall,
+round(avg(f1), 6) AS f1, round(avg(iou), 6) AS iou FROM ms""")
 def seg_eval_summary(spark, d):
     out = metrics.summary(_matrix(spark, d))
     return out.select(*[r(c).alias(c) for c in out.columns])
 
 
-@query(f"WITH rw AS (SELECT quality AS t, toxic AS p, CAST(n_chars AS DOUBLE) AS n FROM labels JOIN documents USING (doc_id)), k AS (SELECT t AS class FROM rw UNION SELECT p FROM rw), conf AS (SELECT a.class AS t, b.class AS p, coalesce(sum(n), 0) AS n FROM k a CROSS JOIN k b LEFT JOIN rw ON rw.t = a.class AND rw.p = b.class GROUP BY ALL), {measures('conf')} SELECT class, round(pre, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou FROM ms")
+@query(f"""
+WITH rw AS (SELECT quality AS t, toxic AS p, CAST(n_chars AS DOUBLE) AS n FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT t AS class FROM rw UNION SELECT p FROM rw),
+conf AS (SELECT a.class AS t, b.class AS p, coalesce(sum(n), 0) AS n FROM k a CROSS JOIN k b LEFT JOIN rw ON rw.t = a.class AND rw.p = b.class GROUP
+BY ALL), {measures('conf')} SELECT class, round(pre, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, round(iou, 6) AS iou FROM ms""")
 def clseval_weighted(spark, d):
     rows = src.table(spark, d, "labels").join(src.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("quality").alias("t"), F.col("toxic").alias("p"), "n_chars")
     out = metrics.weighted(rows, F.col("n_chars"))
     return out.select("class", *[r(c).alias(c) for c in ("precision", "recall", "f1", "iou")])
 
 
-@query(f"WITH {CONF}, jd AS (SELECT px.photo, px.t, vote.p FROM px JOIN vote USING (photo, seg)), ph AS (SELECT DISTINCT photo FROM jd), cf AS (SELECT ph.photo, a.class AS t, b.class AS p, count(jd.t) AS n FROM ph CROSS JOIN k a CROSS JOIN k b LEFT JOIN jd ON jd.photo = ph.photo AND jd.t = a.class AND jd.p = b.class GROUP BY ALL), {measures('cf', 'photo')} SELECT photo, round(sum(tp) / sum(n_true), 6) AS accuracy, round(avg(pre), 6) AS precision, round(avg(rec), 6) AS recall FROM ms GROUP BY photo")
+@query(f"""
+WITH {CONF}, jd AS (SELECT px.photo, px.t, vote.p FROM px JOIN vote USING (photo, seg)), ph AS (SELECT DISTINCT photo FROM jd),
+cf AS (SELECT ph.photo, a.class AS t, b.class AS p, count(jd.t) AS n FROM ph CROSS JOIN k a CROSS JOIN k b LEFT JOIN jd ON jd.photo = ph.photo AND
+jd.t = a.class AND jd.p = b.class GROUP BY ALL),
+{measures('cf', 'photo')} SELECT photo, round(sum(tp) / sum(n_true), 6) AS accuracy, round(avg(pre), 6) AS precision, round(avg(rec), 6) AS recall
+FROM ms GROUP BY photo""")
 def eval_per_entity(spark, d):
     out = metrics.summary(_matrix(spark, d, ["photo"]), ["photo"])
     return out.select("photo", *[r(c).alias(c) for c in ("accuracy", "precision", "recall")])
@@ -155,27 +193,41 @@ def eval_per_entity(spark, d):
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(9)]
 
 
-@query(f"WITH rw AS (SELECT (n_chars % 1000) / 1000.0 AS s, toxic AS y FROM labels JOIN documents USING (doc_id)), th AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold), x AS (SELECT threshold, sum(CASE WHEN s > threshold THEN 1 ELSE 0 END) AS k, sum(CASE WHEN s > threshold THEN y ELSE 0 END) AS tp, sum(y) AS y FROM rw CROSS JOIN th GROUP BY ALL) SELECT threshold, CAST(k AS BIGINT) AS n_selected, round(tp / nullif(k, 0), 6) AS precision, round(tp / nullif(y, 0), 6) AS recall, round(tp / nullif(k + y - tp, 0), 6) AS iou FROM x")
+@query(f"""
+WITH rw AS (SELECT (n_chars % 1000) / 1000.0 AS s, toxic AS y FROM labels JOIN documents USING (doc_id)),
+th AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold),
+x AS (SELECT threshold, sum(CASE WHEN s > threshold THEN 1 ELSE 0 END) AS k, sum(CASE WHEN s > threshold THEN y ELSE 0 END) AS tp, sum(y) AS y FROM rw
+CROSS JOIN th GROUP BY ALL)
+SELECT threshold, CAST(k AS BIGINT) AS n_selected, round(tp / nullif(k, 0), 6) AS precision, round(tp / nullif(y, 0), 6) AS recall, round(tp /
+nullif(k + y - tp, 0), 6) AS iou FROM x""")
 def threshold_sweep(spark, d):
     rows = src.table(spark, d, "labels").join(src.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     out = metrics.sweep(rows, (F.col("n_chars") % 1000) / 1000, F.col("toxic"), THRESHOLDS)
     return out.select("threshold", "n_selected", *[r(c).alias(c) for c in ("precision", "recall", "iou")])
 
 
-@query("WITH f AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) % 5 + 1 AS fold, quality, toxic FROM labels) SELECT fold, count(*) AS n, round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM f GROUP BY fold")
+@query("""
+WITH f AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) % 5 + 1 AS fold, quality, toxic FROM labels)
+SELECT fold, count(*) AS n, round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM f GROUP BY fold""")
 def fold_eval(spark, d):
     rows = ranking.numbered(src.table(spark, d, "labels"), ["doc_id"], "i").withColumn("fold", ranking.fold(F.col("i"), 5))
     return rows.groupBy("fold").agg(F.count("*").alias("n"), r(F.avg((F.col("quality") == 1 - F.col("toxic")).cast("double"))).alias("accuracy"))
 
 
-@query(f"WITH {CONF}, a AS (SELECT 'oracle' AS parser, sum(CASE WHEN t = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM conf), b AS (SELECT 'constant' AS parser, avg(CASE WHEN t = 1 THEN 1.0 ELSE 0.0 END) AS accuracy FROM px) SELECT parser, round(accuracy, 6) AS accuracy FROM a UNION ALL SELECT parser, round(accuracy, 6) FROM b")
+@query(f"""
+WITH {CONF}, a AS (SELECT 'oracle' AS parser, sum(CASE WHEN t = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM conf),
+b AS (SELECT 'constant' AS parser, avg(CASE WHEN t = 1 THEN 1.0 ELSE 0.0 END) AS accuracy FROM px)
+SELECT parser, round(accuracy, 6) AS accuracy FROM a UNION ALL SELECT parser, round(accuracy, 6) FROM b""")
 def oracle_vs_constant(spark, d):
     best = _judged(spark, d).agg(r(F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")).select(F.lit("oracle").alias("parser"), "accuracy")
     flat = src.pixels(spark, d).agg(r(F.avg((F.col("t") == 1).cast("double"))).alias("accuracy")).select(F.lit("constant").alias("parser"), "accuracy")
     return best.union(flat)
 
 
-@query("WITH o AS (SELECT doc_id, toxic, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY toxic ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS a FROM labels) SELECT doc_id, toxic, round(a, 6) AS accuracy FROM o")
+@query("""
+WITH o AS (SELECT doc_id, toxic, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY toxic ORDER BY doc_id ROWS UNBOUNDED PRECEDING)
+AS a FROM labels)
+SELECT doc_id, toxic, round(a, 6) AS accuracy FROM o""")
 def running_accuracy(spark, d):
     out = metrics.running_accuracy(src.table(spark, d, "labels"), ["toxic"], "doc_id", F.col("quality") == 1)
     return out.select("doc_id", "toxic", r("accuracy").alias("accuracy"))
@@ -191,13 +243,18 @@ def _dissim(spark, d) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("c1")).crossJoin(n.select(F.col("n_nationkey").alias("c2"))).withColumn("d", 1.0 + (F.col("c1") * 7 + F.col("c2") * 7) % 11)
 
 
-@query(f"WITH {DIS} SELECT a.n_regionkey AS g1, b.n_regionkey AS g2, round(avg(d), 6) AS d FROM ds JOIN nation a ON c1 = a.n_nationkey JOIN nation b ON c2 = b.n_nationkey GROUP BY ALL")
+@query(f"""
+WITH {DIS} SELECT a.n_regionkey AS g1, b.n_regionkey AS g2, round(avg(d), 6) AS d FROM ds JOIN nation a ON c1 = a.n_nationkey JOIN nation b ON c2 =
+b.n_nationkey GROUP BY ALL""")
 def taxonomy_rollup(spark, d):
     groups = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("class"), F.col("n_regionkey").alias("grp"))
     return taxonomy.roll_up(_dissim(spark, d), groups).withColumn("d", r("d"))
 
 
-@query("WITH f AS (SELECT n_nationkey % 10 AS fine, list(DISTINCT n_nationkey ORDER BY n_nationkey) AS f FROM nation GROUP BY 1), c AS (SELECT n_regionkey AS target, list(DISTINCT n_nationkey ORDER BY n_nationkey) AS t FROM nation GROUP BY 1) SELECT fine, target FROM f, c WHERE len(list_intersect(f, t)) > 0 AND f <> t")
+@query("""
+WITH f AS (SELECT n_nationkey % 10 AS fine, list(DISTINCT n_nationkey ORDER BY n_nationkey) AS f FROM nation GROUP BY 1),
+c AS (SELECT n_regionkey AS target, list(DISTINCT n_nationkey ORDER BY n_nationkey) AS t FROM nation GROUP BY 1)
+SELECT fine, target FROM f, c WHERE len(list_intersect(f, t)) > 0 AND f <> t""")
 def class_bridge(spark, d):
     n = src.table(spark, d, "nation")
     ids = lambda c: n.groupBy(c.alias("class")).agg(F.collect_set("n_nationkey").alias("ids"))
@@ -211,7 +268,11 @@ def bridge_expand(spark, d):
     return region.through_bridge(scores, bridge).withColumn("value", r("value", 2))
 
 
-@query("WITH s AS (SELECT a.r_regionkey + 1 AS c1, b.r_regionkey + 1 AS c2, 1.0 / (1 + abs(a.r_regionkey - b.r_regionkey)) AS s FROM region a CROSS JOIN region b), d AS (SELECT c1, c2, 1 / s AS d FROM s), e AS (SELECT min(d) AS lo, max(d) AS hi FROM d), c AS (SELECT DISTINCT c1 AS c FROM s) SELECT c1, c2, round(d / lo, 6) AS d FROM d, e UNION ALL SELECT 0, c, round(16 * hi / lo, 6) FROM c, e UNION ALL SELECT c, 0, round(16 * hi / lo, 6) FROM c, e")
+@query("""
+WITH s AS (SELECT a.r_regionkey + 1 AS c1, b.r_regionkey + 1 AS c2, 1.0 / (1 + abs(a.r_regionkey - b.r_regionkey)) AS s FROM region a CROSS JOIN
+region b), d AS (SELECT c1, c2, 1 / s AS d FROM s), e AS (SELECT min(d) AS lo, max(d) AS hi FROM d), c AS (SELECT DISTINCT c1 AS c FROM s)
+SELECT c1, c2, round(d / lo, 6) AS d FROM d, e UNION ALL SELECT 0, c, round(16 * hi / lo, 6) FROM c, e UNION ALL SELECT c, 0, round(16 * hi / lo, 6)
+FROM c, e""")
 def dissim_matrix(spark, d):
     n = src.table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("c1"))
     similar = n.crossJoin(n.toDF("c2")).withColumn("s", 1.0 / (1 + F.abs(F.col("c1") - F.col("c2"))))
@@ -239,7 +300,10 @@ def relabel_total(spark, d):
     return taxonomy.relabel(src.table(spark, d, "customer").select("c_custkey", "c_nationkey"), known, "c_nationkey", strict=True).select("c_custkey", "class")
 
 
-@query("WITH k AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT event_type AS name FROM events)), a AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT unnest(['null', 'skin'])) SELECT a.name, coalesce(k.id, 0) AS id FROM a LEFT JOIN k ON a.name = k.name")
+@query("""
+WITH k AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT event_type AS name FROM events)),
+a AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT unnest(['null', 'skin']))
+SELECT a.name, coalesce(k.id, 0) AS id FROM a LEFT JOIN k ON a.name = k.name""")
 def validate_domain(spark, d):
     names = src.table(spark, d, "events").select(F.col("event_type").alias("name")).distinct()
     known = names.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))
@@ -247,7 +311,11 @@ def validate_domain(spark, d):
     return good.select("name", "id").union(unknown.select("name", F.lit(0).cast("long")))
 
 
-@query(f"WITH {PX}, fr AS (SELECT t, count(*) / (SELECT count(DISTINCT photo) FROM px) AS f FROM px GROUP BY t), sg AS (SELECT DISTINCT photo, seg, t FROM px), st AS (SELECT unnest([1, 2, 3]) AS state) SELECT photo, seg, state, sg.t, round(CASE WHEN state = sg.t THEN 0.0 ELSE abs(state - sg.t) * 10.0 * (SELECT max(f) FROM fr) / f END, 4) AS loss FROM sg JOIN fr ON fr.t = sg.t CROSS JOIN st")
+@query(f"""
+WITH {PX}, fr AS (SELECT t, count(*) / (SELECT count(DISTINCT photo) FROM px) AS f FROM px GROUP BY t), sg AS (SELECT DISTINCT photo, seg, t FROM px),
+st AS (SELECT unnest([1, 2, 3]) AS state)
+SELECT photo, seg, state, sg.t, round(CASE WHEN state = sg.t THEN 0.0 ELSE abs(state - sg.t) * 10.0 * (SELECT max(f) FROM fr) / f END, 4) AS loss FROM
+sg JOIN fr ON fr.t = sg.t CROSS JOIN st""")
 def loss_matrix(spark, d):
     px = src.pixels(spark, d)
     k = three(spark)
@@ -269,39 +337,56 @@ def unordered_pairs(spark, d):
     return pairs.unordered(src.lines(spark, d), F.col("q") > 10)
 
 
-@query("WITH e AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT a, b, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY ALL")
+@query("""
+WITH e AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT a, b, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY ALL""")
 def adjacency_pairs(spark, d):
     return pairs.successive(src.table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("WITH gr AS (SELECT CAST(floor(o_orderkey / 60) AS BIGINT) AS y, o_orderkey % 60 AS x, min(o_custkey % 9) AS seg FROM orders GROUP BY ALL), p AS (SELECT a.seg AS a, b.seg AS b FROM gr a JOIN gr b ON (a.y = b.y AND a.x + 1 = b.x) OR (a.x = b.x AND a.y + 1 = b.y)) SELECT DISTINCT least(a, b) AS s1, greatest(a, b) AS s2 FROM p")
+@query("""
+WITH gr AS (SELECT CAST(floor(o_orderkey / 60) AS BIGINT) AS y, o_orderkey % 60 AS x, min(o_custkey % 9) AS seg FROM orders GROUP BY ALL),
+p AS (SELECT a.seg AS a, b.seg AS b FROM gr a JOIN gr b ON (a.y = b.y AND a.x + 1 = b.x) OR (a.x = b.x AND a.y + 1 = b.y))
+SELECT DISTINCT least(a, b) AS s1, greatest(a, b) AS s2 FROM p""")
 def grid_adjacency(spark, d):
     o = src.table(spark, d, "orders")
     grid = o.groupBy(F.floor(F.col("o_orderkey") / 60).alias("y"), (F.col("o_orderkey") % 60).alias("x")).agg(F.min(F.col("o_custkey") % 9).alias("seg"))
     return pairs.adjacent(grid.withColumn("photo", F.lit(1))).select("s1", "s2")
 
 
-@query(f"WITH {LN} SELECT a.photo, a.seg AS s1, b.seg AS s2, round((a.q + b.q) / 2, 6) AS f1, round((a.d + b.d) / 2, 6) AS f2, round(abs(a.q - b.q), 6) AS f3, round(abs(a.d - b.d), 6) AS f4 FROM ln a JOIN ln b ON a.photo = b.photo AND a.seg < b.seg")
+@query(f"""
+WITH {LN} SELECT a.photo, a.seg AS s1, b.seg AS s2, round((a.q + b.q) / 2, 6) AS f1, round((a.d + b.d) / 2, 6) AS f2, round(abs(a.q - b.q), 6) AS f3,
+round(abs(a.d - b.d), 6) AS f4 FROM ln a JOIN ln b ON a.photo = b.photo AND a.seg < b.seg""")
 def pair_features(spark, d):
     seg = src.lines(spark, d).select("photo", "seg", F.array("q", "d").alias("features"))
     out = pairs.features(pairs.unordered(seg), seg)
     return out.select("photo", "s1", "s2", *[r(F.col("features")[i]).alias(f"f{i + 1}") for i in range(4)])
 
 
-@query("WITH e AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), n AS (SELECT user_id, least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY ALL), s AS (SELECT user_id, a, b, n / sum(n) OVER (PARTITION BY user_id) AS s FROM n), o AS (SELECT a, b, avg(s) AS p FROM s GROUP BY ALL) SELECT a, b, round(max(p), 6) AS p FROM (SELECT a, b, p FROM o UNION ALL SELECT b, a, p FROM o) GROUP BY ALL")
+@query("""
+WITH e AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+n AS (SELECT user_id, least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY ALL),
+s AS (SELECT user_id, a, b, n / sum(n) OVER (PARTITION BY user_id) AS s FROM n), o AS (SELECT a, b, avg(s) AS p FROM s GROUP BY ALL)
+SELECT a, b, round(max(p), 6) AS p FROM (SELECT a, b, p FROM o UNION ALL SELECT b, a, p FROM o) GROUP BY ALL""")
 def adjacency_prior(spark, d):
     own = pairs.successive(src.table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
     own = own.select("user_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.prior(own, ["user_id"]).withColumn("p", r("p"))
 
 
-@query("WITH c AS (SELECT conv_id, role AS a, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), n AS (SELECT a, b, count(*) AS n FROM c WHERE b IS NOT NULL GROUP BY ALL) SELECT a, b, n, round(n / sum(n) OVER (PARTITION BY b), 6) AS share FROM n")
+@query("""
+WITH c AS (SELECT conv_id, role AS a, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+n AS (SELECT a, b, count(*) AS n FROM c WHERE b IS NOT NULL GROUP BY ALL)
+SELECT a, b, n, round(n / sum(n) OVER (PARTITION BY b), 6) AS share FROM n""")
 def cooccurrence(spark, d):
     own = pairs.successive(src.table(spark, d, "conversations"), ["conv_id"], ["turn"], "role")
     return pairs.cooccurrence(own).withColumn("share", r("share"))
 
 
-@query(f"WITH {LN}, c AS (SELECT photo, seg, q, sum(CASE WHEN q > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY photo ORDER BY seg ROWS UNBOUNDED PRECEDING) AS new FROM ln) SELECT photo, seg, CAST(new AS BIGINT) AS new FROM c WHERE q > 25")
+@query(f"""
+WITH {LN}, c AS (SELECT photo, seg, q, sum(CASE WHEN q > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY photo ORDER BY seg ROWS UNBOUNDED PRECEDING) AS new
+FROM ln)
+SELECT photo, seg, CAST(new AS BIGINT) AS new FROM c WHERE q > 25""")
 def compact_index(spark, d):
     return ranking.compact(src.lines(spark, d).select("photo", "seg", "q"), ["photo"], "seg", F.col("q") > 25, "new").select("photo", "seg", "new")
 
@@ -311,7 +396,9 @@ def dedup_first(spark, d):
     return ranking.first_of_each(src.table(spark, d, "documents").select("text", "doc_id", "source"), ["text"], "doc_id")
 
 
-@query(f"WITH {LN}, k AS (SELECT supp, photo, seg, x, row_number() OVER (PARTITION BY supp ORDER BY x DESC, photo, seg) AS rank FROM ln) SELECT * FROM k WHERE rank <= 5")
+@query(f"""
+WITH {LN}, k AS (SELECT supp, photo, seg, x, row_number() OVER (PARTITION BY supp ORDER BY x DESC, photo, seg) AS rank FROM ln)
+SELECT * FROM k WHERE rank <= 5""")
 def topk_per_group(spark, d):
     return ranking.top_k(src.lines(spark, d).select("supp", "photo", "seg", "x"), ["supp"], [F.desc("x"), F.col("photo"), F.col("seg")], 5)
 
@@ -331,7 +418,9 @@ def _iou(inclusive: bool) -> str:
     return f"({inter}) / ({area('a')} + {area('b')} - ({inter}))"
 
 
-@query(f"WITH {BX} SELECT a.photo, a.seg AS s1, b.seg AS s2, round({_iou(True)}, 6) AS inclusive, round({_iou(False)}, 6) AS exclusive FROM bx a JOIN bx b ON a.photo = b.photo AND a.seg < b.seg WHERE a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1")
+@query(f"""
+WITH {BX} SELECT a.photo, a.seg AS s1, b.seg AS s2, round({_iou(True)}, 6) AS inclusive, round({_iou(False)}, 6) AS exclusive FROM bx a JOIN bx b ON
+a.photo = b.photo AND a.seg < b.seg WHERE a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1""")
 def box_iou_pairs(spark, d):
     own = src.boxes(spark, d)
     a, b = own.select("photo", F.col("seg").alias("s1"), F.col("box").alias("a")), own.select("photo", F.col("seg").alias("s2"), F.col("box").alias("b"))
@@ -339,7 +428,10 @@ def box_iou_pairs(spark, d):
     return met.select("photo", "s1", "s2", r("overlap").alias("inclusive"), r(geo.overlap(F.col("a"), F.col("b"), inclusive=False)).alias("exclusive"))
 
 
-@query(f"WITH {BX}, g AS (SELECT * FROM bx WHERE seg % 2 = 1), c AS (SELECT * FROM bx WHERE seg % 2 = 0), m AS (SELECT a.photo, a.seg, a.class, coalesce(max({_iou(True)}), 0) AS best FROM g a LEFT JOIN c b ON a.photo = b.photo GROUP BY ALL) SELECT class, count(*) AS n, round(avg(best), 6) AS abo FROM m GROUP BY class")
+@query(f"""
+WITH {BX}, g AS (SELECT * FROM bx WHERE seg % 2 = 1), c AS (SELECT * FROM bx WHERE seg % 2 = 0),
+m AS (SELECT a.photo, a.seg, a.class, coalesce(max({_iou(True)}), 0) AS best FROM g a LEFT JOIN c b ON a.photo = b.photo GROUP BY ALL)
+SELECT class, count(*) AS n, round(avg(best), 6) AS abo FROM m GROUP BY class""")
 def box_abo(spark, d):
     own = src.boxes(spark, d)
     return box_ops.average_best(own.filter("seg % 2 = 1"), own.filter("seg % 2 = 0"), ["photo"]).withColumn("abo", r("abo"))
@@ -356,7 +448,10 @@ def nms(spark, d):
     return box_ops.suppress(src.boxes(spark, d), ["photo"], 0.5, 1000)
 
 
-@query(f"WITH {BX} SELECT a.photo, a.seg AS s1, b.seg AS s2, round(1 - ((greatest(a.r1, b.r1) - least(a.r0, b.r0) + 1) * (greatest(a.c1, b.c1) - least(a.c0, b.c0) + 1) - (a.r1 - a.r0 + 1) * (a.c1 - a.c0 + 1) - (b.r1 - b.r0 + 1) * (b.c1 - b.c0 + 1)) / 10000.0, 6) AS fill, round(1 - ((a.r1 - a.r0 + 1) * (a.c1 - a.c0 + 1) + (b.r1 - b.r0 + 1) * (b.c1 - b.c0 + 1)) / 10000.0, 6) AS size FROM bx a JOIN bx b ON a.photo = b.photo AND a.seg + 1 = b.seg")
+@query(f"""
+WITH {BX} SELECT a.photo, a.seg AS s1, b.seg AS s2, round(1 - ((greatest(a.r1, b.r1) - least(a.r0, b.r0) + 1) * (greatest(a.c1, b.c1) - least(a.c0,
+b.c0) + 1) - (a.r1 - a.r0 + 1) * (a.c1 - a.c0 + 1) - (b.r1 - b.r0 + 1) * (b.c1 - b.c0 + 1)) / 10000.0, 6) AS fill, round(1 - ((a.r1 - a.r0 + 1) *
+(a.c1 - a.c0 + 1) + (b.r1 - b.r0 + 1) * (b.c1 - b.c0 + 1)) / 10000.0, 6) AS size FROM bx a JOIN bx b ON a.photo = b.photo AND a.seg + 1 = b.seg""")
 def merge_similarity(spark, d):
     own = src.boxes(spark, d)
     met = own.select("photo", F.col("seg").alias("s1"), (F.col("seg") + 1).alias("s2"), F.col("box").alias("a")).join(own.select("photo", F.col("seg").alias("s2"), F.col("box").alias("b")), ["photo", "s2"])
@@ -367,13 +462,17 @@ def merge_similarity(spark, d):
 # ---------------------------------------------------------------- scalars
 
 
-@query(f"WITH {PX}, s AS (SELECT photo, sum(w) AS total FROM px GROUP BY photo) SELECT photo, seg, round(sum(w) / max(total), 6) AS share FROM px JOIN s USING (photo) GROUP BY ALL")
+@query(f"""
+WITH {PX}, s AS (SELECT photo, sum(w) AS total FROM px GROUP BY photo)
+SELECT photo, seg, round(sum(w) / max(total), 6) AS share FROM px JOIN s USING (photo) GROUP BY ALL""")
 def row_normalize(spark, d):
     own = src.pixels(spark, d).groupBy("photo", "seg").agg(F.sum("w").alias("w"))
     return own.withColumn("total", F.sum("w").over(Window.partitionBy("photo"))).select("photo", "seg", r(scalar.share_of(F.col("w"), F.col("total"))).alias("share"))
 
 
-@query("WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, round(CASE WHEN hi <> lo THEN (p_retailprice - lo) / (hi - lo) ELSE 0 END, 6) AS price FROM part, e")
+@query("""
+WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)
+SELECT p_partkey, round(CASE WHEN hi <> lo THEN (p_retailprice - lo) / (hi - lo) ELSE 0 END, 6) AS price FROM part, e""")
 def minmax_normalize(spark, d):
     part = src.table(spark, d, "part")
     ends = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
@@ -383,13 +482,20 @@ def minmax_normalize(spark, d):
 CENTRES = [[round(math.sin(3.0 * i + j), 3) for j in range(64)] for i in range(5)]
 
 
-@query(f"WITH c AS (SELECT unnest(range(1, 6)) AS word, unnest({CENTRES}::DOUBLE[][]) AS c), e AS (SELECT vec_id, label, embedding FROM embeddings), m AS (SELECT vec_id, label, word, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - c[i]) * (embedding[i]::DOUBLE - c[i]))) AS v FROM e CROSS JOIN c), k AS (SELECT label, word, row_number() OVER (PARTITION BY vec_id ORDER BY v, word) AS r FROM m) SELECT label, CAST(word AS INTEGER) AS word, count(*) AS n FROM k WHERE r = 1 GROUP BY ALL")
+@query(f"""
+WITH c AS (SELECT unnest(range(1, 6)) AS word, unnest({CENTRES}::DOUBLE[][]) AS c), e AS (SELECT vec_id, label, embedding FROM embeddings),
+m AS (SELECT vec_id, label, word, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - c[i]) * (embedding[i]::DOUBLE - c[i]))) AS v
+FROM e CROSS JOIN c), k AS (SELECT label, word, row_number() OVER (PARTITION BY vec_id ORDER BY v, word) AS r FROM m)
+SELECT label, CAST(word AS INTEGER) AS word, count(*) AS n FROM k WHERE r = 1 GROUP BY ALL""")
 def visual_words(spark, d):
     rows = src.table(spark, d, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
     return learning.word_counts(learning.assign(rows, CENTRES), ["label"])
 
 
-@query("WITH m AS (SELECT label, list_transform(range(1, 65), lambda i: 0) AS z FROM embeddings LIMIT 0), h AS (SELECT label, i, avg(abs(embedding[i]::DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) SELECT a.label AS a, b.label AS b, round(sum(least(a.v, b.v)), 5) AS similarity FROM h a JOIN h b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
+@query("""
+WITH m AS (SELECT label, list_transform(range(1, 65), lambda i: 0) AS z FROM embeddings LIMIT 0),
+h AS (SELECT label, i, avg(abs(embedding[i]::DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)
+SELECT a.label AS a, b.label AS b, round(sum(least(a.v, b.v)), 5) AS similarity FROM h a JOIN h b ON a.i = b.i AND a.label < b.label GROUP BY ALL""")
 def hist_intersection(spark, d):
     e = src.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
     h = e.groupBy("label", "i").agg(F.avg(F.abs(F.col("v").cast("double"))).alias("v"))
@@ -401,7 +507,10 @@ def hist_intersection(spark, d):
 MODELS = [(1, [0.02, -8.0], 0.1), (2, [-0.03, 5.0], 0.4), (3, [0.01, 2.0], -0.3)]
 
 
-@query(f"WITH {LN}, z AS (SELECT photo, seg, greatest(0, 0.02 * q - 8.0 * d + 0.1) AS z1, greatest(0, -0.03 * q + 5.0 * d + 0.4) AS z2, greatest(0, 0.01 * q + 2.0 * d - 0.3) AS z3, 1 / (1 + exp(-(0.02 * q - 8.0 * d + 0.1))) AS p FROM ln) SELECT photo, seg, CASE WHEN z1 >= z2 AND z1 >= z3 THEN 1 WHEN z2 >= z3 THEN 2 ELSE 3 END AS class, round(p, 6) AS p FROM z")
+@query(f"""
+WITH {LN}, z AS (SELECT photo, seg, greatest(0, 0.02 * q - 8.0 * d + 0.1) AS z1, greatest(0, -0.03 * q + 5.0 * d + 0.4) AS z2, greatest(0, 0.01 * q +
+2.0 * d - 0.3) AS z3, 1 / (1 + exp(-(0.02 * q - 8.0 * d + 0.1))) AS p FROM ln)
+SELECT photo, seg, CASE WHEN z1 >= z2 AND z1 >= z3 THEN 1 WHEN z2 >= z3 THEN 2 ELSE 3 END AS class, round(p, 6) AS p FROM z""")
 def logit_score(spark, d):
     rows = src.lines(spark, d).select("photo", "seg", F.array("q", "d").alias("features"))
     best = learning.scores(rows, MODELS).groupBy("photo", "seg").agg(ranking.argmax(F.col("score"), F.col("class")).alias("class"))
@@ -409,7 +518,10 @@ def logit_score(spark, d):
     return best.join(first, ["photo", "seg"])
 
 
-@query(f"WITH {LN}, m AS (SELECT t, avg(q) AS mq, avg(d) AS md, covar_samp(q, q) AS qq, covar_samp(q, d) AS qd, covar_samp(d, d) AS dd FROM ln GROUP BY t) SELECT photo, seg, round(exp(-0.5 * (dd * (q - mq) * (q - mq) - 2 * qd * (q - mq) * (d - md) + qq * (d - md) * (d - md)) / (qq * dd - qd * qd)) / (2 * pi() * sqrt(qq * dd - qd * qd)), 6) AS density FROM ln JOIN m USING (t)")
+@query(f"""
+WITH {LN}, m AS (SELECT t, avg(q) AS mq, avg(d) AS md, covar_samp(q, q) AS qq, covar_samp(q, d) AS qd, covar_samp(d, d) AS dd FROM ln GROUP BY t)
+SELECT photo, seg, round(exp(-0.5 * (dd * (q - mq) * (q - mq) - 2 * qd * (q - mq) * (d - md) + qq * (d - md) * (d - md)) / (qq * dd - qd * qd)) / (2 *
+pi() * sqrt(qq * dd - qd * qd)), 6) AS density FROM ln JOIN m USING (t)""")
 def mvn_density(spark, d):
     ln = src.lines(spark, d)
     m = learning.moments(ln, ["t"], ["q", "d"])
@@ -417,19 +529,29 @@ def mvn_density(spark, d):
     return ln.join(F.broadcast(m), "t").select("photo", "seg", r(density).alias("density"))
 
 
-@query(f"WITH {LN}, v AS (SELECT photo, seg, q - 25 AS dx, d * 100 - 5 AS dy, tax * 100 AS lx, CAST(n AS DOUBLE) AS ly FROM ln), k AS (SELECT *, sqrt(lx * lx + ly * ly) AS len FROM v), u AS (SELECT photo, seg, (lx * dx + ly * dy) / len AS a, (lx * dy - ly * dx) / len AS b, 2.5 * (len + 1) AS va FROM k) SELECT photo, seg, round(exp(-0.5 * (a * a / va + b * b / 40.0)) / (2 * pi() * sqrt(va * 40.0)), 6) AS density FROM u")
+@query(f"""
+WITH {LN}, v AS (SELECT photo, seg, q - 25 AS dx, d * 100 - 5 AS dy, tax * 100 AS lx, CAST(n AS DOUBLE) AS ly FROM ln),
+k AS (SELECT *, sqrt(lx * lx + ly * ly) AS len FROM v),
+u AS (SELECT photo, seg, (lx * dx + ly * dy) / len AS a, (lx * dy - ly * dx) / len AS b, 2.5 * (len + 1) AS va FROM k)
+SELECT photo, seg, round(exp(-0.5 * (a * a / va + b * b / 40.0)) / (2 * pi() * sqrt(va * 40.0)), 6) AS density FROM u""")
 def gaussian2d(spark, d):
     g = scalar.gaussian2(F.col("q") - 25, F.col("d") * 100 - 5, F.col("tax") * 100, F.col("n").cast("double"), 2.5, 40.0)
     return src.lines(spark, d).select("photo", "seg", r(g).alias("density"))
 
 
-@query(f"WITH {PX}, v AS (SELECT photo, list_sort(list(x)) AS v FROM px GROUP BY photo), h AS (SELECT photo, v, least(greatest(0.85 * len(v) + 0.5, 1), len(v)) AS h FROM v) SELECT photo, round(v[CAST(floor(h) AS INTEGER)] + (h - floor(h)) * (v[CAST(least(floor(h) + 1, len(v)) AS INTEGER)] - v[CAST(floor(h) AS INTEGER)]), 4) AS q85 FROM h")
+@query(f"""
+WITH {PX}, v AS (SELECT photo, list_sort(list(x)) AS v FROM px GROUP BY photo),
+h AS (SELECT photo, v, least(greatest(0.85 * len(v) + 0.5, 1), len(v)) AS h FROM v)
+SELECT photo, round(v[CAST(floor(h) AS INTEGER)] + (h - floor(h)) * (v[CAST(least(floor(h) + 1, len(v)) AS INTEGER)] - v[CAST(floor(h) AS INTEGER)]),
+4) AS q85 FROM h""")
 def hazen_quantile(spark, d):
     out = ranking.quantiles(src.pixels(spark, d), ["photo"], "x", 0.85, "q85")
     return out.select("photo", r("q85", 4).alias("q85"))
 
 
-@query(f"WITH {LN}, b AS (SELECT photo, max(CASE WHEN seg = 1 THEN q END) AS first FROM ln GROUP BY photo) SELECT seg, round(exp(median(ln(q) - ln(first))), 6) AS ratio FROM ln JOIN b USING (photo) GROUP BY seg")
+@query(f"""
+WITH {LN}, b AS (SELECT photo, max(CASE WHEN seg = 1 THEN q END) AS first FROM ln GROUP BY photo)
+SELECT seg, round(exp(median(ln(q) - ln(first))), 6) AS ratio FROM ln JOIN b USING (photo) GROUP BY seg""")
 def box_size_from_lengths(spark, d):
     ln = src.lines(spark, d)
     first = ln.filter("seg = 1").select("photo", F.col("q").alias("first"))
@@ -443,13 +565,24 @@ def _rgb(spark, d) -> DataFrame:
     return src.table(spark, d, "part").select("p_partkey", *[((F.col("p_partkey") * k % 256) / 255.0).alias(c) for c, k in (("r", 37), ("g", 91), ("b", 151))])
 
 
-@query(f"WITH {RGB}, x AS (SELECT p_partkey, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456 AS x, 0.212671 * r + 0.715160 * g + 0.072169 * b AS y, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754 AS z FROM c), f AS (SELECT p_partkey, y, CASE WHEN x > 0.008856 THEN pow(x, 1 / 3.0::DOUBLE) ELSE 7.787 * x + 16 / 116.0::DOUBLE END AS fx, CASE WHEN y > 0.008856 THEN pow(y, 1 / 3.0::DOUBLE) ELSE 7.787 * y + 16 / 116.0::DOUBLE END AS fy, CASE WHEN z > 0.008856 THEN pow(z, 1 / 3.0::DOUBLE) ELSE 7.787 * z + 16 / 116.0::DOUBLE END AS fz FROM x) SELECT p_partkey, round(CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * y END, 4) AS light, round(500 * (fx - fy), 4) AS a, round(200 * (fy - fz), 4) AS b FROM f")
+@query(f"""
+WITH {RGB}, x AS (SELECT p_partkey, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456 AS x, 0.212671 * r + 0.715160 * g + 0.072169 * b AS y,
+(0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754 AS z FROM c),
+f AS (SELECT p_partkey, y, CASE WHEN x > 0.008856 THEN pow(x, 1 / 3.0::DOUBLE) ELSE 7.787 * x + 16 / 116.0::DOUBLE END AS fx, CASE WHEN y > 0.008856
+THEN pow(y, 1 / 3.0::DOUBLE) ELSE 7.787 * y + 16 / 116.0::DOUBLE END AS fy, CASE WHEN z > 0.008856 THEN pow(z, 1 / 3.0::DOUBLE) ELSE 7.787 * z + 16 /
+116.0::DOUBLE END AS fz FROM x)
+SELECT p_partkey, round(CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * y END, 4) AS light, round(500 * (fx - fy), 4) AS a, round(200 * (fy -
+fz), 4) AS b FROM f""")
 def rgb_lab(spark, d):
     light, a, b = scalar.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     return _rgb(spark, d).select("p_partkey", r(light, 4).alias("light"), r(a, 4).alias("a"), r(b, 4).alias("b"))
 
 
-@query(f"WITH {RGB}, m AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM c), h AS (SELECT p_partkey, v, d, CASE WHEN d = 0 THEN 0 WHEN v = r THEN (g - b) / d WHEN v = g THEN 2 + (b - r) / d ELSE 4 + (r - g) / d END / 6 AS h FROM m) SELECT p_partkey, round(CASE WHEN h < 0 THEN h + 1 ELSE h END, 6) AS h, round(CASE WHEN v = 0 THEN 0 ELSE d / v END, 6) AS s, round(v, 6) AS v FROM h")
+@query(f"""
+WITH {RGB}, m AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM c),
+h AS (SELECT p_partkey, v, d, CASE WHEN d = 0 THEN 0 WHEN v = r THEN (g - b) / d WHEN v = g THEN 2 + (b - r) / d ELSE 4 + (r - g) / d END / 6 AS h
+FROM m)
+SELECT p_partkey, round(CASE WHEN h < 0 THEN h + 1 ELSE h END, 6) AS h, round(CASE WHEN v = 0 THEN 0 ELSE d / v END, 6) AS s, round(v, 6) AS v FROM h""")
 def rgb_hsv(spark, d):
     return _rgb(spark, d).select("p_partkey", *[r(c).alias(n) for n, c in zip("hsv", scalar.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b")))])
 
@@ -464,7 +597,9 @@ def colour_round_trip(spark, d):
     return c.select("p_partkey", *[r(n).alias(n) for n in "rgb"])
 
 
-@query("SELECT p_partkey, CAST((p_partkey % 256) | ((p_size % 256) << 8) | ((p_partkey * 7 % 256) << 16) AS INTEGER) AS packed, CAST(p_size % 256 AS INTEGER) AS g FROM part")
+@query("""
+SELECT p_partkey, CAST((p_partkey % 256) | ((p_size % 256) << 8) | ((p_partkey * 7 % 256) << 16) AS INTEGER) AS packed, CAST(p_size % 256 AS INTEGER)
+AS g FROM part""")
 def channel_pack(spark, d):
     packed = scalar.pack24(F.col("p_partkey") % 256, F.col("p_size") % 256, F.col("p_partkey") * 7 % 256)
     out = src.table(spark, d, "part").select("p_partkey", packed.alias("packed"))
@@ -511,7 +646,10 @@ def pose_flip_resize(spark, d):
     return src.lines(spark, d).select("photo", "seg", r(scalar.flip_x(q, F.lit(100.0))).alias("fx"), r(scalar.resize(q, 2.5)).alias("rx"), r(scalar.unscale(q, 2.5)).alias("ux"))
 
 
-@query(f"WITH {LN}, p AS (SELECT a.photo, a.seg, a.q - b.q AS dx, a.d * 100 - b.d * 100 AS dy FROM ln a JOIN ln b ON a.photo = b.photo AND b.seg = a.seg - 1), k AS (SELECT *, sqrt(dx * dx + dy * dy) AS len FROM p) SELECT photo, seg, round(CASE WHEN len = 0 THEN 0 ELSE dx / len END, 6) AS ux, round(CASE WHEN len = 0 THEN -1 ELSE dy / len END, 6) AS uy FROM k")
+@query(f"""
+WITH {LN}, p AS (SELECT a.photo, a.seg, a.q - b.q AS dx, a.d * 100 - b.d * 100 AS dy FROM ln a JOIN ln b ON a.photo = b.photo AND b.seg = a.seg - 1),
+k AS (SELECT *, sqrt(dx * dx + dy * dy) AS len FROM p)
+SELECT photo, seg, round(CASE WHEN len = 0 THEN 0 ELSE dx / len END, 6) AS ux, round(CASE WHEN len = 0 THEN -1 ELSE dy / len END, 6) AS uy FROM k""")
 def joint_direction(spark, d):
     ln = src.lines(spark, d).select("photo", "seg", F.col("q").alias("x"), (F.col("d") * 100).alias("y"))
     parent = ln.select("photo", (F.col("seg") + 1).alias("seg"), F.col("x").alias("px"), F.col("y").alias("py"))
@@ -519,7 +657,10 @@ def joint_direction(spark, d):
     return ln.join(parent, ["photo", "seg"]).select("photo", "seg", r(ux).alias("ux"), r(uy).alias("uy"))
 
 
-@query(f"WITH {LN}, m AS (SELECT photo, seg, t, max(greatest(0, 1 + q / 50.0 - d * 10)) AS slack FROM ln GROUP BY ALL), k AS (SELECT photo, t, max(slack) AS slack FROM m GROUP BY ALL) SELECT photo, round(sum(slack), 6) AS loss FROM k GROUP BY photo")
+@query(f"""
+WITH {LN}, m AS (SELECT photo, seg, t, max(greatest(0, 1 + q / 50.0 - d * 10)) AS slack FROM ln GROUP BY ALL),
+k AS (SELECT photo, t, max(slack) AS slack FROM m GROUP BY ALL)
+SELECT photo, round(sum(slack), 6) AS loss FROM k GROUP BY photo""")
 def latent_hinge(spark, d):
     slack = scalar.clamp_negative(1 + F.col("q") / 50.0 - F.col("d") * 10)
     most = src.lines(spark, d).groupBy("photo", "t").agg(F.max(slack).alias("slack"))
@@ -528,21 +669,29 @@ def latent_hinge(spark, d):
 
 # ---------------------------------------------------------------- graphs
 
-TR = "ev AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), nn AS (SELECT src, dst, count(*) AS n FROM ev WHERE dst IS NOT NULL GROUP BY ALL), tr AS (SELECT src, dst, w FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS w FROM nn) WHERE w <= 2)"
+TR = """ev AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+nn AS (SELECT src, dst, count(*) AS n FROM ev WHERE dst IS NOT NULL GROUP BY ALL),
+tr AS (SELECT src, dst, w FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS w FROM nn) WHERE w <= 2)"""
 
 
-@query(f"WITH RECURSIVE {TR}, cl(src, dst) AS (SELECT src, dst FROM tr UNION SELECT cl.src, tr.dst FROM cl JOIN tr ON cl.dst = tr.src) SELECT DISTINCT src, dst FROM cl")
+@query(f"""
+WITH RECURSIVE {TR}, cl(src, dst) AS (SELECT src, dst FROM tr UNION SELECT cl.src, tr.dst FROM cl JOIN tr ON cl.dst = tr.src)
+SELECT DISTINCT src, dst FROM cl""")
 def transitive_closure(spark, d):
     return graph.closure(src.transitions(spark, d))
 
 
-@query("WITH RECURSIVE p AS (SELECT p_partkey AS node, p_partkey // 7 AS parent FROM part WHERE p_partkey >= 7), a(node, ancestor) AS (SELECT node, parent FROM p UNION SELECT a.node, p.parent FROM a JOIN p ON a.ancestor = p.node) SELECT node, ancestor FROM a")
+@query("""
+WITH RECURSIVE p AS (SELECT p_partkey AS node, p_partkey // 7 AS parent FROM part WHERE p_partkey >= 7),
+a(node, ancestor) AS (SELECT node, parent FROM p UNION SELECT a.node, p.parent FROM a JOIN p ON a.ancestor = p.node)
+SELECT node, ancestor FROM a""")
 def ancestors(spark, d):
     own = src.table(spark, d, "part").filter("p_partkey >= 7").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 7).alias("parent"))
     return graph.ancestors(own)
 
 
-SP = f"{TR}, pp(src, dst, w, k) AS (SELECT src, dst, CAST(w AS DOUBLE), 1 FROM {{e}} WHERE src <> dst UNION SELECT pp.src, e.dst, pp.w + e.w, k + 1 FROM pp JOIN {{e}} e ON pp.dst = e.src WHERE k < 6 AND pp.src <> e.dst AND e.src <> e.dst)"
+SP = f"""{TR}, pp(src, dst, w, k) AS (SELECT src, dst, CAST(w AS DOUBLE), 1 FROM {{e}} WHERE src <> dst UNION SELECT pp.src, e.dst, pp.w + e.w, k + 1 FROM pp
+JOIN {{e}} e ON pp.dst = e.src WHERE k < 6 AND pp.src <> e.dst AND e.src <> e.dst)"""
 
 
 @query(f"WITH RECURSIVE {SP.format(e='tr')} SELECT src, dst, min(w) AS w FROM pp GROUP BY ALL")
@@ -550,15 +699,28 @@ def shortest_paths(spark, d):
     return graph.distances(src.transitions(spark, d))
 
 
-@query(f"WITH RECURSIVE {TR}, un AS (SELECT src, dst, w FROM tr UNION ALL SELECT dst, src, w FROM tr), pp(src, dst, w, k) AS (SELECT src, dst, CAST(w AS DOUBLE), 1 FROM un WHERE src <> dst UNION SELECT pp.src, e.dst, pp.w + e.w, k + 1 FROM pp JOIN un e ON pp.dst = e.src WHERE k < 6 AND pp.src <> e.dst AND e.src <> e.dst), sp AS (SELECT src, dst, min(w) AS w FROM pp GROUP BY ALL), ec AS (SELECT src AS node, max(w) AS eccentricity FROM sp GROUP BY src) SELECT node, eccentricity, eccentricity = (SELECT min(eccentricity) FROM ec) AS central, eccentricity = (SELECT max(eccentricity) FROM ec) AS peripheral FROM ec")
+@query(f"""
+WITH RECURSIVE {TR}, un AS (SELECT src, dst, w FROM tr UNION ALL SELECT dst, src, w FROM tr),
+pp(src, dst, w, k) AS (SELECT src, dst, CAST(w AS DOUBLE), 1 FROM un WHERE src <> dst UNION SELECT pp.src, e.dst, pp.w + e.w, k + 1 FROM pp JOIN un e
+ON pp.dst = e.src WHERE k < 6 AND pp.src <> e.dst AND e.src <> e.dst), sp AS (SELECT src, dst, min(w) AS w FROM pp GROUP BY ALL),
+ec AS (SELECT src AS node, max(w) AS eccentricity FROM sp GROUP BY src)
+SELECT node, eccentricity, eccentricity = (SELECT min(eccentricity) FROM ec) AS central, eccentricity = (SELECT max(eccentricity) FROM ec) AS
+peripheral FROM ec""")
 def eccentricity(spark, d):
     return graph.eccentricity(src.transitions(spark, d))
 
 
-CO = "ow AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), cn AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM ow a JOIN ow b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL), ce AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(1000.0 - n) AS w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM cn) WHERE r <= 1 GROUP BY ALL)"
+CO = """ow AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
+cn AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM ow a JOIN ow b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey
+GROUP BY ALL),
+ce AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(1000.0 - n) AS w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS
+r FROM cn) WHERE r <= 1 GROUP BY ALL)"""
 
 
-@query(f"WITH RECURSIVE {CO}, un AS (SELECT src, dst FROM ce UNION SELECT dst, src FROM ce), rc(node, other) AS (SELECT src, dst FROM un UNION SELECT rc.node, un.dst FROM rc JOIN un ON rc.other = un.src) SELECT node, least(node, min(other)) AS component FROM rc GROUP BY node")
+@query(f"""
+WITH RECURSIVE {CO}, un AS (SELECT src, dst FROM ce UNION SELECT dst, src FROM ce),
+rc(node, other) AS (SELECT src, dst FROM un UNION SELECT rc.node, un.dst FROM rc JOIN un ON rc.other = un.src)
+SELECT node, least(node, min(other)) AS component FROM rc GROUP BY node""")
 def components(spark, d):
     return graph.components(src.bought_together(spark, d))
 
@@ -568,7 +730,14 @@ def spanning_forest(spark, d):
     return graph.spanning_forest(src.bought_together(spark, d, top=3))
 
 
-@query(f"WITH RECURSIVE {TR}, un AS (SELECT src, dst FROM tr UNION SELECT dst, src FROM tr), rc(node, other) AS (SELECT src, dst FROM un UNION SELECT rc.node, un.dst FROM rc JOIN un ON rc.other = un.src), nm AS (SELECT node, least(node, min(other)) AS c FROM rc GROUP BY node), g AS (SELECT src, count(*) AS d FROM (SELECT src FROM tr UNION ALL SELECT dst FROM tr) GROUP BY src), k AS (SELECT CAST(sum(d % 2) AS BIGINT) AS n_odd FROM g), m AS (SELECT count(DISTINCT c) AS n_components FROM nm) SELECT n_odd, n_components, CASE WHEN n_components > 1 THEN 0.0 WHEN n_odd = 0 THEN 1.0 WHEN n_odd = 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS euler FROM k, m")
+@query(f"""
+WITH RECURSIVE {TR}, un AS (SELECT src, dst FROM tr UNION SELECT dst, src FROM tr),
+rc(node, other) AS (SELECT src, dst FROM un UNION SELECT rc.node, un.dst FROM rc JOIN un ON rc.other = un.src),
+nm AS (SELECT node, least(node, min(other)) AS c FROM rc GROUP BY node),
+g AS (SELECT src, count(*) AS d FROM (SELECT src FROM tr UNION ALL SELECT dst FROM tr) GROUP BY src),
+k AS (SELECT CAST(sum(d % 2) AS BIGINT) AS n_odd FROM g), m AS (SELECT count(DISTINCT c) AS n_components FROM nm)
+SELECT n_odd, n_components, CASE WHEN n_components > 1 THEN 0.0 WHEN n_odd = 0 THEN 1.0 WHEN n_odd = 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS euler FROM k,
+m""")
 def euler_test(spark, d):
     return graph.euler(src.transitions(spark, d))
 
@@ -663,7 +832,13 @@ def kmeans_quantize(spark, d):
     return learning.word_counts(learning.assign(rows, learning.k_means(rows, 8)), ["label"])
 
 
-KNN = "db AS (SELECT vec_id AS id, label AS class, vec_id % 5 AS exemplar, embedding AS e FROM embeddings WHERE vec_id % 50 <> 0), q AS (SELECT vec_id AS query, embedding AS f FROM embeddings WHERE vec_id % 50 = 0), di AS (SELECT query, id, class, exemplar, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (e[i]::DOUBLE - f[i]::DOUBLE) * (e[i]::DOUBLE - f[i]::DOUBLE)))), 6) AS distance FROM db CROSS JOIN q), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS r FROM di) WHERE r <= 7), sz AS (SELECT class, exemplar, count(*) AS n FROM db GROUP BY ALL), vt AS (SELECT query, class, round(sum(1 / sqrt(n)), 6) AS votes FROM nb JOIN sz USING (class, exemplar) GROUP BY ALL)"
+KNN = """db AS (SELECT vec_id AS id, label AS class, vec_id % 5 AS exemplar, embedding AS e FROM embeddings WHERE vec_id % 50 <> 0),
+q AS (SELECT vec_id AS query, embedding AS f FROM embeddings WHERE vec_id % 50 = 0),
+di AS (SELECT query, id, class, exemplar, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (e[i]::DOUBLE - f[i]::DOUBLE) * (e[i]::DOUBLE -
+f[i]::DOUBLE)))), 6) AS distance FROM db CROSS JOIN q),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS r FROM di) WHERE r <= 7),
+sz AS (SELECT class, exemplar, count(*) AS n FROM db GROUP BY ALL),
+vt AS (SELECT query, class, round(sum(1 / sqrt(n)), 6) AS votes FROM nb JOIN sz USING (class, exemplar) GROUP BY ALL)"""
 
 
 @query(f"WITH {KNN} SELECT query, class, votes FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, class) AS r FROM vt) WHERE r = 1")
@@ -674,7 +849,12 @@ def knn_vote(spark, d):
     return recognition.vote(recognition.neighbours(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), double), database, 7), database)
 
 
-@query(f"WITH {LN}, p AS (SELECT a.photo, a.seg AS s1, b.seg AS s2, a.q AS x1, a.d * 100 AS y1, b.q AS x2, b.d * 100 AS y2, a.q + 1 AS u1, a.tax * 100 AS v1, b.q + 1 AS u2, b.tax * 100 AS v2 FROM ln a JOIN ln b ON a.photo = b.photo AND a.seg < b.seg), k AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS lq, sqrt((u2 - u1) * (u2 - u1) + (v2 - v1) * (v2 - v1)) AS lt, abs(atan2(y2 - y1, x2 - x1) - atan2(v2 - v1, u2 - u1)) AS an FROM p) SELECT photo, s1, s2 FROM k WHERE least(lq, lt) > 0 AND abs(lq - lt) / nullif(least(lq, lt), 0) < 0.4 AND least(an, 2 * pi() - an) < 0.5 AND lt > 2")
+@query(f"""
+WITH {LN}, p AS (SELECT a.photo, a.seg AS s1, b.seg AS s2, a.q AS x1, a.d * 100 AS y1, b.q AS x2, b.d * 100 AS y2, a.q + 1 AS u1, a.tax * 100 AS v1,
+b.q + 1 AS u2, b.tax * 100 AS v2 FROM ln a JOIN ln b ON a.photo = b.photo AND a.seg < b.seg),
+k AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS lq, sqrt((u2 - u1) * (u2 - u1) + (v2 - v1) * (v2 - v1)) AS lt, abs(atan2(y2 -
+y1, x2 - x1) - atan2(v2 - v1, u2 - u1)) AS an FROM p)
+SELECT photo, s1, s2 FROM k WHERE least(lq, lt) > 0 AND abs(lq - lt) / nullif(least(lq, lt), 0) < 0.4 AND least(an, 2 * pi() - an) < 0.5 AND lt > 2""")
 def pair_verify(spark, d):
     ln = src.lines(spark, d).select("photo", "seg", F.col("q").alias("x"), (F.col("d") * 100).alias("y"), (F.col("q") + 1).alias("u"), (F.col("tax") * 100).alias("v"))
     met = pairs.gather(pairs.unordered(ln), ln, ["x", "y", "u", "v"])
@@ -682,7 +862,9 @@ def pair_verify(spark, d):
     return met.filter(recognition.pair_agrees(c("x_1", "y_1"), c("x_2", "y_2"), c("u_1", "v_1"), c("u_2", "v_2"), 0.4, 0.5, 2.0)).select("photo", "s1", "s2")
 
 
-@query("WITH k AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id * 7919 % 1009, doc_id) AS r FROM labels) SELECT doc_id, quality, CASE WHEN r <= 30 THEN 'train' ELSE 'test' END AS role FROM k WHERE r <= 50")
+@query("""
+WITH k AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id * 7919 % 1009, doc_id) AS r FROM labels)
+SELECT doc_id, quality, CASE WHEN r <= 30 THEN 'train' ELSE 'test' END AS role FROM k WHERE r <= 50""")
 def stratified_split(spark, d):
     own = src.table(spark, d, "labels").select("doc_id", "quality")
     return recognition.split(own, "quality", F.struct(F.col("doc_id") * 7919 % 1009, "doc_id"), 30, 20)

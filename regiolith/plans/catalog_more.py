@@ -108,7 +108,8 @@ def pair_reindex(spark, d):
     return pairs.reindexed(near, ln, F.col("q") > 10)
 
 
-SIM = f"{LN}, sm AS (SELECT a.photo, a.seg AS s1, b.seg AS s2, 1 / (1 + abs(a.q - b.q) / 10.0::DOUBLE) AS p FROM ln a JOIN ln b ON a.photo = b.photo AND a.seg < b.seg)"
+SIM = f"""{LN}, sm AS (SELECT a.photo, a.seg AS s1, b.seg AS s2, 1 / (1 + abs(a.q - b.q) / 10.0::DOUBLE) AS p FROM ln a JOIN ln b ON a.photo = b.photo AND a.seg
+< b.seg)"""
 
 
 def _similar(spark, d) -> DataFrame:
@@ -640,12 +641,16 @@ def _regions(t: _Tables) -> DataFrame:
     return factors.regions_of(t.segments, factors.similar_pairs(t.similar, 0.8, forest=False), t.limbs, t.near, TREE)
 
 
-@query(f"WITH {GRAPH}, {REGIONS} SELECT a.photo, a.region, b.region AS parent FROM rg a JOIN rg b ON a.photo = b.photo AND len(a.vars) < len(b.vars) AND list_has_all(b.vars, a.vars)")
+@query(f"""
+WITH {GRAPH}, {REGIONS} SELECT a.photo, a.region, b.region AS parent FROM rg a JOIN rg b ON a.photo = b.photo AND len(a.vars) < len(b.vars) AND
+list_has_all(b.vars, a.vars)""")
 def crf_parents(spark, d):
     return factors.parent_links(_regions(_Tables(spark, d)))
 
 
-@query(f"WITH {GRAPH}, {REGIONS} SELECT photo, array_to_string(list_sort(vars), ',') AS vars, array_to_string(list_sort(list(region)), ',') AS regions FROM rg GROUP BY photo, list_sort(vars)")
+@query(f"""
+WITH {GRAPH}, {REGIONS} SELECT photo, array_to_string(list_sort(vars), ',') AS vars, array_to_string(list_sort(list(region)), ',') AS regions FROM rg
+GROUP BY photo, list_sort(vars)""")
 def crf_same_variables(spark, d):
     out = factors.same_variables(_regions(_Tables(spark, d)))
     return out.select("photo", F.array_join("vars", ",").alias("vars"), F.array_join("regions", ",").alias("regions"))
@@ -726,7 +731,9 @@ def group_starts(spark, d):
     return src.lines(spark, d).select("photo", "seg", ranking.group_starts(F.col("t"), [F.col("seg")], ["photo"]).alias("new"))
 
 
-@query(f"WITH {PX}, s AS (SELECT photo, t, sum(w) AS w FROM px GROUP BY ALL), p AS (SELECT photo, w / sum(w) OVER (PARTITION BY photo) AS p FROM s) SELECT photo, round(sum(-p * ln(p + 1e-20::DOUBLE)), 6) AS entropy FROM p GROUP BY photo")
+@query(f"""
+WITH {PX}, s AS (SELECT photo, t, sum(w) AS w FROM px GROUP BY ALL), p AS (SELECT photo, w / sum(w) OVER (PARTITION BY photo) AS p FROM s)
+SELECT photo, round(sum(-p * ln(p + 1e-20::DOUBLE)), 6) AS entropy FROM p GROUP BY photo""")
 def label_entropy(spark, d):
     own = src.pixels(spark, d).groupBy("photo", "t").agg(F.sum("w").alias("w")).withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("photo")))
     return own.groupBy("photo").agg(r(F.sum(-F.col("p") * F.log(F.col("p") + 1e-20))).alias("entropy"))
@@ -761,7 +768,9 @@ def sorted_edges(spark, d):
     return ranking.numbered(edges, ["w", "src", "dst"], "place")
 
 
-@query(f"WITH {LN} SELECT photo, round(list_sum(list_transform(list_filter(list(q ORDER BY seg), lambda v: v > 10), lambda v: v * v)), 4) AS energy FROM ln GROUP BY photo")
+@query(f"""
+WITH {LN} SELECT photo, round(list_sum(list_transform(list_filter(list(q ORDER BY seg), lambda v: v > 10), lambda v: v * v)), 4) AS energy FROM ln
+GROUP BY photo""")
 def functor_chain(spark, d):
     """Filter, map and fold of an array by functions."""
     own = src.lines(spark, d).groupBy("photo").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "q"))), lambda s: s["q"]).alias("v"))
@@ -814,10 +823,13 @@ b(photo, seg, b0, b1, b2) AS (SELECT photo, n, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DO
 m AS (SELECT photo, seg, f0 * b0 AS m0, f1 * b1 AS m1, f2 * b2 AS m2 FROM f JOIN b USING (photo, seg))
 SELECT photo, seg, unnest([0, 1, 2]) AS state, unnest([round(m0 / (m0 + m1 + m2), 6), round(m1 / (m0 + m1 + m2), 6), round(m2 / (m0 + m1 + m2), 6)]) AS belief FROM m"""
 
-CLOSED = f"{TR}, cl(src, dst) AS (SELECT src, dst FROM tr UNION SELECT cl.src, tr.dst FROM cl JOIN tr ON cl.dst = tr.src), nd AS (SELECT src AS node FROM tr UNION SELECT dst FROM tr)"
-STRONG = f"{CLOSED}, sc AS (SELECT node, least(node, coalesce(min(a.dst), node)) AS component FROM nd LEFT JOIN (SELECT a.src, a.dst FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src) a ON a.src = node GROUP BY node)"
+CLOSED = f"""{TR}, cl(src, dst) AS (SELECT src, dst FROM tr UNION SELECT cl.src, tr.dst FROM cl JOIN tr ON cl.dst = tr.src),
+nd AS (SELECT src AS node FROM tr UNION SELECT dst FROM tr)"""
+STRONG = f"""{CLOSED}, sc AS (SELECT node, least(node, coalesce(min(a.dst), node)) AS component FROM nd LEFT JOIN (SELECT a.src, a.dst FROM cl a JOIN cl b ON a.src
+= b.dst AND a.dst = b.src) a ON a.src = node GROUP BY node)"""
 ORACLES["strong_components"] = f"WITH RECURSIVE {STRONG} SELECT node, component FROM sc"
-ORACLES["digraph_bases"] = f"WITH RECURSIVE {STRONG} SELECT node, component FROM sc WHERE component NOT IN (SELECT b.component FROM tr JOIN sc a ON a.node = src JOIN sc b ON b.node = dst WHERE a.component <> b.component)"
+ORACLES["digraph_bases"] = f"""WITH RECURSIVE {STRONG} SELECT node, component FROM sc WHERE component NOT IN (SELECT b.component FROM tr JOIN sc a ON a.node = src JOIN sc b ON
+b.node = dst WHERE a.component <> b.component)"""
 CO3, CO2 = CO.replace("r <= 1", "r <= 3"), CO.replace("r <= 1", "r <= 2")
 ORACLES["spanning_forest"] = f"""
 WITH RECURSIVE {CO3}, e AS (SELECT src, dst, w::DOUBLE AS w, row_number() OVER (ORDER BY w, src, dst) AS k FROM ce), un AS (SELECT k, src AS a, dst AS b FROM e UNION ALL SELECT k, dst, src FROM e),
