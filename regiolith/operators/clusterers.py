@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiolith.functions.scalar import squared_distance
@@ -12,25 +12,23 @@ from regiolith.operators.learning import assign, k_means, metric
 from regiolith.session import settled
 
 
-def wide(centres: list[list[float]], k: int) -> list[float]:
-    return [float(c[k]) for c in centres]
-
-
 def k_medians(rows: DataFrame, k: int, start: list[list[float]], rounds: int = 20, weight: str | None = None) -> list[list[float]]:
     """Centres under L1 distance: in turn rows (features) go to the nearest, and each centre takes the weighted median of every coordinate.
 
-    start: k centres.  Medians are exact percentiles of the distinct values of a
-    coordinate with their weights; a cluster without rows keeps its centre.
+    start: k centres.  Medians are exact: the weights of equal values are added up
+    first, and then along the values in order; a cluster without rows keeps its centre.
     """
     own = settled(rows.select("features", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")))
     centres = [list(map(float, c)) for c in start]
     for _ in range(rounds):
         cells = assign(own, centres, "l1").select("word", "w", F.posexplode("features").alias("i", "v"))
         sums = cells.groupBy("word", "i", "v").agg(F.sum("w").alias("w"))
-        low = sums.groupBy("word", "i").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("own"), F.sum("w").alias("all"))
-        half = F.aggregate("own", F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("v")), lambda s, x: F.struct((s["at"] + x["w"]).alias("at"), F.when(s["v"].isNotNull(), s["v"]).when(2 * (s["at"] + x["w"]) >= F.col("all"), x["v"].cast("double")).alias("v")))
+        within = Window.partitionBy("word", "i")
+        so_far = F.sum("w").over(within.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        reached = sums.withColumn("to", so_far).withColumn("all", F.sum("w").over(within)).filter("2 * to >= all")
+        low = reached.groupBy("word", "i").agg(F.min(F.col("v").cast("double")).alias("v"))
         new = [list(c) for c in centres]
-        for r in low.select("word", "i", half["v"].alias("v")).collect():  # k centres of a few coordinates
+        for r in low.collect():  # k centres of a few coordinates
             new[r["word"] - 1][r["i"]] = float(r["v"])
         if new == centres:
             return centres
