@@ -302,3 +302,43 @@ def test_kernel_machines_learn_what_lines_cannot(spark):
     assert (np.sign(line.value(x[120:])) == y[120:]).mean() < 0.75
     rows = spark.createDataFrame([(i % 2, i, v.tolist(), float(t) if i < 120 else None) for i, (v, t) in enumerate(zip(x, y))], "g int, id int, features array<double>, label double")
     assert learning.kernel_scores(rows, ["g"], learning.KernelMachine(learning.kernel("radial", gamma=4.0))).count() == 160
+
+
+def test_a_ladder_is_learned(spark):
+    """Two samples of a ladder of eight binary variables: a weight a variable, one for all ten edges."""
+    edges = [(i, i + 1) for i in (1, 2, 3, 5, 6, 7)] + [(i, i + 4) for i in range(1, 5)]
+    seen = [1, 1, 2, 2, 2, 2, 1, 1]
+    segs = spark.createDataFrame([(p, s) for p in (0, 1) for s in range(1, 9)], "photo int, seg int")
+    near = spark.createDataFrame([(p, a, b, 1.0) for p in (0, 1) for a, b in edges], "photo int, s1 int, s2 int, p double")
+    rows = [(p, f"s{s}", s - 1, k, 1.0 - 2 * k) for p in (0, 1) for s in range(1, 9) for k in (0, 1)]
+    rows += [(p, f"p{a}-{b}", 8, i + 2 * j, 1.0 if i == j else -1.0) for p in (0, 1) for a, b in edges for i in (0, 1) for j in (0, 1)]
+    features = spark.createDataFrame(rows, "photo int, region string, feature int, state int, value double")
+    observed = spark.createDataFrame([(p, f"s{i + 1}", c - 1) for p in (0, 1) for i, c in enumerate(seen)], "photo int, var string, state int")
+    graphs = factors.Graphs.pack(factors.regions_of(segs, near), features, 2, 9, observed=observed)
+    w, path = factors.learn(graphs, np.ones(9), rounds=8, sweeps=50)
+    assert path == sorted(path, reverse=True) and path[-1] < 0.8 * path[0]
+    got = {(r["photo"], r["seg"]): r["class"] for r in factors.decode(factors.infer(graphs, w)).collect()}
+    assert got == {(p, i + 1): c for p in (0, 1) for i, c in enumerate(seen)}
+
+
+def test_distances_and_critical_paths_of_random_graphs(spark):
+    rng = random.Random(11)
+    edges = list({(a, b): (a, b, float(rng.randint(1, 9))) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(35)) if a != b}.values())
+    far = {(a, b): 0.0 if a == b else math.inf for a in range(14) for b in range(14)}
+    for a, b, w in edges:
+        far[a, b] = min(far[a, b], w)
+    for k, a, b in product(range(14), repeat=3):
+        far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    got = {(r["src"], r["dst"]): r["w"] for r in graph.distances(spark.createDataFrame(edges, "src int, dst int, w double")).collect()}
+    assert got == {k: v for k, v in far.items() if k[0] != k[1] and v < math.inf}
+
+    works = [(a, b, w) for a, b, w in edges if a < b]
+    start, rest = dict.fromkeys(range(14), 0.0), dict.fromkeys(range(14), 0.0)
+    for a, b, w in sorted(works):
+        start[b] = max(start[b], start[a] + w)
+    for a, b, w in sorted(works, reverse=True):
+        rest[a] = max(rest[a], rest[b] + w)
+    whole = max(start.values())
+    found = {(r["src"], r["dst"]): (r["start"], r["slack"]) for r in graph.critical_path(spark.createDataFrame(works, "src int, dst int, w double")).collect()}
+    assert found == {(a, b): (start[a], whole - rest[b] - w - start[a]) for a, b, w in works}
+    assert any(s == 0 for _, s in found.values())
