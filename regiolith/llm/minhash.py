@@ -55,6 +55,9 @@ WORTH = 0.25
 #: Members of a bucket that meet in a join; others do so in blocks of so many members and shingles; rows for a task.
 FEW, BLOCK, BLOCK_SHINGLES, PART_ROWS = 48, 600, 1_000_000, 2500
 
+#: Classes of more rows than this, and so many classes at most, are broadcast to their rows.
+HOT_ROWS, HOT_CLASSES = 1000, 100_000
+
 _XOR = random_words(BANDS * ROWS, 2).astype(np.uint32)
 _TIMES = (random_words(BANDS * ROWS, 3) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _FLIP = random_words(BANDS * ROWS, 4)
@@ -301,10 +304,11 @@ def hub_pairs(labelled: DataFrame, sketches: DataFrame, tried: DataFrame | None,
 def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | None:
     """(node, component) of the classes that have links; None if no bucket holds two classes."""
     spark = docs.sparkSession
-    classes = sig.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("node").alias("node")).select("node")
-    rows = sig.filter("n_shingles > 0").select("node", "set_a", F.explode("bands").alias("key"))
+    classes = sig.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("node").alias("node")).select("node").distinct()
+    first = merged(sig.filter("n_shingles > 0"), classes, "node", "left_semi")  # copies don't meet in buckets
+    rows = first.select("node", "set_a", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("set_a").alias("p"), F.max("set_a").alias("q")).filter("p < q").select("key")
-    members = cut(merged(merged(rows, shared, "key").select("key", "node"), classes, "node", "left_semi").distinct())
+    members = cut(merged(rows, shared, "key").select("key", "node").distinct())
     if members.isEmpty():
         return None
     wanted = members.select("node").distinct()
@@ -339,21 +343,33 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | Non
     return components(new if found is None else found.union(new))
 
 
+def with_component(own: DataFrame, label: DataFrame | None) -> DataFrame:
+    """own (node, n_shingles, set_a, set_b) with the component of each row, by the labels (node, component) of classes that have links.
+
+    Classes of many rows, HOT_CLASSES at most, are broadcast, and their rows, like
+    those without shingles, are spread over all tasks: copies that a third of the
+    rows are don't meet in one.
+    """
+    key = ["set_a", "set_b", "n_shingles"]
+    classes = own.filter("n_shingles > 0").groupBy(*key).agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    if label is not None:
+        classes = merged(classes, label.withColumnRenamed("node", "first"), "first", "left").withColumn("first", F.coalesce("component", "first")).drop("component")
+    classes = cut(classes)
+    least = F.col("n") > max(HOT_ROWS, own.count() // HOT_CLASSES)
+    hot = classes.filter(least).select(*key, F.col("first").alias("hot"))
+    alone = F.col("hot").isNotNull() | (F.col("n_shingles") == 0)
+    met = own.join(F.broadcast(hot), key, "left").withColumn("spread", F.when(alone, F.xxhash64("node")).otherwise(F.col("set_a")))
+    rest = classes.filter(~least).select(F.col("set_a").alias("spread"), "set_b", "n_shingles", "first")
+    return met.join(rest, ["spread", "set_b", "n_shingles"], "left").select("node", "n_shingles", F.coalesce("hot", "first", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     sig = cut(signatures(docs))
-    label = links(docs, sig, percent)
-    own = sig.select("node", "n_shingles", "set_a", "set_b")
-    classes = own.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("node").alias("first"))
-    out = own.join(classes, ["set_a", "set_b", "n_shingles"], "left")
-    if label is not None:
-        out = out.join(label.withColumnRenamed("node", "first"), "first", "left")
-        component = F.coalesce("component", "first", "node")
-    else:
-        component = F.coalesce("first", "node")
+    out = with_component(sig.select("node", "n_shingles", "set_a", "set_b"), links(docs, sig, percent))
     null = lambda c: F.when(c != LAST_ID, c)
-    return out.select(null(F.col("node")).alias("doc_id"), "n_shingles", null(component).alias("component_id"), (F.col("node") == component).alias("kept"))
+    return out.select(null(F.col("node")).alias("doc_id"), "n_shingles", null(F.col("component")).alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -398,6 +398,13 @@ def test_a_large_group_of_near_copies(spark):
     assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute.near_duplicates(rows)
 
 
+def test_large_classes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_ROWS", 3)
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(i, text("a")) for i in range(5, 20)] + [(i, text("a") + " tail") for i in range(2, 5)] + [(i, text("b")) for i in range(30, 33)] + [(i, None) for i in range(40, 50)] + [(60, text("c"))]
+    assert by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute.near_duplicates(rows)
+
+
 def test_a_member_meets_one_hub_a_round(spark, monkeypatch):
     rng, asked, given = random.Random(9), [], []
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
