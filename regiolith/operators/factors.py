@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from regiolith.functions.scalar import ratio
 from regiolith.operators.crf import Graph, Region, bethe_counts
 from regiolith.operators.small_graphs import spanning_tree
-from regiolith.session import per_group, reach_workers, settled
+from regiolith.session import packed, per_batch, per_group, reach_workers, settled
 
 FEATURES = ["photo", "region", "feature", "state", "value"]
 
@@ -110,11 +110,12 @@ def similar_pairs(scores: DataFrame, least: float = 0.85, forest: bool = True) -
         return own
     kinds = dict(own.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s1", "s2"]).reset_index(drop=True)
-        return pdf.iloc[spanning_tree([(a, b, 1 - p) for a, b, p in zip(pdf["s1"], pdf["s2"], pdf["p"])])]
+    def run(photo, offsets, cols):
+        a, b, w = cols["s1"].tolist(), cols["s2"].tolist(), (1 - cols["p"]).tolist()
+        kept = [lo + i for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for i in sorted(spanning_tree(list(zip(a[lo:hi], b[lo:hi], w[lo:hi]))))]
+        return {"photo": np.repeat(photo, np.diff(offsets))[kept], **{c: cols[c][kept] for c in ("s1", "s2", "p")}}
 
-    return per_group(own, ["photo"], run, ", ".join(f"{c} {kinds[c]}" for c in ("photo", "s1", "s2", "p")))
+    return per_batch(packed(own, "photo", "s1", "s2", "p"), run, ", ".join(f"{c} {kinds[c]}" for c in ("photo", "s1", "s2", "p")))
 
 
 def diagonal(classes: int) -> Column:

@@ -19,6 +19,12 @@ def unordered(segments: DataFrame, keep: Column | None = None) -> DataFrame:
     return a.join(b, "photo").filter("s1 < s2")
 
 
+def met(segments: DataFrame, cols: list[str]) -> DataFrame:
+    """unordered() with columns of both ends, as c_1 and c_2, by one join on photo."""
+    end = lambda i: segments.select("photo", F.col("seg").alias(f"s{i}"), *[F.col(c).alias(f"{c}_{i}") for c in cols])
+    return end(1).join(end(2).hint("merge"), "photo").filter("s1 < s2")
+
+
 def adjacent(pixels: DataFrame) -> DataFrame:
     """(photo, s1, s2), s1 <= s2, distinct, of horizontal and vertical neighbours in a grid (photo, y, x, seg)."""
     rows = Window.partitionBy("photo", "y").orderBy("x")

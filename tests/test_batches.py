@@ -67,3 +67,18 @@ def test_graphs_of_one_shape(n):
             edges = [(*e, float(x)) for e, x in zip(ends, w)]
             assert heavy == sum(edges[i][2] for i in s.max_matching(edges))
             assert cut == s.max_flow(edges, source, sink)[0] == sum(edges[i][2] for i in s.min_cut(edges, source, sink))
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["similarity_forest", "small_graph_problems", "merge_groups", "region_segment"])
+def test_no_python_call_for_each_order(spark, name):
+    text = plan(catalog.QUERIES[name](spark, FOLDER))
+    assert "MapInArrow" in text and "FlatMapGroupsInPandas" not in text
+
+
+def test_forest_of_repeated_pairs(spark):
+    rows = spark.createDataFrame([(1, 1, 2, 0.9), (1, 2, 3, 0.95), (1, 1, 3, 0.99), (2, 1, 2, 0.9), (2, 1, 2, 0.97), (3, 1, 2, 0.1)], "photo int, s1 int, s2 int, p double")
+    assert {tuple(r) for r in factors.similar_pairs(rows).collect()} == {(1, 2, 3, 0.95), (1, 1, 3, 0.99), (2, 1, 2, 0.97)}
