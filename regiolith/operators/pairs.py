@@ -25,6 +25,13 @@ def met(segments: DataFrame, cols: list[str]) -> DataFrame:
     return end(1).join(end(2).hint("merge"), "photo").filter("s1 < s2")
 
 
+def neighbours(segments: DataFrame, cols: list[str]) -> DataFrame:
+    """(photo, s1, s2) of a photo's regions of successive numbers, s2 = s1 + 1, with columns of both ends, as c_1 and c_2.  A number is one region's."""
+    within = Window.partitionBy("photo").orderBy("seg")
+    both = segments.select("photo", F.col("seg").alias("s1"), F.lead("seg").over(within).alias("s2"), *[F.col(c).alias(f"{c}_1") for c in cols], *[F.lead(c).over(within).alias(f"{c}_2") for c in cols])
+    return both.filter("s2 = s1 + 1")
+
+
 def adjacent(pixels: DataFrame) -> DataFrame:
     """(photo, s1, s2), s1 <= s2, distinct, of horizontal and vertical neighbours in a grid (photo, y, x, seg)."""
     rows = Window.partitionBy("photo", "y").orderBy("x")
