@@ -301,6 +301,13 @@ def hub_pairs(labelled: DataFrame, sketches: DataFrame, tried: DataFrame | None,
     return best.select("best.a", "best.b").distinct()
 
 
+def with_links(label: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(a, b): new links, and those of each node with its component, which stand for all links found before."""
+    if label is None:
+        return new
+    return new.union(label.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+
 def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | None:
     """(node, component) of the classes that have links; None if no bucket holds two classes."""
     spark = docs.sparkSession
@@ -314,15 +321,14 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | Non
     wanted = members.select("node").distinct()
     sets = cut(full_sets(merged(nodes(docs), wanted, "node", "left_semi")))
     sketches = cut(merged(sig, wanted, "node", "left_semi").select("node", *SKETCH_COLS))
-    label, found, tried, turn = None, None, None, 0
+    label, tried, turn = None, None, 0
     while True:
         met = cut(hub_pairs(with_components(members, label), sketches, tried, turn))
         tidy(spark)
         new = cut(confirm(met, sets, percent))
         n_met, n_new = met.count(), new.count()
         if n_new:
-            found = new if found is None else found.union(new)
-            label = components(found)
+            label = components(with_links(label, new))
         if n_new <= WORTH * n_met:
             break
         tried = met if tried is None else cut(tried.union(met))
@@ -340,7 +346,7 @@ def links(docs: DataFrame, sig: DataFrame, percent: int = 75) -> DataFrame | Non
     new = cut(confirm_blocks(active, sets, percent))
     if new.isEmpty():
         return label
-    return components(new if found is None else found.union(new))
+    return components(with_links(label, new))
 
 
 def with_component(own: DataFrame, label: DataFrame | None) -> DataFrame:
